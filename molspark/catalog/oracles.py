@@ -219,7 +219,7 @@ FROM property_values GROUP BY ALL""",
 
 def _metrics(source: str, y: str = "y", p: str = "y_pred") -> str:
     return f"""count(*) AS n, round(avg(abs({p} - {y})), 4) AS mae,
-       round(avg(({p} - {y}) * ({p} - {y})), 4) AS mse,
+       round(avg(({p} - {y}) * ({p} - {y})), 2) AS mse,
        round(sqrt(avg(({p} - {y}) * ({p} - {y}))), 4) AS rmse,
        round(1 - sum(({p} - {y}) * ({p} - {y})) / nullif(count(*) * var_pop({y}), 0), 4) AS r2
 FROM {source}"""
@@ -233,10 +233,10 @@ def _profile(column: str, kind: str, number: bool) -> str:
 
 
 def _compare(on: str, source: str) -> str:
-    return f"""SELECT property, {on}, round(a, 6) AS alcohol_value, round(e, 6) AS alkene_value,
-       round(a - e, 6) AS delta, a - e > 0 AS holds
-FROM (SELECT property, {on}, round(avg(value) FILTER (family = 'alcohol'), 9) AS a,
-             round(avg(value) FILTER (family = 'alkene'), 9) AS e
+    return f"""SELECT property, {on}, a AS alcohol_value, e AS alkene_value,
+       round(a - e, 8) AS delta, a - e > 0 AS holds
+FROM (SELECT property, {on}, round(avg(value) FILTER (family = 'alcohol'), 8) AS a,
+             round(avg(value) FILTER (family = 'alkene'), 8) AS e
       FROM {source} GROUP BY ALL)
 WHERE a IS NOT NULL AND e IS NOT NULL"""
 
@@ -503,7 +503,7 @@ def all_oracles() -> dict[str, str]:
             "drawn",
         ),
         "trend_table": (
-            """SELECT property, family, carbons, n, round(mean_value, 6) AS mean_value, min_value, max_value
+            """SELECT property, family, carbons, n, round(mean_value, 8) AS mean_value, min_value, max_value
                FROM trend""",
             "trend",
         ),

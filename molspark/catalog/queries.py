@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from molspark.functions.vectors import dot, linear, pool_first
 from molspark.operators import checks, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report
-from molspark.session import scratch_path, shared_dir
+from molspark.session import scratch_path, shared_dir, ship_package
 from molspark.sources import artifacts, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,8 +33,17 @@ def register(fn: Query) -> Query:
     return fn
 
 
+def _shipped(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries() -> dict[str, Query]:
-    return dict(_REGISTERED)
+    return {name: _shipped(query) for name, query in _REGISTERED.items()}
 
 
 def _split_molecules(spark: SparkSession, sf: str) -> DataFrame:
@@ -148,7 +158,7 @@ def vocab_build(spark, sf):
 
 @register
 def vocab_documents(spark, sf):
-    return vocab.build_vocabulary(V.table(spark, sf, "documents"), S.word_tokens(F.col("text")))
+    return vocab.build_vocabulary(V.documents(spark, sf), S.word_tokens(F.col("text")))
 
 
 @register
@@ -159,7 +169,7 @@ def encode(spark, sf):
 
 
 def _encoded_documents(spark, sf):
-    rows, tokens = V.table(spark, sf, "documents"), S.word_tokens(F.col("text"))
+    rows, tokens = V.documents(spark, sf), S.word_tokens(F.col("text"))
     vocabulary = vocab.build_vocabulary(rows, tokens)
     return vocab.encode(rows, "doc_id", tokens, vocabulary, max_tokens=DOCUMENT_HEAD)
 
@@ -303,8 +313,8 @@ def pred_attr_join(spark, sf):
 
 @register
 def family_compare(spark, sf):
-    compared = trends.family_compare(V.property_values(spark, sf))
-    return _rounded(compared, 6, "alcohol_value", "alkene_value", "delta")
+    compared = trends.family_compare(V.property_values(spark, sf), digits=8)
+    return _rounded(compared, 8, "delta")
 
 
 @register
@@ -313,8 +323,8 @@ def family_compare_counted(spark, sf):
     n = F.when(F.col("family") == "alkene", S.alkene_smiles(F.col("carbons"))).otherwise(
         S.alcohol_smiles(F.col("carbons"))
     )
-    compared = trends.family_compare(values.withColumn("carbon_count", S.carbon_count(n)), "carbon_count")
-    return _rounded(compared, 6, "alcohol_value", "alkene_value", "delta")
+    compared = trends.family_compare(values.withColumn("carbon_count", S.carbon_count(n)), "carbon_count", digits=8)
+    return _rounded(compared, 8, "delta")
 
 
 @register
@@ -345,13 +355,13 @@ def split_shared_values(spark, sf):
 @register
 def regression_report(spark, sf):
     report = reports.regression_report(V.predictions(spark, sf))
-    return _rounded(report, 4, "mae", "mse", "rmse", "r2")
+    return _rounded(_rounded(report, 4, "mae", "rmse", "r2"), 2, "mse")
 
 
 @register
 def regression_report_by(spark, sf):
     report = reports.regression_report_by(V.predictions(spark, sf), "grp", total=True)
-    return _rounded(report, 4, "mae", "mse", "rmse", "r2")
+    return _rounded(_rounded(report, 4, "mae", "rmse", "r2"), 2, "mse")
 
 
 @register
@@ -449,7 +459,7 @@ def trials_tall(spark, sf):
 
 @register
 def trend_table(spark, sf):
-    return _rounded(trends.trend_table(V.property_values(spark, sf)), 6, "mean_value")
+    return _rounded(trends.trend_table(V.property_values(spark, sf)), 8, "mean_value")
 
 
 @register
@@ -481,7 +491,7 @@ def finetune_report(spark, sf):
     report = line_report(
         rows, V.LINE_KEY, F.col("l_quantity"), F.col("l_extendedprice"), by="l_returnflag", seed=SPLIT_SEED
     )
-    return _rounded(report, 4, "mae", "mse", "rmse", "r2")
+    return _rounded(_rounded(report, 4, "mae", "rmse", "r2"), 2, "mse")
 
 
 @register

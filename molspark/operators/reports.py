@@ -70,7 +70,7 @@ def parity_histogram(df: DataFrame, bins: int = 50, y: str = "y", y_pred: str =
     def cell(value: str) -> Column:
         step = F.nullif(F.col("_b.width"), F.lit(0.0))
         position = F.floor((F.col(value) - F.col("_b.low")) / step).cast("int")
-        return F.coalesce(F.least(position, F.lit(bins - 1)), F.lit(0))
+        return F.least(F.coalesce(position, F.lit(0)), F.lit(bins - 1))
 
     return (
         pairs.withColumn("_b", bounds.scalar())

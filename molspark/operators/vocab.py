@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molspark.operators.ranking import sorted_rank
+from molspark.session import shared_dir
 
 # Special tokens take the first ids, in this order.
 PAD, UNK, CLS = 0, 1, 2
@@ -148,22 +149,28 @@ def _no_strings() -> Column:
 def _encode_with_tail(
     df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head: VocabularyHead
 ) -> DataFrame:
-    resolved = df.select(key, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r"))
+    shared_dir(df.sparkSession)
+    # Two branches read the lookup, so it is written once instead of being computed twice.
+    resolved = df.select(
+        key, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")
+    ).checkpoint()
     gaps = resolved.select(key, F.explode(F.arrays_zip("_r.pos", "_r.token")).alias("_gap"))
-    tail = vocab.filter(F.col("id") >= FIRST_ID + len(head.tokens)).select("token", "id")
+    tail = vocab.filter(F.col("id") >= FIRST_ID + len(head.tokens)).select(
+        F.col("token").alias("_token"), F.col("id").alias("_id")
+    )
     # Known tail tokens are rare; a frequent token outside the vocabulary finds no partner,
     # and its partition is one that adaptive execution splits.
     found = (
-        gaps.select(key, F.col("_gap.pos").alias("pos"), F.col("_gap.token").alias("token"))
-        .join(tail, "token")
+        gaps.select(key, F.col("_gap.pos").alias("_pos"), F.col("_gap.token").alias("_token"))
+        .join(tail.hint("merge"), "_token")
         .groupBy(key)
-        .agg(F.collect_list(F.struct("pos", "id")).alias("_found"))
+        .agg(F.collect_list(F.struct("_pos", "_id")).alias("_found"))
     )
     no_ints = F.array().cast("array<int>")
     filled = F.arrow_udf(_fill_gaps, "array<int>")(
         F.col("_r.ids"),
-        F.coalesce(F.col("_found.pos"), no_ints),
-        F.coalesce(F.col("_found.id"), no_ints),
+        F.coalesce(F.col("_found._pos"), no_ints),
+        F.coalesce(F.col("_found._id"), no_ints),
     )
     return resolved.join(found, key, "left").select(key, filled.alias("_ids"))
 

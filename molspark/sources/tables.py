@@ -53,3 +53,13 @@ def read_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     """Write a split table partitioned by side; a filter on the side then prunes files."""
     df.write.mode("errorifexists").partitionBy(split).parquet(path)
+
+
+def spread_rows(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of few large files one partition per core, before work that is heavy per row.
+
+    A scan that already has as many partitions as there are cores is returned unchanged.
+    Meant for tables as they are read, whose partitions are known without running a job.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
