@@ -14,7 +14,7 @@ from molspark.functions.vectors import dot, linear, pool_first
 from molspark.operators import checks, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report
-from molspark.session import scratch_path, shared_dir, ship_package
+from molspark.session import scratch_path, ship_package
 from molspark.sources import artifacts, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,6 @@ _REGISTERED: dict[str, Query] = {}
 SPLIT_SEED = 42
 BATCH_SIZE = 32
 MAX_LENGTH = 512
-# Small enough that the document vocabulary exercises the join for rare tokens.
-DOCUMENT_HEAD = 5_000
 
 
 def register(fn: Query) -> Query:
@@ -171,7 +169,7 @@ def encode(spark, sf):
 def _encoded_documents(spark, sf):
     rows, tokens = V.documents(spark, sf), S.word_tokens(F.col("text"))
     vocabulary = vocab.build_vocabulary(rows, tokens)
-    return vocab.encode(rows, "doc_id", tokens, vocabulary, max_tokens=DOCUMENT_HEAD)
+    return vocab.encode(rows, "doc_id", tokens, vocabulary)
 
 
 @register
@@ -542,7 +540,6 @@ def score_many_heads(spark, sf):
 
 @register
 def sweep(spark, sf):
-    shared_dir(spark)
     rows = splits.train_test_split(V.planted(spark, sf), "vec_id", 0.2, SPLIT_SEED)
     train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
     return heads.sweep(search.random_trials(spark, 5, SPLIT_SEED), train, test, "vec_id", "embedding", "target")

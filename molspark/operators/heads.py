@@ -87,10 +87,12 @@ def _summed(data: DataFrame, task: Callable[[Iterable], Iterator[tuple[float, np
             )
 
     sums = data.mapInArrow(emit, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-    found = {row["pos"]: row["value"] for row in sums.collect()}
-    if not found:
+    table = sums.toArrow()
+    if not table.num_rows:
         return 0, 0.0, np.zeros(size)
-    return int(found[-2]), found[-1], np.array([found[i] for i in range(size)])
+    totals = np.empty(size + 2)
+    totals[table.column("pos").to_numpy() + 2] = table.column("value").to_numpy()
+    return int(totals[0]), float(totals[1]), totals[2:]
 
 
 def gradient_sums(data: DataFrame, weights: np.ndarray, dim: int, layers: int):

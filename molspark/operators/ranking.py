@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from molspark.functions.hashing import as_columns, seeded_hash
-from molspark.session import shared_dir
+from molspark.session import materialize
 
-# Digest prefixes used by the two rounds of an order statistic: 16**3 cells each.
-_CUTOFF_DIGITS = 3
+# Hex digits of the bounds between which an order statistic is expected.
+_BAND_DIGITS = 12
+# Digest prefix counted when it is elsewhere: at most 16**4 cells.
+_PREFIX_DIGITS = 4
 # monotonically_increasing_id keeps the row number of a partition in the low 33 bits.
 _ROW_BITS = 33
 _MAX_DIGITS = 5
@@ -56,18 +59,14 @@ def hash_rank(df: DataFrame, key, seed: int = 42, name: str = "rank", digits: in
 def sorted_rank(df: DataFrame, order, name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Add the exact 1-based rank of each row under any sort order.
 
-    Range-partitions and sorts once, then checkpoints, because the partition sizes and the
-    rows must come from the same layout even if executors are lost in between. The order
-    should be total: equal sort keys go to one partition.
+    Range-partitions and sorts once, then writes the placed rows, because the partition
+    sizes and the rows must come from the same layout even if executors are lost in
+    between. The order should be total: equal sort keys go to one partition.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
     order = as_columns(order)
     ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    placed = (
-        ranged.sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .checkpoint()
+    placed = materialize(
+        ranged.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()), "sorted_rank"
     )
     part = F.shiftright("_place", _ROW_BITS)
     local = F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
@@ -103,44 +102,55 @@ class Cutoff:
 def hash_cutoff(df: DataFrame, key, k, seed: int | str = 42) -> Cutoff:
     """Find the ``k``-th smallest seeded hash; ``k`` is a number or a function of the row count.
 
-    Three passes that read only the key columns and return one row each to the driver:
-    count by digest prefix, count the chosen cell by the next digits, order the chosen
-    sub-cell (about n / 16**6 rows, counted per digest first). Selecting rows with the
-    result is a plain filter, so no row of the table is ever shuffled or sorted. Rows with
-    equal keys fall on the same side; sizes are exact when the key is unique.
+    Digests are uniform, so the boundary is expected near the k / n quantile. One pass
+    counts the digests below a narrow band around it and, one by one, those inside (about
+    sqrt(n)); the row count itself comes from file metadata where the source has it. If the
+    boundary is not in the band, as with keys that fill much of the table, a histogram of
+    digest prefixes finds it in two passes. Only key columns are read, one row returns to
+    the driver, and selecting rows with the result is a plain filter: no row of the table
+    is ever shuffled or sorted. Rows with equal keys fall on the same side; sizes are exact
+    when the key is unique.
     """
     names = (key,) if isinstance(key, str) else tuple(key)
     digests = df.select(seeded_hash(list(names), seed).alias("_digest"))
-
-    def locate(cells: DataFrame, target: int):
-        running = cells.select(
-            "_cell", "_n", F.sum("_n").over(Window.orderBy("_cell")).alias("_upto")
-        )
-        row = running.filter(F.col("_upto") >= target).orderBy("_upto").first()
-        return row["_cell"], target - (row["_upto"] - row["_n"])
-
-    def count_by(frame: DataFrame, cell: Column) -> DataFrame:
-        return frame.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
-
-    step = _CUTOFF_DIGITS
-    cells = count_by(digests, F.substring("_digest", 1, step)).persist()
-    try:
-        n_rows = cells.agg(F.sum("_n")).first()[0] or 0
-        target = min(int(k(n_rows) if callable(k) else k), n_rows)
-        if target <= 0:
-            return Cutoff(names, seed, 0, n_rows, None)
-        first, target_in_first = locate(cells, target)
-    finally:
-        cells.unpersist()
-    inside = digests.filter(F.substring("_digest", 1, step) == first)
-    second, target_in_second = locate(
-        count_by(inside, F.substring("_digest", step + 1, step)), target_in_first
-    )
-    inside = inside.filter(F.substring("_digest", 1, 2 * step) == first + second)
-    digest, _ = locate(count_by(inside, F.col("_digest")), target_in_second)
+    n_rows = df.count()
+    target = min(int(k(n_rows) if callable(k) else k), n_rows)
+    if target <= 0:
+        return Cutoff(names, seed, 0, n_rows, None)
+    low, high = _band(target, n_rows)
+    digest = _locate(digests, target, low, high) or _locate_by_prefix(digests, target)
     return Cutoff(names, seed, target, n_rows, digest)
 
 
+def _band(target: int, n_rows: int) -> tuple[str, str]:
+    """Hex bounds that hold the ``target``-th of ``n_rows`` uniform digests almost surely."""
+    q = target / n_rows
+    margin = 6 * math.sqrt(q * (1 - q) / n_rows) + 12 / n_rows
+    low, high = max(q - margin, 0.0), q + margin
+    top = 16**_BAND_DIGITS
+    # "g" sorts after every hex digit.
+    return f"{int(low * top):0{_BAND_DIGITS}x}", "g" if high >= 1 else f"{int(high * top):0{_BAND_DIGITS}x}"
+
+
+def _running(frame: DataFrame, cell: Column) -> DataFrame:
+    counts = frame.groupBy(cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    return counts.withColumn("_upto", F.sum("_n").over(Window.orderBy("_cell")))
+
+
+def _locate(digests: DataFrame, target: int, low: str, high: str) -> str | None:
+    """The ``target``-th digest if it lies in [low, high), else None."""
+    cell = F.when(F.col("_digest") < low, F.lit("")).otherwise(F.col("_digest"))
+    upto = _running(digests.filter(F.col("_digest") < high), cell).filter(F.col("_upto") >= target)
+    return upto.agg(F.min("_cell")).first()[0] or None
+
+
+def _locate_by_prefix(digests: DataFrame, target: int) -> str:
+    """The ``target``-th digest, whatever the distribution of the keys."""
+    cells = _running(digests, F.substring("_digest", 1, _PREFIX_DIGITS))
+    cell = cells.filter(F.col("_upto") >= target).orderBy("_cell").first()["_cell"]
+    return _locate(digests, target, cell, cell + "g")
+
+
 def head_by_hash(df: DataFrame, key, n: int, seed: int | str = 42) -> DataFrame:
     """The ``min(n, rows)`` rows with the smallest seeded hash: a reproducible subset.
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molspark.operators.ranking import sorted_rank
-from molspark.session import shared_dir
+from molspark.session import materialize
 
 # Special tokens take the first ids, in this order.
 PAD, UNK, CLS = 0, 1, 2
@@ -32,7 +32,7 @@ def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
 def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
     """(token, n, id): ids by falling frequency, then token, after the special ids.
 
-    The table is checkpointed by the ranking, so later lookups do not recount.
+    The ranking writes the table to the shared folder, so later lookups do not recount.
     """
     ranked = sorted_rank(token_counts(df, tokens), [F.col("n").desc(), F.col("token")], name="_rank")
     return ranked.select("token", "n", (F.col("_rank") - 1 + FIRST_ID).cast("int").alias("id"))
@@ -54,8 +54,8 @@ def vocabulary_head(
         Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     head = vocab.filter(F.col("id") < FIRST_ID + max_tokens).withColumn("_size", size)
-    rows = head.filter(F.col("_size") <= max_characters).orderBy("id").select("token").collect()
-    tokens = tuple(row["token"] for row in rows)
+    rows = head.filter(F.col("_size") <= max_characters).orderBy("id").select("token").toArrow()
+    tokens = tuple(rows.column("token").to_pylist())
     return VocabularyHead(tokens, vocab.filter(F.col("id") >= FIRST_ID + len(tokens)).isEmpty())
 
 
@@ -99,10 +99,10 @@ def _resolve_head(head: VocabularyHead):
         words = tokens.flatten().take(pa.array(open_at))
         return pa.StructArray.from_arrays(
             [_lists(ids, lengths), _lists(positions, gaps), _lists(words, gaps)],
-            names=["ids", "pos", "token"],
+            names=["_ids", "_pos", "_token"],
         )
 
-    return F.arrow_udf(resolve, "ids array<int>, pos array<int>, token array<string>")
+    return F.arrow_udf(resolve, "_ids array<int>, _pos array<int>, _token array<string>")
 
 
 def _fill_gaps(ids: pa.Array, pos: pa.Array, found: pa.Array) -> pa.Array:
@@ -149,30 +149,34 @@ def _no_strings() -> Column:
 def _encode_with_tail(
     df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head: VocabularyHead
 ) -> DataFrame:
-    shared_dir(df.sparkSession)
-    # Two branches read the lookup, so it is written once instead of being computed twice.
-    resolved = df.select(
-        key, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")
-    ).checkpoint()
-    gaps = resolved.select(key, F.explode(F.arrays_zip("_r.pos", "_r.token")).alias("_gap"))
+    # Three branches read the lookup, so it is written once instead of being computed again.
+    resolved = materialize(
+        df.select(key, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")).select(key, "_r.*"),
+        "encode",
+    )
+    gaps = resolved.select(key, F.explode(F.arrays_zip("_pos", "_token")).alias("_gap"))
     tail = vocab.filter(F.col("id") >= FIRST_ID + len(head.tokens)).select(
         F.col("token").alias("_token"), F.col("id").alias("_id")
     )
     # Known tail tokens are rare; a frequent token outside the vocabulary finds no partner,
     # and its partition is one that adaptive execution splits.
     found = (
-        gaps.select(key, F.col("_gap.pos").alias("_pos"), F.col("_gap.token").alias("_token"))
+        gaps.select(key, "_gap._pos", "_gap._token")
         .join(tail.hint("merge"), "_token")
         .groupBy(key)
         .agg(F.collect_list(F.struct("_pos", "_id")).alias("_found"))
     )
     no_ints = F.array().cast("array<int>")
     filled = F.arrow_udf(_fill_gaps, "array<int>")(
-        F.col("_r.ids"),
+        F.col("_ids"),
         F.coalesce(F.col("_found._pos"), no_ints),
         F.coalesce(F.col("_found._id"), no_ints),
     )
-    return resolved.join(found, key, "left").select(key, filled.alias("_ids"))
+    is_open = F.size("_pos") > 0
+    # Rows without a gap skip the join and its shuffle.
+    whole = resolved.filter(~is_open).select(key, "_ids")
+    joined = resolved.filter(is_open).join(found, key, "left")
+    return whole.unionByName(joined.select(key, filled.alias("_ids")))
 
 
 def decode(ids: Column, head: VocabularyHead) -> Column:

@@ -15,7 +15,7 @@ from molspark.operators.reports import regression_report, regression_report_by,
 from molspark.operators.search import PARAMETERS, best_trial, random_trials
 from molspark.operators.splits import train_test_split
 from molspark.operators.vocab import build_vocabulary, encode
-from molspark.session import shared_dir
+from molspark.session import materialize
 
 
 def prepare_examples(
@@ -37,9 +37,8 @@ def tune_hyperparameters(
     train: DataFrame, val: DataFrame, key: str, vector: str, label: str, n_trials: int = 20, seed: int = 42
 ) -> tuple[dict, DataFrame]:
     """(best parameters, trials table) of a seeded random search run as parallel trials."""
-    shared_dir(train.sparkSession)
     trials = random_trials(train.sparkSession, n_trials, seed)
-    results = sweep(trials, train, val, key, vector, label, seed=seed).checkpoint()
+    results = materialize(sweep(trials, train, val, key, vector, label, seed=seed), "trials")
     best = best_trial(results).first()
     if best is None:
         raise ValueError("no trial finished with a finite value")

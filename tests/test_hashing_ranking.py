@@ -58,6 +58,15 @@ def test_hash_cutoff_selects_the_smallest(spark, k):
     assert chosen == set(expected_order(range(1000))[:k])
 
 
+@pytest.mark.parametrize("k", [1, 700, 1400, 2100])
+def test_cutoff_with_a_hot_key_takes_the_histogram(spark, k):
+    # A third of the rows share one key, so the boundary is far from the k / n quantile.
+    keys = [-1] * 700 + list(range(1400))
+    df = spark.createDataFrame([(i,) for i in keys], "key int")
+    cutoff = ranking.hash_cutoff(df, "key", k)
+    assert cutoff.digest == sorted(md5(f"42:{i}") for i in keys)[k - 1]
+
+
 def test_cutoff_on_empty_table(spark):
     assert ranking.head_by_hash(spark.range(0), "id", 10).count() == 0
 
