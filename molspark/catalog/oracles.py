@@ -484,6 +484,12 @@ def all_oracles() -> dict[str, str]:
                FROM line_split""",
             "line_split",
         ),
+        "split_reuse": (
+            """SELECT count(*) FILTER (rank <= 1000) AS n_left, count(*) AS n_right,
+                   count(*) FILTER (rank <= 1000) AS n_shared
+               FROM line_split WHERE split = 'test'""",
+            "line_split",
+        ),
         "search_space": (
             """SELECT study, trial_id, round(dropout, 12) AS dropout, num_hidden_layers,
                    round(learning_rate, 12) AS learning_rate, batch_size FROM drawn""",

@@ -90,8 +90,7 @@ def series_union(spark, sf):
 
 @register
 def dataset_profile(spark, sf):
-    rows = V.doc_labels(spark, sf).join(V.table(spark, sf, "documents").select("doc_id", "lang", "source"), "doc_id")
-    return reports.dataset_profile(rows, ["doc_id", "n_chars", "quality", "lang", "source"], exact=True)
+    return reports.dataset_profile(V.doc_labels(spark, sf), ["doc_id", "n_chars", "quality", "lang", "source"], exact=True)
 
 
 @register
@@ -163,7 +162,8 @@ def vocab_documents(spark, sf):
 def encode(spark, sf):
     rows, tokens = V.mixed_smiles(spark, sf), S.smiles_tokens(F.col("smiles"))
     encoded = vocab.encode(rows, "mol_id", tokens, vocab.build_vocabulary(rows, tokens))
-    return encoded.select("mol_id", F.posexplode("input_ids").alias("pos", "id"))
+    # No row is empty; the outer form keeps the optimizer from testing that with a second lookup.
+    return encoded.select("mol_id", F.posexplode_outer("input_ids").alias("pos", "id"))
 
 
 def _encoded_documents(spark, sf):
@@ -347,6 +347,14 @@ def split_shared_values(spark, sf):
     return checks.shared_values(_split_molecules(spark, sf), "smiles")
 
 
+@register
+def split_reuse(spark, sf):
+    rows = V.predictions(spark, sf).select("row_key")
+    test = splits.train_test_split(rows, "row_key", 0.2, SPLIT_SEED).filter("split = 'test'")
+    tuning = ranking.head_by_hash(test, "row_key", 1000, SPLIT_SEED)
+    return checks.rows_in_both(tuning, test, "row_key")
+
+
 # Aggregations
 
 

@@ -117,8 +117,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, quality: documents with the quality label where there is one."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    """doc_id, n_chars, lang, source, quality: documents, with the quality label where there is one."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return documents.join(labels, "doc_id", "left")
 

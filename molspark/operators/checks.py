@@ -87,3 +87,20 @@ def shared_values(df: DataFrame, value: str, split: str = "split") -> DataFrame:
         )
         .filter("train_rows > 0 AND test_rows > 0")
     )
+
+
+def rows_in_both(left: DataFrame, right: DataFrame, key) -> DataFrame:
+    """One row: the keys of two subsets, and how many they share.
+
+    Shows, for example, that the rows which chose a model also report on it.
+    """
+    names = [key] if isinstance(key, str) else list(key)
+    sides = left.select(*names, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        right.select(*names, F.lit(0).alias("_a"), F.lit(1).alias("_b"))
+    )
+    per_key = sides.groupBy(*names).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    return per_key.agg(
+        F.count_if(F.col("_a") == 1).alias("n_left"),
+        F.count_if(F.col("_b") == 1).alias("n_right"),
+        F.count_if((F.col("_a") == 1) & (F.col("_b") == 1)).alias("n_shared"),
+    )

@@ -36,12 +36,14 @@ class HeadParams:
 
 @dataclass(frozen=True)
 class Head:
-    """A fitted head: its flat parameters and the loss per epoch."""
+    """A fitted head: its flat parameters and the training and validation loss per epoch."""
 
     dim: int
     num_hidden_layers: int
     weights: np.ndarray = field(repr=False)
     history: tuple[float, ...] = ()
+    eval_history: tuple[float, ...] = ()
+    best_epoch: int | None = None
 
 
 class Predictor(Protocol):
@@ -109,6 +111,21 @@ def gradient_sums(data: DataFrame, weights: np.ndarray, dim: int, layers: int):
     return _summed(data, task, len(weights))
 
 
+def mean_squared_error(data: DataFrame, weights: np.ndarray, dim: int, layers: int) -> float:
+    """Loss of given parameters over a frame with columns x and y, summed per partition."""
+
+    def task(batches):
+        n, loss = 0, 0.0
+        for batch in batches:
+            x, y = _matrix(batch.column("x"), dim), batch.column("y").to_numpy()
+            error = mlp.predict(weights, x, layers) - y
+            n, loss = n + len(y), loss + float(error @ error)
+        return n, loss, np.empty(0)
+
+    n, loss, _ = _summed(data, task, 0)
+    return loss / n if n else float("nan")
+
+
 def _local_epoch(data, state, step, total_steps, dim, p: HeadParams, epoch):
     """One pass of mini-batch Adam per partition; the states are averaged by rows afterwards."""
 
@@ -134,43 +151,62 @@ def _local_epoch(data, state, step, total_steps, dim, p: HeadParams, epoch):
 
 
 def fit_head(
-    df: DataFrame, key: str, vector: str, label: str, params: HeadParams | None = None, partitions: int | None = None
+    df: DataFrame,
+    key: str,
+    vector: str,
+    label: str,
+    params: HeadParams | None = None,
+    val: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> Head:
     """Fit a head with GELU layers by data-parallel training; one Spark job per epoch.
 
     The (vector, label) projection is laid out and cached once. In an epoch every task
     trains on its partition in mini-batches from the shared parameters, and the results
     are averaged, weighted by rows; with ``batch_size=None`` the tasks return exact
-    gradients instead. Only parameters, never rows, reach the driver. Rows without label
-    or vector are left out. Masks and order come from the seed, so a retried task repeats
-    its work; they are not those of any other library.
+    gradients instead. With ``val`` the loss on that table is taken after every epoch and
+    the parameters of the best epoch (the first, on a tie) are returned. Only parameters,
+    never rows, reach the driver. Rows without label or vector are left out. Masks and
+    order come from the seed, so a retried task repeats its work; they are not those of any
+    other library.
     """
-    require_columns(df, [key, vector, label])
     p = params or HeadParams()
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = _training_rows(df, key, vector, label, partitions).persist()
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data, *checked = (
+        _training_rows(frame, key, vector, label, partitions).persist() for frame in (df, val) if frame is not None
+    )
     try:
         shape = data.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dim")).first()
         if not shape["n"]:
             raise ValueError("no row has both a vector and a label")
         dim, layers = shape["dim"], p.num_hidden_layers
         flat = mlp.init_parameters(dim, layers, p.seed)
-        state, history = np.concatenate([flat, np.zeros(2 * len(flat))]), []
+        state, history, evals = np.concatenate([flat, np.zeros(2 * len(flat))]), [], []
+        best = None
         steps = -(-shape["n"] // (partitions * p.batch_size)) if p.batch_size else 1
         for epoch in range(p.epochs):
             if p.batch_size:
                 state, loss = _local_epoch(data, state, epoch * steps, p.epochs * steps, dim, p, epoch)
             else:
-                flat, m, v = np.split(state, 3)
-                n, loss, grad = gradient_sums(data, flat, dim, layers)
-                rate = mlp.linear_schedule(epoch + 1, p.epochs, p.learning_rate, p.warmup)
-                state = np.concatenate(mlp.adam_step(flat, m, v, epoch + 1, grad / n, rate))
-                loss = loss / n
+                state, loss = _full_step(data, state, dim, p, epoch)
             history.append(float(loss))
+            if checked:
+                evals.append(mean_squared_error(checked[0], np.split(state, 3)[0], dim, layers))
+                if best is None or evals[-1] < evals[best[0]]:
+                    best = epoch, np.split(state, 3)[0]
     finally:
-        data.unpersist()
-    return Head(dim, layers, np.split(state, 3)[0], tuple(history))
+        for frame in (data, *checked):
+            frame.unpersist()
+    epoch, weights = best or (None, np.split(state, 3)[0])
+    return Head(dim, layers, weights, tuple(history), tuple(evals), epoch)
+
+
+def _full_step(data, state, dim, p: HeadParams, epoch):
+    """One Adam step with the exact gradient over all rows."""
+    flat, m, v = np.split(state, 3)
+    n, loss, grad = gradient_sums(data, flat, dim, p.num_hidden_layers)
+    rate = mlp.linear_schedule(epoch + 1, p.epochs, p.learning_rate, p.warmup)
+    return np.concatenate(mlp.adam_step(flat, m, v, epoch + 1, grad / n, rate)), loss / n
 
 
 def fit_linear_head(df: DataFrame, vector: str, label: str, ridge: float = 0.0) -> Head:
@@ -181,7 +217,7 @@ def fit_linear_head(df: DataFrame, vector: str, label: str, ridge: float = 0.0)
     )
     model = LinearRegression(solver="normal", regParam=ridge, standardization=False).fit(rows)
     weights = np.append(model.coefficients.toArray(), model.intercept)
-    return Head(len(weights) - 1, 0, weights, (float(model.summary.meanSquaredError),))
+    return Head(len(weights) - 1, 0, weights)
 
 
 def fit_line(df: DataFrame, x: str | Column, y: str | Column) -> tuple[float, float]:

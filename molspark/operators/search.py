@@ -17,8 +17,8 @@ BATCH_SIZES = (16, 32, 64)
 
 PARAMETERS = ("dropout", "num_hidden_layers", "learning_rate", "batch_size")
 
-# Trials per cell of the running minimum.
-_BLOCK = 100_000
+# Blocks that the range of trial ids is cut into for the running minimum.
+_BLOCKS = 65_536
 
 
 def uniform_float(u: Column, low: float, high: float, log: bool = False) -> Column:
@@ -89,16 +89,24 @@ def leaderboard(
 
 
 def best_so_far(
-    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", block: int = _BLOCK
+    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", blocks: int = _BLOCKS
 ) -> DataFrame:
     """Add the running minimum over the trials of a study, and its log10 where positive.
 
-    A study may hold any share of the table: trials are cut into blocks of ids, blocks are
-    reduced to their minimum before the shuffle, and a row combines the minimum of all
-    earlier blocks with the running minimum of its own. (study, trial) must be unique.
+    A study may hold any share of the table: the range of trial ids is cut into ``blocks``,
+    each (study, block) is reduced to its minimum before the shuffle, and a row combines
+    the minimum of all earlier blocks with the running minimum of its own. So no task
+    orders more than one block of rows, or ``blocks`` minima of one study.
     """
     number = F.col(value).cast("double")
-    tagged = df.withColumn("_block", F.floor(F.col(trial) / block))
+    place = F.col(trial).cast("double")
+    bounds = df.agg(F.struct(F.min(place).alias("low"), F.max(place).alias("high")).alias("_b"))
+    width = F.greatest((F.col("_b.high") - F.col("_b.low") + 1) / blocks, F.lit(1.0))
+    tagged = (
+        df.withColumn("_b", bounds.scalar())
+        .withColumn("_block", F.floor((place - F.col("_b.low")) / width))
+        .drop("_b")
+    )
     usable = F.when(~F.isnan(number), number)
     blocks = tagged.groupBy(F.col(by).alias("_study"), F.col("_block").alias("_of")).agg(F.min(usable).alias("_min"))
     earlier = blocks.withColumn(

@@ -80,9 +80,10 @@ def family_compare(
 def property_order(df: DataFrame, key: str, order: Sequence[str] = TEMPERATURES, value: str = "value") -> DataFrame:
     """One row per molecule with its properties side by side and whether they rise in order.
 
-    ``ordered`` is null when a property is missing.
+    ``ordered`` is null when a property is missing. The properties are named, so the pivot
+    is one conditional aggregation with a single shuffle.
     """
-    wide = df.groupBy(key).pivot("property", list(order)).agg(F.avg(value))
+    wide = df.groupBy(key).agg(*[F.avg(F.when(F.col("property") == p, F.col(value))).alias(p) for p in order])
     rising = F.lit(True)
     for low, high in zip(order, order[1:]):
         rising = rising & (F.col(f"`{low}`") < F.col(f"`{high}`"))

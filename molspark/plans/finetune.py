@@ -63,14 +63,18 @@ def finetune_head(
     max_test: int | None = 1000,
     seed: int = 42,
 ) -> Finetuned:
-    """Split, optionally tune, fit on train, score the first ``max_test`` test rows, report."""
+    """Split, optionally tune, fit, score the first ``max_test`` test rows, report.
+
+    As in the usual two-way recipe, the test side also chooses the trial and the epoch, so
+    its report is optimistic; ``rows_in_both`` measures the reuse.
+    """
     marked = train_test_split(df, key, seed=seed)
     train, test = (marked.filter(F.col("split") == side) for side in ("train", "test"))
     params = params or HeadParams(seed=seed)
     if n_trials:
         best, _ = tune_hyperparameters(train, test, key, vector, label, n_trials, seed)
         params = replace(params, **best)
-    head = fit_head(train, key, vector, label, params)
+    head = fit_head(train, key, vector, label, params, val=test)
     subset = test if max_test is None else head_by_hash(test, key, max_test, seed)
     predictions = subset.withColumn("y_pred", score(vector, head)).withColumnRenamed(label, "y")
     return Finetuned(head, params, predictions, regression_report(predictions))

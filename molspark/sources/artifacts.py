@@ -19,15 +19,25 @@ def save_head(spark: SparkSession, head: Head, path: str, config: dict | None =
         head.num_hidden_layers,
         [float(w) for w in head.weights],
         list(head.history),
+        list(head.eval_history),
+        head.best_epoch,
         json.dumps(config or {}, sort_keys=True),
     )
-    schema = "dim int, num_hidden_layers int, weights array<double>, history array<double>, config string"
+    schema = """dim int, num_hidden_layers int, weights array<double>, history array<double>,
+        eval_history array<double>, best_epoch int, config string"""
     spark.createDataFrame([row], schema).write.mode("errorifexists").parquet(path)
 
 
 def load_head(spark: SparkSession, path: str) -> Head:
     row = spark.read.parquet(path).first()
-    return Head(row["dim"], row["num_hidden_layers"], np.array(row["weights"]), tuple(row["history"]))
+    return Head(
+        row["dim"],
+        row["num_hidden_layers"],
+        np.array(row["weights"]),
+        tuple(row["history"]),
+        tuple(row["eval_history"]),
+        row["best_epoch"],
+    )
 
 
 def load_config(spark: SparkSession, path: str) -> dict:

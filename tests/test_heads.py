@@ -108,6 +108,17 @@ def test_rows_without_label_or_vector_are_left_out(spark, data):
         H.fit_head(df.limit(0), "id", "x", "y", params)
 
 
+def test_validation_keeps_the_best_epoch(data):
+    df, x, y = data
+    # A rate this high makes the loss jump about.
+    params = HeadParams(num_hidden_layers=1, dropout=0.0, learning_rate=2.0, batch_size=16, epochs=6, warmup=0.0)
+    head = H.fit_head(df.filter("id >= 100"), "id", "x", "y", params, val=df.filter("id < 100"), partitions=2)
+    assert len(head.eval_history) == 6
+    assert head.best_epoch == int(np.argmin(head.eval_history))
+    loss = ((mlp.predict(head.weights, x[:100], 1) - y[:100]) ** 2).mean()
+    assert loss == pytest.approx(min(head.eval_history))
+
+
 def test_more_partitions_than_rows(spark, data):
     df, _, _ = data
     head = H.fit_head(df.filter("id < 2"), "id", "x", "y", HeadParams(epochs=1), partitions=8)
@@ -144,11 +155,12 @@ def test_user_hooks(spark):
 
 def test_reloaded_head_scores_the_same(spark, data, scratch):
     df, x, _ = data
-    head = H.Head(DIM, 1, mlp.init_parameters(DIM, 1, 2), (3.0, 2.0))
+    head = H.Head(DIM, 1, mlp.init_parameters(DIM, 1, 2), (3.0, 2.0), (4.0, 5.0), 0)
     path = scratch("head")
     artifacts.save_head(spark, head, path, {"epochs": 2})
     loaded = artifacts.load_head(spark, path)
     assert (loaded.dim, loaded.num_hidden_layers, loaded.history) == (DIM, 1, (3.0, 2.0))
+    assert (loaded.eval_history, loaded.best_epoch) == ((4.0, 5.0), 0)
     assert (loaded.weights == head.weights).all()
     assert artifacts.load_config(spark, path) == {"epochs": 2}
 

@@ -2,7 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from molspark.functions.smiles import smiles_tokens
-from molspark.operators.vocab import build_vocabulary
+from molspark.functions import mlp
+from molspark.operators.heads import Head, score
+from molspark.operators.vocab import build_vocabulary, encode
 from molspark.sources import artifacts, tables
 from molspark.streaming.files import stream_files, tokenize_accepted
 from molspark.session import scratch_path, shared_dir
@@ -59,6 +61,27 @@ def test_stream_equals_batch(spark, scratch):
     assert streamed == tokenize_accepted(df).orderBy("id").collect()
 
 
+def test_encoding_and_scoring_accept_a_stream(spark, scratch):
+    source, target, checkpoint = scratch("in"), scratch("out"), scratch("checkpoint")
+    df = spark.range(40).select(
+        "id", F.repeat(F.lit("CO"), (F.col("id") % 5).cast("int")).alias("smiles"), F.array("id", F.lit(1)).alias("x")
+    )
+    df.repartition(2).write.parquet(source)
+    tokens = smiles_tokens(F.col("smiles"))
+    vocab = build_vocabulary(df, tokens)
+    head = Head(2, 1, mlp.init_parameters(2, 1, 0))
+
+    def transform(rows):
+        scored = rows.withColumn("y_pred", score("x", head))
+        return encode(scored.select(F.struct("id", "y_pred").alias("row"), "smiles"), "row", tokens, vocab)
+
+    stream_files(
+        spark, source, "id bigint, smiles string, x array<bigint>", transform, target, checkpoint
+    ).awaitTermination()
+    streamed = spark.read.parquet(target).orderBy("row.id").collect()
+    assert streamed == transform(df).orderBy("row.id").collect()
+
+
 def test_scratch_paths_are_under_the_shared_folder(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
