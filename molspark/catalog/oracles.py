@@ -256,7 +256,7 @@ def all_oracles() -> dict[str, str]:
                    p_size::INT AS carbons, {_ALKENE} AS smiles FROM part
             UNION ALL SELECT p_partkey, 'alcohol', 'C' || p_size || ' Alcohol', p_size::INT,
                    repeat('C', greatest(p_size, 1)) || 'O' FROM part""",
-        "pool_first_token": """SELECT vec_id, unnest(range(0, 64))::INT AS pos,
+        "pool_first": """SELECT vec_id, unnest(range(0, 64))::INT AS pos,
             unnest(embedding)::DOUBLE AS x FROM embeddings""",
         "key_unique": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
             GROUP BY ALL HAVING count(*) > 1""",

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from molspark.catalog import views as V
 from molspark.functions import smiles as S
-from molspark.functions.vectors import dot, linear, pool_first
+from molspark.functions.vectors import dot, linear
+from molspark.functions.vectors import pool_first as first_token
 from molspark.operators import checks, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report
@@ -243,11 +244,11 @@ def unwrap_prediction(spark, sf):
 
 
 @register
-def pool_first_token(spark, sf):
+def pool_first(spark, sf):
     hidden = V.table(spark, sf, "embeddings").select(
         "vec_id", F.array("embedding", F.reverse("embedding")).alias("hidden")
     )
-    pooled = hidden.select("vec_id", F.posexplode(pool_first(F.col("hidden"))).alias("pos", "x"))
+    pooled = hidden.select("vec_id", F.posexplode(first_token(F.col("hidden"))).alias("pos", "x"))
     return pooled.select("vec_id", "pos", F.col("x").cast("double").alias("x"))
 
 
@@ -502,11 +503,7 @@ def finetune_report(spark, sf):
 
 @register
 def fit_linear_1d(spark, sf):
-    rows = V.predictions(spark, sf)
-    fitted = rows.groupBy("grp").agg(
-        F.regr_slope("y", "y_pred").alias("slope"), F.regr_intercept("y", "y_pred").alias("intercept")
-    )
-    return _rounded(fitted, 6, "slope", "intercept")
+    return _rounded(heads.fit_lines(V.predictions(spark, sf), "y_pred", "y", "grp"), 6, "slope", "intercept")
 
 
 @register

@@ -21,6 +21,11 @@ from molspark.operators.checks import require_columns
 from molspark.operators.ranking import head_by_hash
 
 
+# Parameters per row in which the tasks of a training step report.
+_CHUNK = 1024
+_PARTIAL = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("value", pa.list_(pa.float64()))])
+
+
 @dataclass(frozen=True)
 class HeadParams:
     """``batch_size=None`` takes one exact full gradient per epoch instead of mini-batches."""
@@ -73,27 +78,38 @@ def _training_rows(df: DataFrame, key: str, vector: str, label: str, partitions:
     )
 
 
-def _summed(data: DataFrame, task: Callable[[Iterable], Iterator[tuple[float, np.ndarray]]], size: int):
+def _summed(data: DataFrame, task: Callable[[Iterable], tuple[int, float, np.ndarray]], size: int):
     """Run ``task`` on each partition and return (rows, loss, vector) summed over all of them.
 
-    Each task yields (rows, loss, vector) once; the vector travels as (position, value)
-    rows, which Spark adds up per position. The driver gets one row per parameter.
+    The vector of a partition travels in chunks and Spark brings equal chunks together, so
+    a task adds up ``_CHUNK`` numbers per partition however many parameters there are. They
+    are added in partition order, which makes the sums repeatable. The driver gets the sums.
     """
 
     def emit(batches):
+        from pyspark import TaskContext
+
         n, loss, vector = task(batches)
         if n:
+            part = TaskContext.get().partitionId()
             values = np.concatenate([[n, loss], vector])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(-2, len(vector), dtype="i4")), pa.array(values)], names=["pos", "value"]
+            chunks = [values[i : i + _CHUNK] for i in range(0, len(values), _CHUNK)]
+            yield pa.RecordBatch.from_pydict(
+                {"chunk": list(range(len(chunks))), "part": [part] * len(chunks), "value": chunks}, _PARTIAL
             )
 
-    sums = data.mapInArrow(emit, "pos int, value double").groupBy("pos").agg(F.sum("value").alias("value"))
-    table = sums.toArrow()
+    def add(partials: pa.Table) -> pa.Table:
+        partials = partials.sort_by("part").combine_chunks()
+        values = partials.column("value").combine_chunks().flatten().to_numpy().reshape(partials.num_rows, -1)
+        first = partials.slice(0, 1).to_pydict()
+        return pa.Table.from_pydict({**first, "value": [values.sum(axis=0)]}, _PARTIAL)
+
+    schema = "chunk int, part int, value array<double>"
+    sums = data.mapInArrow(emit, schema).groupBy("chunk").applyInArrow(add, schema)
+    table = sums.toArrow().sort_by("chunk")
     if not table.num_rows:
         return 0, 0.0, np.zeros(size)
-    totals = np.empty(size + 2)
-    totals[table.column("pos").to_numpy() + 2] = table.column("value").to_numpy()
+    totals = table.column("value").combine_chunks().flatten().to_numpy()
     return int(totals[0]), float(totals[1]), totals[2:]
 
 
@@ -220,10 +236,15 @@ def fit_linear_head(df: DataFrame, vector: str, label: str, ridge: float = 0.0)
     return Head(len(weights) - 1, 0, weights)
 
 
-def fit_line(df: DataFrame, x: str | Column, y: str | Column) -> tuple[float, float]:
-    """(slope, intercept) of the least-squares line; one aggregation, one row to the driver."""
-    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    row = df.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")).first()
+def fit_lines(df: DataFrame, x: str, y: str, by: str | list[str] | None = None) -> DataFrame:
+    """(slope, intercept) of the least-squares line, per group if ``by`` is given; one aggregation."""
+    keys = [] if by is None else [by] if isinstance(by, str) else by
+    line = [F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept")]
+    return df.groupBy(*keys).agg(*line)
+
+
+def fit_line(df: DataFrame, x: str, y: str) -> tuple[float, float]:
+    row = fit_lines(df, x, y).first()
     return row["slope"], row["intercept"]
 
 

@@ -139,9 +139,12 @@ def _running(frame: DataFrame, cell: Column) -> DataFrame:
 
 def _locate(digests: DataFrame, target: int, low: str, high: str) -> str | None:
     """The ``target``-th digest if it lies in [low, high), else None."""
-    cell = F.when(F.col("_digest") < low, F.lit("")).otherwise(F.col("_digest"))
-    upto = _running(digests.filter(F.col("_digest") < high), cell).filter(F.col("_upto") >= target)
-    return upto.agg(F.min("_cell")).first()[0] or None
+    digest = F.col("_digest")
+    # All digests below and all above count as one cell each; "g" sorts last.
+    cell = F.when(digest < low, "").when(digest < high, digest).otherwise("g")
+    upto = _running(digests, cell).filter(F.col("_upto") >= target)
+    found = upto.agg(F.min("_cell")).first()[0]
+    return None if found in ("", "g") else found
 
 
 def _locate_by_prefix(digests: DataFrame, target: int) -> str:

@@ -17,8 +17,8 @@ BATCH_SIZES = (16, 32, 64)
 
 PARAMETERS = ("dropout", "num_hidden_layers", "learning_rate", "batch_size")
 
-# Blocks that the range of trial ids is cut into for the running minimum.
-_BLOCKS = 65_536
+# Rows of the trials table per block of trial ids in the running minimum.
+_BLOCK_ROWS = 1_000_000
 
 
 def uniform_float(u: Column, low: float, high: float, log: bool = False) -> Column:
@@ -89,23 +89,24 @@ def leaderboard(
 
 
 def best_so_far(
-    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", blocks: int = _BLOCKS
+    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", block_rows: int = _BLOCK_ROWS
 ) -> DataFrame:
     """Add the running minimum over the trials of a study, and its log10 where positive.
 
-    A study may hold any share of the table: the range of trial ids is cut into ``blocks``,
-    each (study, block) is reduced to its minimum before the shuffle, and a row combines
-    the minimum of all earlier blocks with the running minimum of its own. So no task
-    orders more than one block of rows, or ``blocks`` minima of one study.
+    A study may hold any share of the table. The range of trial ids is cut into blocks of
+    about ``block_rows`` rows, each (study, block) is reduced to its minimum before the
+    shuffle, and a row combines the minimum of all earlier blocks with the running minimum
+    of its own. So a task orders one block of rows, or one minimum per block of a study.
     """
     number = F.col(value).cast("double")
     place = F.col(trial).cast("double")
-    bounds = df.agg(F.struct(F.min(place).alias("low"), F.max(place).alias("high")).alias("_b"))
-    width = F.greatest((F.col("_b.high") - F.col("_b.low") + 1) / blocks, F.lit(1.0))
+    low, high, rows = F.min(place).alias("low"), F.max(place).alias("high"), F.count(place).alias("rows")
+    span = df.agg(F.struct(low, high, rows).alias("_s"))
+    width = (F.col("_s.high") - F.col("_s.low") + 1) / F.greatest(F.col("_s.rows") / block_rows, F.lit(1.0))
     tagged = (
-        df.withColumn("_b", bounds.scalar())
-        .withColumn("_block", F.floor((place - F.col("_b.low")) / width))
-        .drop("_b")
+        df.withColumn("_s", span.scalar())
+        .withColumn("_block", F.floor((place - F.col("_s.low")) / width))
+        .drop("_s")
     )
     usable = F.when(~F.isnan(number), number)
     blocks = tagged.groupBy(F.col(by).alias("_study"), F.col("_block").alias("_of")).agg(F.min(usable).alias("_min"))

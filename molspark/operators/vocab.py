@@ -53,10 +53,12 @@ def vocabulary_head(
     size = F.sum(F.length("token")).over(
         Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    head = vocab.filter(F.col("id") < FIRST_ID + max_tokens).withColumn("_size", size)
-    rows = head.filter(F.col("_size") <= max_characters).orderBy("id").select("token").toArrow()
-    tokens = tuple(rows.column("token").to_pylist())
-    return VocabularyHead(tokens, vocab.filter(F.col("id") >= FIRST_ID + len(tokens)).isEmpty())
+    # One row more than wanted, and null for what does not fit, tell whether this is all.
+    first = vocab.filter(F.col("id") <= FIRST_ID + max_tokens)
+    fits = (size <= max_characters) & (F.col("id") < FIRST_ID + max_tokens)
+    rows = first.select("id", F.when(fits, F.col("token")).alias("token")).toArrow()
+    tokens = rows.sort_by("id").column("token").drop_null().to_pylist()
+    return VocabularyHead(tuple(tokens), len(tokens) == rows.num_rows)
 
 
 def _lists(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:

@@ -84,14 +84,14 @@ def test_leaderboard(spark):
         assert [(r.value, r.trial_id) for r in sorted(by, key=lambda r: r.place) if r.study == study] == mine
 
 
-@pytest.mark.parametrize("blocks", [1, 7, 65_536])
-def test_best_so_far_against_brute_force(spark, blocks):
+@pytest.mark.parametrize("block_rows", [1, 7, 1_000_000])
+def test_best_so_far_against_brute_force(spark, block_rows):
     rng = random.Random(4)
     # Study 1 holds most of the rows.
     rows = [(1 if rng.random() < 0.7 else rng.randint(2, 5), i, float(rng.randint(-5, 500))) for i in range(400)]
     rows += [(9, 1000, None), (9, 1001, 3.0), (9, 1002, float("nan")), (None, 2000, 1.0)]
     found = {(r.study, r.trial_id): (r.best_value, r.log10_best)
-             for r in S.best_so_far(trial_rows(spark, rows), blocks=blocks).collect()}
+             for r in S.best_so_far(trial_rows(spark, rows), block_rows=block_rows).collect()}
     assert len(found) == len(rows)
     best = {}
     for study, trial, value in sorted(rows, key=lambda r: r[1]):
