@@ -80,8 +80,9 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def _blank_brackets(smiles: Column) -> Column:
-    return F.regexp_replace(smiles, BRACKET_ATOM, "*")
+def skeleton_of(smiles: Column) -> Column:
+    """The string with each well-formed bracket atom replaced by ``*``; null counts as empty."""
+    return F.regexp_replace(F.coalesce(smiles, F.lit("")), BRACKET_ATOM, "*")
 
 
 def _paren_imbalance(skeleton: Column) -> Column:
@@ -108,10 +109,13 @@ def _ring_imbalance(skeleton: Column) -> Column:
     return F.size(odd) > 0
 
 
-def reject_reasons(smiles: Column) -> Column:
-    """Array of the reasons, in ``REASONS`` order, why a string is rejected; null is empty."""
+def reject_reasons(smiles: Column, skeleton: Column | None = None) -> Column:
+    """Array of the reasons, in ``REASONS`` order, why a string is rejected; null is empty.
+
+    Pass the skeleton as a column of its own to have it computed once per row.
+    """
     text = F.coalesce(smiles, F.lit(""))
-    skeleton = _blank_brackets(text)
+    skeleton = skeleton_of(smiles) if skeleton is None else skeleton
     failed = {
         "empty": F.trim(text) == "",
         "bracket": skeleton.rlike(r"[\[\]]"),
@@ -125,9 +129,9 @@ def reject_reasons(smiles: Column) -> Column:
     )
 
 
-def aromatic_atoms(smiles: Column) -> Column:
+def aromatic_atoms(smiles: Column, skeleton: Column | None = None) -> Column:
     """Number of atoms in lower-case aromatic notation, inside and outside brackets."""
-    text = F.coalesce(smiles, F.lit(""))
-    outside = F.regexp_count(_blank_brackets(text), F.lit(AROMATIC_ATOM))
-    inside = F.regexp_count(text, F.lit(AROMATIC_BRACKET_ATOM))
+    skeleton = skeleton_of(smiles) if skeleton is None else skeleton
+    outside = F.regexp_count(skeleton, F.lit(AROMATIC_ATOM))
+    inside = F.regexp_count(F.coalesce(smiles, F.lit("")), F.lit(AROMATIC_BRACKET_ATOM))
     return outside + inside

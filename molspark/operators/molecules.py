@@ -47,10 +47,11 @@ def validate(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     ``verdict`` is the first reason, or ``aromatic`` for an accepted row in aromatic
     notation, or ``ok``. Lexical checks only.
     """
-    checked = df.withColumns(
+    text, skeleton = F.col(smiles), F.col("_skeleton")
+    checked = df.withColumn("_skeleton", S.skeleton_of(text)).withColumns(
         {
-            "reasons": S.reject_reasons(F.col(smiles)),
-            "has_aromatic": S.aromatic_atoms(F.col(smiles)) > 0,
+            "reasons": S.reject_reasons(text, skeleton),
+            "has_aromatic": S.aromatic_atoms(text, skeleton) > 0,
         }
     )
     verdict = (
@@ -58,7 +59,7 @@ def validate(df: DataFrame, smiles: str = "smiles") -> DataFrame:
         .when(F.col("has_aromatic"), F.lit("aromatic"))
         .otherwise(F.lit("ok"))
     )
-    return checked.withColumn("verdict", verdict)
+    return checked.withColumn("verdict", verdict).drop("_skeleton")
 
 
 def is_accepted() -> Column:

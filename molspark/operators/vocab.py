@@ -22,6 +22,9 @@ FIRST_ID = len(SPECIALS)
 # of them, in task memory. Rarer tokens are looked up with a join.
 HEAD_TOKENS = 50_000
 HEAD_CHARACTERS = 4_000_000
+# A vocabulary of up to this many tokens is a literal in the plan. Its map is scanned in id
+# order, so frequent tokens are found first.
+LITERAL_TOKENS = 256
 
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
@@ -61,6 +64,14 @@ def vocabulary_head(
     return VocabularyHead(tuple(tokens), len(tokens) == rows.num_rows)
 
 
+def _literal_ids(tokens: Column, head: VocabularyHead) -> Column:
+    if not head.tokens:
+        return F.transform(tokens, lambda t: F.lit(UNK))
+    ids = F.sequence(F.lit(FIRST_ID), F.lit(FIRST_ID + len(head.tokens) - 1))
+    known = F.map_from_arrays(F.array(*[F.lit(t) for t in head.tokens]), ids)
+    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.lit(UNK)))
+
+
 def _lists(values: pa.Array, lengths: np.ndarray) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("int32")
     return pa.ListArray.from_arrays(pa.array(offsets), values)
@@ -126,14 +137,17 @@ def encode(
 ) -> DataFrame:
     """(key, input_ids, attention_mask): token ids per row, unknown tokens as ``UNK``.
 
-    Frequent tokens are resolved inside the row. If the vocabulary does not fit the bounds
+    Frequent tokens are resolved inside the row: by a plan literal for a small vocabulary,
+    else by one Arrow lookup. If the vocabulary does not fit the bounds
     above, only the positions left open are exploded and joined with the rest of the
     vocabulary; those tokens are rare by construction, so that join has no hot key.
     ``key`` must identify a row. Row positions start with a ``CLS`` id when ``add_cls``.
     """
     head = vocabulary_head(vocab, max_tokens)
     if head.complete:
-        ids = _resolve_all(head)(F.coalesce(tokens, _no_strings()))
+        present = F.coalesce(tokens, _no_strings())
+        small = len(head.tokens) <= LITERAL_TOKENS
+        ids = _literal_ids(present, head) if small else _resolve_all(head)(present)
         encoded = df.select(key, ids.alias("_ids"))
     else:
         encoded = _encode_with_tail(df, key, tokens, vocab, head)
@@ -192,6 +206,9 @@ def decode(ids: Column, head: VocabularyHead) -> Column:
         return _lists(pa.array(known, pa.string()).take(flat), _lengths(column))
 
     plain = F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: i >= FIRST_ID)
+    if len(known) <= LITERAL_TOKENS:
+        words = F.array(*[F.lit(t) for t in known]) if known else _no_strings()
+        return F.transform(plain, lambda i: F.try_element_at(words, i - (FIRST_ID - 1)))
     return F.arrow_udf(lookup, "array<string>")(plain)
 
 

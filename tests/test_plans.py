@@ -112,8 +112,10 @@ def test_scoring_sends_only_the_vector_to_python(table):
     assert "Python" not in linear
 
 
-def test_encode_with_a_complete_head_is_narrow(table):
+@pytest.mark.parametrize(("literal", "python"), [(256, 0), (0, 1)])
+def test_encode_with_a_complete_head_is_narrow(table, literal, python, monkeypatch):
+    monkeypatch.setattr(vocab, "LITERAL_TOKENS", literal)
     tokens = S.smiles_tokens(F.col("smiles"))
     encoded = vocab.encode(table, "id", tokens, vocab.build_vocabulary(table, tokens))
     text = plan(encoded)
-    assert shuffles(text) == 0 and len(re.findall("ArrowEvalPython", text)) == 1
+    assert shuffles(text) == 0 and len(re.findall("ArrowEvalPython", text)) == python

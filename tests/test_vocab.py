@@ -35,8 +35,9 @@ def test_vocabulary_order(words):
     assert found == expected_vocab(rows)
 
 
-@pytest.mark.parametrize("max_tokens", [1, 10, 50_000])
-def test_encode_is_the_same_whatever_fits_in_memory(words, max_tokens):
+@pytest.mark.parametrize(("max_tokens", "literal"), [(1, 0), (10, 0), (50_000, 0), (50_000, 256)])
+def test_encode_is_the_same_whatever_fits_in_memory(words, max_tokens, literal, monkeypatch):
+    monkeypatch.setattr(V, "LITERAL_TOKENS", literal)
     rows, df = words
     ids = expected_vocab(rows)
     vocabulary = V.build_vocabulary(df, tokens())
@@ -48,8 +49,9 @@ def test_encode_is_the_same_whatever_fits_in_memory(words, max_tokens):
         assert r.attention_mask == [1] * len(r.input_ids)
 
 
-@pytest.mark.parametrize("max_tokens", [2, 50_000])
-def test_unknown_tokens(spark, words, max_tokens):
+@pytest.mark.parametrize(("max_tokens", "literal"), [(2, 0), (50_000, 0), (50_000, 256)])
+def test_unknown_tokens(spark, words, max_tokens, literal, monkeypatch):
+    monkeypatch.setattr(V, "LITERAL_TOKENS", literal)
     _, df = words
     vocabulary = V.build_vocabulary(df, tokens())
     # "zzz" is unknown and hot: it fills most of the table.
@@ -76,7 +78,9 @@ def test_empty_table(spark):
     assert V.encode(df, "id", tokens(), vocabulary).count() == 0
 
 
-def test_encode_decode_is_the_identity(spark):
+@pytest.mark.parametrize("literal", [0, 256])
+def test_encode_decode_is_the_identity(spark, literal, monkeypatch):
+    monkeypatch.setattr(V, "LITERAL_TOKENS", literal)
     texts = ["C[C@@H](N)C(=O)[O-]", "", "[Na+].[Cl-]", "C%12CCCCC%12"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, smiles string")
     split = S.smiles_tokens(F.col("smiles"))
