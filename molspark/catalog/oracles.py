@@ -260,6 +260,8 @@ def all_oracles() -> dict[str, str]:
             unnest(embedding)::DOUBLE AS x FROM embeddings""",
         "key_unique": """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
             GROUP BY ALL HAVING count(*) > 1""",
+        "pred_label_join": """SELECT a.event_id, round(5 + a.value * 0.9::DOUBLE, 4) AS y_pred, b.value AS y
+            FROM events a JOIN events b ON a.event_id = b.event_id""",
         "copy_number": """SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_copies, count(*) AS last_copy
             FROM lineitem GROUP BY ALL""",
         "finetune_report": f"""WITH ranked AS (
@@ -373,11 +375,6 @@ def all_oracles() -> dict[str, str]:
             "predictions",
         ),
         "score_cross": ("SELECT * FROM property_values", "property_values"),
-        "pred_label_join": (
-            """SELECT a.row_key, round(a.y_pred, 4) AS y_pred, round(b.y, 4) AS y
-               FROM predictions a JOIN predictions b ON a.row_key = b.row_key""",
-            "predictions",
-        ),
         "pred_attr_join": (
             """SELECT v.mol_id, v.property, v.value, m.family, m.carbons
                FROM property_values v JOIN molecules m ON v.mol_id = m.mol_id""",

@@ -298,9 +298,10 @@ def score_cross(spark, sf):
 
 @register
 def pred_label_join(spark, sf):
-    rows = V.predictions(spark, sf)
-    joined = joins.join_one_to_one(rows.select("row_key", "y_pred"), rows.select("row_key", "y"), "row_key")
-    return _rounded(joined, 4, "y_pred", "y")
+    events = V.table(spark, sf, "events")
+    scored = events.select("event_id", linear([F.col("value")], [0.9], 5.0).alias("y_pred"))
+    labels = events.select("event_id", F.col("value").alias("y"))
+    return _rounded(joins.join_one_to_one(scored, labels, "event_id"), 4, "y_pred")
 
 
 @register

@@ -69,7 +69,8 @@ def is_accepted() -> Column:
 def quarantine(df: DataFrame, smiles: str = "smiles", strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) tables of one projection.
 
-    With ``strict`` the first rejected row fails the job that reads the accepted table.
+    A job that reads both should store them with ``sources.tables.write_quarantine``, which
+    validates once. With ``strict`` the first rejected row fails the job that reads the accepted table.
     """
     checked = validate(df, smiles)
     if strict:

@@ -134,8 +134,9 @@ def encode(
     vocab: DataFrame,
     add_cls: bool = True,
     max_tokens: int = HEAD_TOKENS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(key, input_ids, attention_mask): token ids per row, unknown tokens as ``UNK``.
+    """(key, kept columns, input_ids, attention_mask): ids per row, unknown tokens as ``UNK``.
 
     Frequent tokens are resolved inside the row: by a plan literal for a small vocabulary,
     else by one Arrow lookup. If the vocabulary does not fit the bounds
@@ -148,14 +149,14 @@ def encode(
         present = F.coalesce(tokens, _no_strings())
         small = len(head.tokens) <= LITERAL_TOKENS
         ids = _literal_ids(present, head) if small else _resolve_all(head)(present)
-        encoded = df.select(key, ids.alias("_ids"))
+        encoded = df.select(key, *keep, ids.alias("_ids"))
     else:
-        encoded = _encode_with_tail(df, key, tokens, vocab, head)
+        encoded = _encode_with_tail(df, key, tokens, vocab, head, keep)
     if add_cls:
         ids = F.concat(F.array(F.lit(CLS)), F.col("_ids"))
         encoded = encoded.withColumn("_ids", ids)
     mask = F.array_repeat(F.lit(1), F.size("_ids"))
-    return encoded.select(key, F.col("_ids").alias("input_ids"), mask.alias("attention_mask"))
+    return encoded.select(key, *keep, F.col("_ids").alias("input_ids"), mask.alias("attention_mask"))
 
 
 def _no_strings() -> Column:
@@ -163,11 +164,13 @@ def _no_strings() -> Column:
 
 
 def _encode_with_tail(
-    df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head: VocabularyHead
+    df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head: VocabularyHead, keep: tuple[str, ...]
 ) -> DataFrame:
     # Three branches read the lookup, so it is written once instead of being computed again.
     resolved = materialize(
-        df.select(key, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")).select(key, "_r.*"),
+        df.select(key, *keep, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")).select(
+            key, *keep, "_r.*"
+        ),
         "encode",
     )
     gaps = resolved.select(key, F.explode(F.arrays_zip("_pos", "_token")).alias("_gap"))
@@ -190,9 +193,9 @@ def _encode_with_tail(
     )
     is_open = F.size("_pos") > 0
     # Rows without a gap skip the join and its shuffle.
-    whole = resolved.filter(~is_open).select(key, "_ids")
+    whole = resolved.filter(~is_open).select(key, *keep, "_ids")
     joined = resolved.filter(is_open).join(found, key, "left")
-    return whole.unionByName(joined.select(key, filled.alias("_ids")))
+    return whole.unionByName(joined.select(key, *keep, filled.alias("_ids")))
 
 
 def decode(ids: Column, head: VocabularyHead) -> Column:

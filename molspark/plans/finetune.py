@@ -28,9 +28,8 @@ def prepare_examples(
     tokens = smiles_tokens(F.col(smiles))
     marked = train_test_split(df, key, test_size, seed)
     vocab = build_vocabulary(marked.filter(F.col("split") == "train"), tokens)
-    encoded = encode(df, key, tokens, vocab)
-    kept = rename_column(marked, label, "labels").select(key, "split", F.col("labels").cast("double"))
-    return kept.join(encoded, key), vocab
+    labelled = rename_column(marked, label, "labels").withColumn("labels", F.col("labels").cast("double"))
+    return encode(labelled, key, tokens, vocab, keep=("split", "labels")), vocab
 
 
 def tune_hyperparameters(

@@ -55,6 +55,14 @@ def write_split(df: DataFrame, path: str, split: str = "split") -> None:
     df.write.mode("errorifexists").partitionBy(split).parquet(path)
 
 
+def write_quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write a validated table once, partitioned by ``accepted``; return (accepted, rejected)."""
+    marked = checked.withColumn("accepted", F.size("reasons") == 0)
+    marked.write.mode("errorifexists").partitionBy("accepted").parquet(path)
+    stored = checked.sparkSession.read.schema(marked.schema).parquet(path)
+    return tuple(stored.filter(F.col("accepted") == side).drop("accepted") for side in (True, False))
+
+
 def spread_rows(df: DataFrame, key: str) -> DataFrame:
     """Give a scan of few large files one partition per core, before work that is heavy per row.
 

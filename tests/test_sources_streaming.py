@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from molspark.functions.smiles import smiles_tokens
 from molspark.functions import mlp
 from molspark.operators.heads import Head, score
+from molspark.operators.molecules import validate
 from molspark.operators.vocab import build_vocabulary, encode
 from molspark.sources import artifacts, tables
 from molspark.streaming.files import stream_files, tokenize_accepted
@@ -43,6 +44,14 @@ def test_split_table_is_pruned_by_side(spark, scratch):
     assert spark.read.parquet(path).filter("split = 'test'").count() == 2
 
 
+def test_quarantine_is_written_once_and_pruned(spark, scratch):
+    df = spark.createDataFrame([(1, "CC"), (2, "C(C"), (3, None)], "id int, smiles string")
+    accepted, rejected = tables.write_quarantine(validate(df), scratch("quarantine"))
+    assert [r.id for r in accepted.collect()] == [1]
+    assert {(r.id, tuple(r.reasons)) for r in rejected.collect()} == {(2, ("paren",)), (3, ("empty",))}
+    assert "PartitionFilters: [isnotnull(accepted" in accepted._jdf.queryExecution().toString()
+
+
 def test_vocabulary_round_trip(spark, scratch):
     df = spark.createDataFrame([("CCO",)], "smiles string")
     vocab = build_vocabulary(df, smiles_tokens(F.col("smiles")))

@@ -41,8 +41,8 @@ def test_encode_is_the_same_whatever_fits_in_memory(words, max_tokens, literal,
     rows, df = words
     ids = expected_vocab(rows)
     vocabulary = V.build_vocabulary(df, tokens())
-    encoded = V.encode(df, "id", tokens(), vocabulary, max_tokens=max_tokens).collect()
-    assert len(encoded) == len(rows)
+    encoded = V.encode(df, "id", tokens(), vocabulary, max_tokens=max_tokens, keep=("text",)).collect()
+    assert {(r.id, r.text) for r in encoded} == set(rows) and len(encoded) == len(rows)
     by_id = dict(rows)
     for r in encoded:
         assert r.input_ids == [V.CLS] + [ids[t][1] for t in (by_id[r.id] or "").split()]
