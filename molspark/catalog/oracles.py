@@ -270,7 +270,7 @@ def all_oracles() -> dict[str, str]:
             k AS (SELECT (count(*) + 4) // 5 AS k FROM lineitem),
             line AS (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM ranked, k WHERE r > k),
             scored AS (SELECT l_returnflag, y, b + a * x AS y_pred FROM ranked, k, line WHERE r <= k)
-            SELECT l_returnflag, {_metrics('scored')} GROUP BY ROLLUP (l_returnflag)""",
+            SELECT l_returnflag, GROUPING(l_returnflag)::INT AS level, {_metrics('scored')} GROUP BY ROLLUP (l_returnflag)""",
         "score_linear": f"SELECT vec_id, round(0.5 + {_DOT}, 6) AS y_pred FROM embeddings",
         "dataset_profile": """WITH profiled AS (
               SELECT d.doc_id, d.n_chars, l.quality, d.lang, d.source
@@ -415,7 +415,7 @@ def all_oracles() -> dict[str, str]:
         ),
         "regression_report": (f"SELECT {_metrics('predictions')}", "predictions"),
         "regression_report_by": (
-            f"SELECT grp, {_metrics('predictions')} GROUP BY ROLLUP (grp)",
+            f"SELECT grp, GROUPING(grp)::INT AS level, {_metrics('predictions')} GROUP BY ROLLUP (grp)",
             "predictions",
         ),
         "epoch_loss": ("SELECT run, epoch, eval_loss, n FROM epoch_log", "epoch_log"),

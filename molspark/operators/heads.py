@@ -363,7 +363,10 @@ def sweep(
     n = max(ids["n"], 1)
     if len(ids["ids"]) != ids["n"]:
         raise ValueError("trial_id must be unique and not null")
-    copies = rows.withColumn("trial_id", F.explode(F.array(*[F.lit(i) for i in sorted(ids["ids"])])))
+    every = F.explode(F.array(*[F.lit(i) for i in sorted(ids["ids"])]))
+    copies = rows.withColumn("trial_id", every).withColumn(
+        "trial_id", F.col("trial_id").cast(trials.schema["trial_id"].dataType)
+    )
     names = trials.columns
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -29,10 +29,15 @@ def regression_report(df: DataFrame, y: str = "y", y_pred: str = "y_pred") -> Da
 def regression_report_by(
     df: DataFrame, by: str | list[str], y: str = "y", y_pred: str = "y_pred", total: bool = False
 ) -> DataFrame:
-    """The same per group. ``total`` adds subtotals and the grand total as null groups."""
+    """The same per group.
+
+    ``total`` adds subtotals and the grand total as null groups; ``level`` is 0 for the
+    groups themselves, so a total is not mistaken for a group whose key is null.
+    """
     keys = [by] if isinstance(by, str) else by
-    grouped = df.rollup(*keys) if total else df.groupBy(*keys)
-    return grouped.agg(*_metric_columns(y, y_pred))
+    if not total:
+        return df.groupBy(*keys).agg(*_metric_columns(y, y_pred))
+    return df.rollup(*keys).agg(F.grouping_id().cast("int").alias("level"), *_metric_columns(y, y_pred))
 
 
 def masked_loss(df: DataFrame, label: str, y_pred: str) -> DataFrame:

@@ -187,8 +187,10 @@ def test_sweep_with_a_user_objective_sees_capped_data(spark, data):
         return float(params["batch_size"])
 
     trials = search.random_trials(spark, 3)
-    out = H.sweep(trials, df, df, "id", "x", "y", objective, max_train=50, max_val=7)
-    assert all(r.value == r.batch_size for r in out.collect())
+    wide = trials.withColumn("trial_id", F.col("trial_id").cast("bigint"))
+    for t in (trials, wide):
+        out = H.sweep(t, df, df, "id", "x", "y", objective, max_train=50, max_val=7).collect()
+        assert len(out) == 3 and all(r.value == r.batch_size for r in out)
     with pytest.raises(ValueError, match="unique"):
         H.sweep(trials.union(trials), df, df, "id", "x", "y", objective)
 

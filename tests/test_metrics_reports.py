@@ -37,6 +37,12 @@ def test_report_against_brute_force(spark):
         assert by[g].mae == pytest.approx(expected([r for r in rows if r[0] == g])[1])
 
 
+def test_total_is_told_from_a_null_group(spark):
+    rows = [("a", 1.0, 2.0), (None, 3.0, 3.0), (None, 5.0, 5.0)]
+    found = {(r.grp, r.level): r.n for r in R.regression_report_by(pairs(spark, rows), "grp", total=True).collect()}
+    assert found == {("a", 0): 1, (None, 0): 2, (None, 1): 3}
+
+
 def test_r2_is_not_the_squared_correlation(spark):
     row = pairs(spark, [("a", float(i), 10.0 * i) for i in range(5)]).agg(
         M.r2(F.col("y"), F.col("y_pred")).alias("r2"), F.regr_r2("y", "y_pred").alias("corr")
