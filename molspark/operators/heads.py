@@ -22,7 +22,7 @@ from molspark.operators.ranking import head_by_hash
 
 
 # Parameters per row in which the tasks of a training step report.
-_CHUNK = 1024
+_CHUNK = 512
 _PARTIAL = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("value", pa.list_(pa.float64()))])
 
 
