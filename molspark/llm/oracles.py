@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {
+    "op6_exact_dedup": """
+        SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256
+        FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
+                     max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
+              FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))""",
+}
 
 
 def all_oracles() -> dict[str, str]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe
+from molspark.llm import bpe, exact_dedup
 from molspark.llm.common import read_table
 from molspark.session import ship_package
 
@@ -38,3 +38,8 @@ def op1_byte_bpe(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN).drop("text")
     return bpe.decode(encoded, ranks).select("doc_id", *bpe.digests())
+
+
+@register
+def op6_exact_dedup(spark, sf):
+    return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
