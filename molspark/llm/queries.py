@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup
+from molspark.llm import bpe, exact_dedup, url_filter
 from molspark.llm.common import read_table
 from molspark.session import ship_package
 
@@ -40,6 +40,19 @@ def op1_byte_bpe(spark, sf):
     return bpe.decode(encoded, ranks).select("doc_id", *bpe.digests())
 
 
+URL_RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+
+
+@register
+def op2_url_filter(spark, sf):
+    return url_filter.judge(read_table(spark, sf, "pages"), URL_RULES)
+
+
 @register
 def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
