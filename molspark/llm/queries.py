@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, url_filter
-from molspark.llm.common import read_table
+from molspark.llm import bpe, exact_dedup, langid, url_filter
+from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,17 @@ def op2_url_filter(spark, sf):
     return url_filter.judge(read_table(spark, sf, "pages"), URL_RULES)
 
 
+@register
+def op3_language_id(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    learned = docs.where((crc_bucket("doc_id", 4) != 2) & F.col("lang").isNotNull())
+    pieces = langid.piece_vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    model = langid.fit(learned.select("doc_id", "text", "lang"), pieces)
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return langid.predict(rows, model).drop("text")
+
+
 @register
 def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
