@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, langid, url_filter
+from molspark.llm import bpe, exact_dedup, html_extract, langid, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -67,3 +67,10 @@ def op3_language_id(spark, sf):
 @register
 def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
+
+
+@register
+def op9_html_extract(spark, sf):
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    found = html_extract.extract(pages, html_extract.fit(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
