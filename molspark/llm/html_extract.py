@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from molspark.llm import dom
 from molspark.llm.common import slices
@@ -217,7 +218,7 @@ def extract(pages: DataFrame, potentials: Potentials, html: str = "html", out: s
     """
     rest = [c for c in pages.columns if c not in (html, out)]
     rows = pages.select(*rest, html)
-    schema = pages.select(*rest).schema.add(out, "string")
+    schema = T.StructType(pages.select(*rest).schema.fields).add(out, "string")
     shared = pages.sparkSession.sparkContext.broadcast(potentials)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, html_extract, langid, license_scan, url_filter
+from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -74,6 +74,11 @@ def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
 
 
+@register
+def op8_fingerprint(spark, sf):
+    return fingerprint.neighbour_fingerprints(read_table(spark, sf, "documents"))
+
+
 @register
 def op9_html_extract(spark, sf):
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
