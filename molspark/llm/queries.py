@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, url_filter
+from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, near_dedup, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -69,6 +69,11 @@ def op4_license_scan(spark, sf):
     return license_scan.scan_licenses(read_table(spark, sf, "documents"))
 
 
+@register
+def op5_near_dedup(spark, sf):
+    return near_dedup.near_duplicates(read_table(spark, sf, "documents"))
+
+
 @register
 def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
