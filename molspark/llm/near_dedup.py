@@ -3,8 +3,9 @@
 A document is the set of its five-word shingles. Documents with equal sets form a class. Every
 class has a sketch of minwise tokens, and independent trees branch the classes: a node chooses
 one token coordinate, sometimes a second one, by a hash of its path, and sends each class to the
-child named by its token there. With 1 / 0.85 coordinates on average a pair at the threshold
-meets in one child per node on average, while dissimilar classes part after a level or two.
+child named by its token there. With 1.43 coordinates on average a pair at the threshold meets
+in 1.2 children of a node, so its line in a tree dies out with a probability of 0.31 at most,
+however deep the tree, while dissimilar classes part after a level or two.
 Nodes of few classes are compared exhaustively on their sketches; larger ones branch on.
 
 A node that stays large although it was branched to the last level holds near copies of each
@@ -37,17 +38,17 @@ from molspark.session import materialize
 PERCENT = 85
 #: Minwise tokens of a sketch. Two coordinates are kept for the root of each tree.
 TOKENS = 64
-#: At the threshold a tree finds a pair with probability of at least 0.6, mostly 0.85: ten
-#: trees miss less than one in 10,000.
+#: A tree misses a pair at the threshold with probability 0.31 at most: ten trees miss less than
+#: one in 100,000.
 TREES = 10
 #: Classes of a node that is compared exhaustively, at most, and levels of branching.
-LEAF, DEPTH = 24, 7
+LEAF, DEPTH = 24, 5
 #: Share of equal tokens from which a pair is confirmed: five standard deviations below 0.85.
 CANDIDATE = 0.62
 #: Rounds of pivots for large nodes, while their open pairs are more than OPEN for each class.
 PIVOT_ROUNDS, OPEN = 12, 40
 
-_SECOND = 1000 * 100 // PERCENT - 1000  # per mille of nodes with a second coordinate
+_SECOND = 430  # per mille of nodes with a second coordinate
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240515)
 _FACTORS = _RANDOM.integers(1, 2**63, TOKENS, dtype=np.uint64) * _U(2) + _U(1)
