@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, near_dedup, url_filter
+from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, near_dedup, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -89,3 +89,12 @@ def op9_html_extract(spark, sf):
     pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
     found = html_extract.extract(pages, html_extract.fit(pages))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@register
+def op10_lm_score(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    learned = docs.where(crc_bucket("doc_id", 7) != 2)
+    model, counts = maxent_lm.fit(learned)
+    held_out = F.coalesce(crc_bucket("doc_id", 7) == 2, F.lit(False))
+    return maxent_lm.score(docs.withColumn("held_out", held_out), model, counts)
