@@ -23,6 +23,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -244,11 +245,34 @@ class PieceTokens(dict):
             _forget(self)
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.merges.ranks.get(data)
-        tokens = (whole,) if whole is not None else tuple(Prefixes(self.merges, data).tokens())
+        tokens = (whole,) if whole is not None else self._tokens(data)
         if len(piece) <= 64:
             self[piece] = tokens
         return tokens
 
+    def _tokens(self, data: bytes) -> tuple[int, ...]:
+        """As ``Prefixes`` does it for a whole piece, with the sizes of the last tokens kept beside."""
+        merges = self.merges
+        known, apart = merges._apart.get, merges.apart
+        last, sizes = [-1] * (len(data) + 1), [0] * (len(data) + 1)
+        for stop, (token, size) in merges.finder.iter(data.decode("latin-1")):
+            stop += 1
+            if sizes[stop]:
+                continue
+            if size != stop:
+                left = last[stop - size]
+                valid = known(left << 32 | token)
+                if valid is None:
+                    valid = apart(left, token)
+                if not valid:
+                    continue
+            last[stop], sizes[stop] = token, size
+        tokens, end = [], len(data)
+        while end:
+            tokens.append(last[end])
+            end -= sizes[end]
+        return tuple(tokens[::-1])
+
 
 class EncodedText:
     """A text with its pieces' prefix arrays, for appends and edits without a new encoding."""
@@ -323,6 +347,30 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+class _ByteTable:
+    """The bytes of all tokens in one buffer, from which whole batches of ids are gathered."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        size = max(ranks.values()) + 1
+        self.lengths, self.starts = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        at = 0
+        for token, rank in ranks.items():
+            self.lengths[rank], self.starts[rank] = len(token), at
+            at += len(token)
+        self.bytes = np.frombuffer(b"".join(ranks), np.uint8)
+
+    def join(self, lists: pa.ListArray) -> pa.Array:
+        ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths) or (self.lengths[ids] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        lengths = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        source = np.arange(ends[-1]) + np.repeat(self.starts[ids] - ends[:-1], lengths)
+        counts = np.array([0 if c is None else c for c in pc.list_value_length(lists).to_pylist()], np.int64)
+        borders = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(borders), pa.py_buffer(self.bytes[source])])
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Append ``out`` (array of int) with the ids of the whole text, without special tokens.
 
@@ -359,10 +407,9 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str =
     at = rows.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = {rank: token for token, rank in vocabulary.value.items()}
+        table = _ByteTable(vocabulary.value)
         for batch in slices(batches):
-            decoded = [b"".join(map(bytes_of.__getitem__, row or ())) for row in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, table.join(batch.column(at))], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 
