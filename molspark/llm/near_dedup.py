@@ -299,16 +299,7 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return links.unionByName(_confirm(last, sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Links join sets of Jaccard similarity 0.85 and more; ``component_id`` is the least doc_id
-    reachable, and the row of that id is kept. Null texts count as empty; a row without words is
-    linked with nothing and is its own component. Null ids sort after all others: a component of
-    null ids alone has no id and keeps none of them by id. Rows that repeat an id and its text
-    share its fate. An empty table gives an empty one; other columns are ignored. All rows and
-    whole texts take part; no group, node or bucket is cut short.
-    """
+def _judged(docs: DataFrame) -> DataFrame:
     rows = materialize(sketches(docs), "near-sketches")
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
@@ -319,4 +310,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = rows.drop("sketch").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Links join sets of Jaccard similarity 0.85 and more; ``component_id`` is the least doc_id
+    reachable, and the row of that id is kept. Null texts count as empty; a row without words is
+    linked with nothing and is its own component. Null ids sort after all others: a component of
+    null ids alone has no id and keeps none of them by id. Rows that repeat an id and its text
+    share its fate. An empty table gives an empty one; other columns are ignored. All rows and
+    whole texts take part; no group, node or bucket is cut short.
+    """
+    return _judged(docs).drop("key")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the row of the
+    least id, and all rows without an id or without words."""
+    dropped = _judged(docs).where("not kept and doc_id is not null and component_id is not null").select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, near_dedup, url_filter
+from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -79,6 +79,13 @@ def op6_exact_dedup(spark, sf):
     return exact_dedup.exact_groups(read_table(spark, sf, "documents"))
 
 
+@register
+def op7_mix_sources(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    mix = mixing.fit(docs, mixing.quality_domains(read_table(spark, sf, "labels")), mixing.TARGETS)
+    return mixing.apply(docs, mix).drop("text")
+
+
 @register
 def op8_fingerprint(spark, sf):
     return fingerprint.neighbour_fingerprints(read_table(spark, sf, "documents"))
