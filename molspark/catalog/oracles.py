@@ -139,6 +139,24 @@ _view(
          UNION ALL SELECT doc_id, 0 AS pos, 2 AS id FROM documents) GROUP BY doc_id""",
     ("words", "word_vocab"),
 )
+_view(
+    "doc_sides",
+    """SELECT doc_id, n_chars::DOUBLE AS labels, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id))
+                       <= (SELECT (count(*) + 4) // 5 FROM documents) THEN 'test' ELSE 'train' END AS split
+FROM documents""",
+)
+_view(
+    "train_vocab",
+    """SELECT token, (row_number() OVER (ORDER BY count(*) DESC, token) + 2)::INT AS id
+FROM words WHERE doc_id IN (SELECT doc_id FROM doc_sides WHERE split = 'train') GROUP BY token""",
+    ("words", "doc_sides"),
+)
+_view(
+    "train_ids",
+    """SELECT w.doc_id, w.pos, coalesce(k.id, 1) AS id FROM words w LEFT JOIN train_vocab k ON w.token = k.token
+UNION ALL SELECT doc_id, 0, 2 FROM doc_sides""",
+    ("words", "doc_sides", "train_vocab"),
+)
 _view(
     "checked",
     rf"""SELECT *, list_filter([
@@ -179,6 +197,11 @@ _view(
     "SELECT *, row_number() OVER (ORDER BY md5('42:' || row_key), row_key) AS rank FROM predictions",
     ("predictions",),
 )
+_view(
+    "line_subset",
+    "SELECT *, row_number() OVER (ORDER BY md5('42:subset:' || row_key), row_key) AS place FROM predictions",
+    ("predictions",),
+)
 _view(
     "line_split",
     """SELECT *, CASE WHEN rank <= (SELECT (count(*) + 4) // 5 FROM lineitem) THEN 'test' ELSE 'train' END AS split
@@ -262,6 +285,9 @@ def all_oracles() -> dict[str, str]:
             GROUP BY ALL HAVING count(*) > 1""",
         "pred_label_join": """SELECT a.event_id, round(5 + a.value * 0.9::DOUBLE, 4) AS y_pred, b.value AS y
             FROM events a JOIN events b ON a.event_id = b.event_id""",
+        "score_hidden": """SELECT vec_id, round(0.5 + sum(i * (x + 100)), 4) AS y_pred
+            FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings)
+            WHERE i % 2 = 1 GROUP BY vec_id""",
         "copy_number": """SELECT l_returnflag, count(*) AS n_rows, count(*) AS n_copies, count(*) AS last_copy
             FROM lineitem GROUP BY ALL""",
         "finetune_report": f"""WITH ranked AS (
@@ -455,8 +481,8 @@ def all_oracles() -> dict[str, str]:
             "predictions",
         ),
         "head_n": (
-            "SELECT row_key, round(y, 4) AS y FROM line_rank WHERE rank <= 5000",
-            "line_rank",
+            "SELECT row_key, round(y, 4) AS y FROM line_subset WHERE place <= 5000",
+            "line_subset",
         ),
         "trial_topk": (
             """SELECT study, trial_id, value, row_number() OVER (ORDER BY value, trial_id)::INT AS place
@@ -482,11 +508,45 @@ def all_oracles() -> dict[str, str]:
             "line_split",
         ),
         "split_reuse": (
-            """SELECT count(*) FILTER (rank <= 1000) AS n_left, count(*) AS n_right,
-                   count(*) FILTER (rank <= 1000) AS n_shared
+            """SELECT least(count(*), 1000)::BIGINT AS n_left, count(*) AS n_right, least(count(*), 1000)::BIGINT AS n_shared
                FROM line_split WHERE split = 'test'""",
             "line_split",
         ),
+        "split_three": (
+            """SELECT row_key, CASE WHEN rank <= (n + 4) // 5 THEN 'test'
+                   WHEN rank <= (n + 4) // 5 + (n + 9) // 10 THEN 'val' ELSE 'train' END AS split
+               FROM line_rank, (SELECT count(*) AS n FROM lineitem)""",
+            "line_rank",
+        ),
+        "csv_accepted": ("SELECT smiles FROM molecules WHERE carbons <> 13", "molecules"),
+        "csv_counts": (
+            """SELECT count(*) FILTER (carbons <> 13) AS n_good, count(*) FILTER (carbons = 13) AS n_bad FROM molecules""",
+            "molecules",
+        ),
+        "decode_documents": (
+            """SELECT d.doc_id, coalesce(string_agg(w.token, ' ' ORDER BY w.pos), '') AS words
+               FROM documents d LEFT JOIN words w ON d.doc_id = w.doc_id GROUP BY d.doc_id""",
+            "words",
+        ),
+        "prepare_documents": (
+            """SELECT s.doc_id, s.split, s.labels, count(*)::INT AS n_tokens,
+                   (count(*) FILTER (i.id = 1))::INT AS n_unknown,
+                   md5(string_agg(i.id::VARCHAR, ',' ORDER BY i.pos)) AS digest
+               FROM doc_sides s JOIN train_ids i ON s.doc_id = i.doc_id GROUP BY ALL""",
+            "train_ids",
+        ),
+        "saved_vocabulary": ("SELECT mol_id, pos::INT AS pos, id FROM mixed_ids", "mixed_ids"),
+        "predict_map": (
+            """SELECT mol_id, length(smiles)::DOUBLE AS y_pred FROM mixed""",
+            "mixed",
+        ),
+        "sweep_objective": (
+            """SELECT t AS trial_id, round(avg((target - t) * (target - t)), 4) AS value
+               FROM (SELECT target, row_number() OVER (ORDER BY md5('42:' || vec_id)) AS r, (SELECT count(*) FROM planted) AS n
+                     FROM planted), (SELECT unnest(range(5)) AS t)
+               WHERE r <= (n + 4) // 5 GROUP BY t""",
+            "planted",
+        ),
         "search_space": (
             """SELECT study, trial_id, round(dropout, 12) AS dropout, num_hidden_layers,
                    round(learning_rate, 12) AS learning_rate, batch_size FROM drawn""",

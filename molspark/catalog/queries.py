@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from molspark.functions.vectors import dot, linear
 from molspark.functions.vectors import pool_first as first_token
 from molspark.operators import checks, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
-from molspark.plans.finetune import line_report
+from molspark.plans.finetune import line_report, prepare_examples
 from molspark.session import scratch_path, ship_package
 from molspark.sources import artifacts, tables
 
@@ -74,6 +75,24 @@ def csv_scan(spark, sf):
     )
 
 
+def _dirty_csv(spark, sf):
+    label = F.when(F.col("carbons") == 13, F.lit("n/a")).otherwise(F.col("label").cast("string"))
+    path = scratch_path(spark, "csv")
+    tables.write_csv(V.molecules(spark, sf).select("mol_id", "smiles", label.alias("label")), path)
+    return tables.split_corrupt(tables.read_csv(spark, path, "mol_id bigint, smiles string, label double"))
+
+
+@register
+def csv_accepted(spark, sf):
+    return _dirty_csv(spark, sf)[0].select("smiles")
+
+
+@register
+def csv_counts(spark, sf):
+    good, bad = _dirty_csv(spark, sf)
+    return good.agg(F.count("*").alias("n_good")).withColumn("n_bad", bad.agg(F.count("*")).scalar())
+
+
 @register
 def series_generate(spark, sf):
     parts = V.table(spark, sf, "part").select(F.col("p_partkey").alias("mol_id"), "p_size")
@@ -192,6 +211,38 @@ def encode_roundtrip(spark, sf):
     return encoded.select("mol_id", F.array_join(decoded, "").alias("smiles"))
 
 
+@register
+def decode_documents(spark, sf):
+    rows, tokens = V.documents(spark, sf), S.word_tokens(F.col("text"))
+    vocabulary = vocab.build_vocabulary(rows, tokens)
+    decoded = vocab.decode_rows(vocab.encode(rows, "doc_id", tokens, vocabulary), vocabulary)
+    return decoded.select("doc_id", F.array_join("tokens", " ").alias("words"))
+
+
+@register
+def prepare_documents(spark, sf):
+    """The whole preparation path; tokens that only the test side has are unknown."""
+    rows = V.table(spark, sf, "documents").select("doc_id", "text", "n_chars")
+    examples, _ = prepare_examples(rows, "doc_id", "n_chars", seed=SPLIT_SEED, tokens=S.word_tokens(F.col("text")))
+    return examples.select(
+        "doc_id",
+        "split",
+        "labels",
+        F.size("input_ids").alias("n_tokens"),
+        F.size(F.filter("input_ids", lambda i: i == vocab.UNK)).alias("n_unknown"),
+        F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("digest"),
+    )
+
+
+@register
+def saved_vocabulary(spark, sf):
+    rows, tokens = V.mixed_smiles(spark, sf), S.smiles_tokens(F.col("smiles"))
+    path = scratch_path(spark, "vocabulary")
+    artifacts.save_vocabulary(vocab.build_vocabulary(rows, tokens), path)
+    encoded = vocab.encode(rows, "mol_id", tokens, artifacts.load_vocabulary(spark, path))
+    return encoded.select("mol_id", F.posexplode_outer("input_ids").alias("pos", "id"))
+
+
 @register
 def pad_fixed(spark, sf):
     padded = vocab.pad_fixed(_encoded_documents(spark, sf), MAX_LENGTH)
@@ -349,6 +400,12 @@ def split_shared_values(spark, sf):
     return checks.shared_values(_split_molecules(spark, sf), "smiles")
 
 
+@register
+def split_three(spark, sf):
+    rows = V.predictions(spark, sf).select("row_key")
+    return splits.three_way_split(rows, "row_key", 0.1, 0.2, SPLIT_SEED)
+
+
 @register
 def split_reuse(spark, sf):
     rows = V.predictions(spark, sf).select("row_key")
@@ -518,7 +575,6 @@ def fit_head(spark, sf):
     head = heads.fit_head(
         V.planted(spark, sf), "vec_id", "embedding", "target",
         HeadParams(num_hidden_layers=1, dropout=0.0, learning_rate=0.02, batch_size=16, epochs=5),
-        partitions=8,
     )
     losses = [(i, loss) for i, loss in enumerate(head.history)]
     return spark.createDataFrame(losses, "epoch int, loss double")
@@ -528,7 +584,7 @@ def fit_head(spark, sf):
 def score_head(spark, sf):
     rows = V.planted(spark, sf)
     params = HeadParams(num_hidden_layers=2, dropout=0.1, learning_rate=0.01, batch_size=None, epochs=3)
-    head = heads.fit_head(rows, "vec_id", "embedding", "target", params, partitions=8)
+    head = heads.fit_head(rows, "vec_id", "embedding", "target", params)
     return rows.select("vec_id", "target", heads.score("embedding", head).alias("y_pred"))
 
 
@@ -549,3 +605,39 @@ def sweep(spark, sf):
     rows = splits.train_test_split(V.planted(spark, sf), "vec_id", 0.2, SPLIT_SEED)
     train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
     return heads.sweep(search.random_trials(spark, 5, SPLIT_SEED), train, test, "vec_id", "embedding", "target")
+
+
+@register
+def sweep_objective(spark, sf):
+    """A user objective over the whole validation side, for trials numbered from 0."""
+    rows = splits.train_test_split(V.planted(spark, sf), "vec_id", 0.2, SPLIT_SEED)
+    train, test = (rows.filter(F.col("split") == side) for side in ("train", "test"))
+    trials = spark.range(5).select(F.col("id").alias("trial_id"))
+    loss = lambda trial, x, y: (y - trial["trial_id"]) ** 2
+    found = heads.sweep(trials, train, test, "vec_id", "embedding", "target", objective=loss)
+    return _rounded(found, 4, "value")
+
+
+@register
+def score_hidden(spark, sf):
+    """Two hidden layers whose inputs lie far from zero, where GELU is the identity or zero: the
+    first adds 100, the second passes on every other unit."""
+    dim = 64
+    eye, even = np.eye(dim).ravel(), np.where(np.arange(dim) % 2 == 0, 0.0, -1000.0)
+    weights = np.concatenate([eye, np.full(dim, 100.0), eye, even, np.arange(1.0, dim + 1), [0.5]])
+    rows = V.table(spark, sf, "embeddings")
+    scored = heads.score(F.col("embedding"), heads.Head(dim, 2, weights))
+    return rows.select("vec_id", F.round(scored, 4).alias("y_pred"))
+
+
+class _Lengths:
+    """A model with the interface of the prediction services: a list in, maps of properties out."""
+
+    def predict(self, smiles: list[str]) -> list[dict]:
+        return [{"length": {"value": float(len(s))}} for s in smiles]
+
+
+@register
+def predict_map(spark, sf):
+    rows = V.mixed_smiles(spark, sf).select("mol_id", "smiles")
+    return heads.score_with(rows, heads.MapPredictor(_Lengths()), ["smiles"]).drop("smiles")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from molspark.functions import smiles as S
 from molspark.functions.vectors import dot, linear
 from molspark.operators.joins import score_registry
-from molspark.sources.tables import spread_rows
 
 # Example strings with the expected verdict of the lexical checks.
 EXAMPLES = [
@@ -113,7 +112,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text; spread over the cores because every use of it tokenizes whole texts."""
-    return spread_rows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,21 @@ def as_columns(keys: str | Column | Sequence[str | Column]) -> list[Column]:
     return [F.col(k) if isinstance(k, str) else k for k in keys]
 
 
+def _part(column: Column, alone: bool) -> Column:
+    text = column.cast("string")
+    if not alone:
+        text = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(":"), F.lit("\\:"))
+    return F.coalesce(text, F.lit("\\N"))
+
+
 def seeded_hash(keys, seed: int | str = 42) -> Column:
-    """32 hex digits of ``md5(seed:key1:key2...)``."""
-    parts = [F.lit(str(seed))] + [c.cast("string") for c in as_columns(keys)]
-    return F.md5(F.concat_ws(":", *parts))
+    """32 hex digits of ``md5(seed:key1:key2...)``.
+
+    In a key of several columns ``:`` and the backslash are escaped, and a null is ``\\N``, so
+    different keys are different texts.
+    """
+    columns = as_columns(keys)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[_part(c, len(columns) == 1) for c in columns]))
 
 
 def hash_uniform(digest: Column) -> Column:

@@ -23,6 +23,8 @@ from molspark.operators.ranking import head_by_hash
 
 # Parameters per row in which the tasks of a training step report.
 _CHUNK = 512
+# Partitions whose reports meet in one group first.
+_FAN_IN = 256
 _PARTIAL = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("value", pa.list_(pa.float64()))])
 
 
@@ -81,9 +83,10 @@ def _training_rows(df: DataFrame, key: str, vector: str, label: str, partitions:
 def _summed(data: DataFrame, task: Callable[[Iterable], tuple[int, float, np.ndarray]], size: int):
     """Run ``task`` on each partition and return (rows, loss, vector) summed over all of them.
 
-    The vector of a partition travels in chunks and Spark brings equal chunks together, so
-    a task adds up ``_CHUNK`` numbers per partition however many parameters there are. They
-    are added in partition order, which makes the sums repeatable. The driver gets the sums.
+    The vector of a partition travels in chunks and Spark brings equal chunks together, first
+    those of ``_FAN_IN`` partitions and then their sums, so a task adds up ``_CHUNK`` numbers for
+    each of a bounded share of the partitions, however many parameters there are. They are added
+    in partition order, which makes the sums repeatable. The driver gets the sums.
     """
 
     def emit(batches):
@@ -105,7 +108,9 @@ def _summed(data: DataFrame, task: Callable[[Iterable], tuple[int, float, np.nda
         return pa.Table.from_pydict({**first, "value": [values.sum(axis=0)]}, _PARTIAL)
 
     schema = "chunk int, part int, value array<double>"
-    sums = data.mapInArrow(emit, schema).groupBy("chunk").applyInArrow(add, schema)
+    some = F.floor(F.col("part") / _FAN_IN).alias("some")
+    partial = data.mapInArrow(emit, schema).groupBy("chunk", some).applyInArrow(add, schema)
+    sums = partial.groupBy("chunk").applyInArrow(add, schema)
     table = sums.toArrow().sort_by("chunk")
     if not table.num_rows:
         return 0, 0.0, np.zeros(size)
@@ -113,14 +118,18 @@ def _summed(data: DataFrame, task: Callable[[Iterable], tuple[int, float, np.nda
     return int(totals[0]), float(totals[1]), totals[2:]
 
 
-def gradient_sums(data: DataFrame, weights: np.ndarray, dim: int, layers: int):
-    """(rows, squared error, gradient) over all rows of a frame with columns x and y."""
+def gradient_sums(data: DataFrame, weights: np.ndarray, dim: int, layers: int, dropout: float = 0.0, seed=(0,)):
+    """(rows, squared error, gradient) over all rows of a frame with columns x and y. Dropout masks
+    come from the seed and the partition, so a retried task repeats them."""
 
     def task(batches):
+        from pyspark import TaskContext
+
+        rng = np.random.default_rng([*seed, TaskContext.get().partitionId()])
         n, loss, total = 0, 0.0, np.zeros(len(weights))
         for batch in batches:
             x, y = _matrix(batch.column("x"), dim), batch.column("y").to_numpy()
-            block_loss, block = mlp.squared_error_gradient(weights, x, y, layers)
+            block_loss, block = mlp.squared_error_gradient(weights, x, y, layers, dropout, rng)
             n, loss, total = n + len(y), loss + block_loss, total + block
         return n, loss, total
 
@@ -220,7 +229,7 @@ def fit_head(
 def _full_step(data, state, dim, p: HeadParams, epoch):
     """One Adam step with the exact gradient over all rows."""
     flat, m, v = np.split(state, 3)
-    n, loss, grad = gradient_sums(data, flat, dim, p.num_hidden_layers)
+    n, loss, grad = gradient_sums(data, flat, dim, p.num_hidden_layers, p.dropout, (p.seed, epoch))
     rate = mlp.linear_schedule(epoch + 1, p.epochs, p.learning_rate, p.warmup)
     return np.concatenate(mlp.adam_step(flat, m, v, epoch + 1, grad / n, rate)), loss / n
 
@@ -286,6 +295,18 @@ def score_properties(df: DataFrame, vector: str, heads: dict[str, Head]) -> Data
     return scored.withColumn("_p", pairs).select(*df.columns, "_p.property", "_p.value")
 
 
+class MapPredictor:
+    """Adapter for a model whose ``predict`` takes a list of inputs and returns, for each, a map
+    from property to ``{"value": number}``; the number of the first property is the prediction."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def predict(self, rows: pd.DataFrame) -> pd.Series:
+        found = self.model.predict(rows.iloc[:, 0].tolist())
+        return pd.Series([next(iter(f.values()))["value"] if f else None for f in found], dtype="f8")
+
+
 def score_with(df: DataFrame, predictor: Predictor, inputs: list[str], name: str = "y_pred") -> DataFrame:
     """Add the predictions of a user object, called on Arrow batches of the named columns."""
     require_columns(df, inputs)
@@ -309,24 +330,58 @@ def map_rows(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema:
     return df.mapInPandas(run, schema)
 
 
-def train_and_eval(params: dict, train_x, train_y, val_x, val_y, epochs: int = 3, seed: int = 42) -> float:
-    """Default objective of a trial: mini-batch training, then the loss on the validation rows."""
-    layers, size = int(params["num_hidden_layers"]), int(params["batch_size"])
-    rng = np.random.default_rng([seed, int(params["trial_id"])])
-    flat = mlp.init_parameters(train_x.shape[1], layers, seed)
-    m, v = np.zeros(len(flat)), np.zeros(len(flat))
-    total, step = epochs * -(-len(train_y) // size), 0
-    for _ in range(epochs):
-        order = rng.permutation(len(train_y))
-        for i in range(0, len(order), size):
-            rows = order[i : i + size]
-            step += 1
-            _, grad = mlp.squared_error_gradient(
-                flat, train_x[rows], train_y[rows], layers, float(params["dropout"]), rng
-            )
-            rate = mlp.linear_schedule(step, total, float(params["learning_rate"]), 0.0)
-            flat, m, v = mlp.adam_step(flat, m, v, step, grad / len(rows), rate)
-    return float(np.mean((mlp.predict(flat, val_x, layers) - val_y) ** 2))
+def _trial_list(trials: DataFrame, max_trials: int) -> list[dict]:
+    rows = [r.asDict() for r in trials.limit(max_trials + 1).collect()]
+    if len(rows) > max_trials:
+        raise ValueError(f"more than {max_trials} trials")
+    if len({r["trial_id"] for r in rows}) != len(rows) or any(r["trial_id"] is None for r in rows):
+        raise ValueError("trial_id must be unique and not null")
+    return sorted(rows, key=lambda r: r["trial_id"])
+
+
+def _trial_epoch(data: DataFrame, trials: list[dict], states: list[np.ndarray], dim: int, epoch: int, epochs: int, rows: int, seed: int):
+    """One pass of mini-batch Adam per partition for every trial, in one job over the rows; each
+    trial's states are averaged by rows afterwards."""
+    borders = np.cumsum([0, *map(len, states)])
+
+    def task(batches):
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        own = [np.split(state.copy(), 3) for state in states]
+        rngs = [np.random.default_rng([seed, epoch, part, int(t["trial_id"])]) for t in trials]
+        n, done = 0, [0] * len(trials)
+        for batch in batches:
+            xs, ys = _matrix(batch.column("x"), dim), batch.column("y").to_numpy()
+            n += len(ys)
+            for k, trial in enumerate(trials):
+                size, layers = int(trial["batch_size"]), int(trial["num_hidden_layers"])
+                steps = max(1, -(-rows // size))
+                for i in range(0, len(ys), size):
+                    x, y = xs[i : i + size], ys[i : i + size]
+                    done[k] += 1
+                    at = epoch * steps + done[k]
+                    _, grad = mlp.squared_error_gradient(own[k][0], x, y, layers, float(trial["dropout"]), rngs[k])
+                    rate = mlp.linear_schedule(at, epochs * steps, float(trial["learning_rate"]), 0.0)
+                    own[k] = list(mlp.adam_step(*own[k], at, grad / len(y), rate))
+        return n, 0.0, np.concatenate([np.concatenate(state) for state in own]) * n
+
+    n, _, summed = _summed(data, task, int(borders[-1]))
+    return [summed[a:b] / max(n, 1) for a, b in zip(borders[:-1], borders[1:])]
+
+
+def _mean_losses(data: DataFrame, count: int, dim: int, losses: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> np.ndarray:
+    """Means over all rows of ``count`` losses that ``losses`` gives per row of a block."""
+
+    def task(batches):
+        n, total = 0, np.zeros(count)
+        for batch in batches:
+            x, y = _matrix(batch.column("x"), dim), batch.column("y").to_numpy()
+            n, total = n + len(y), total + [float(np.sum(rows)) for rows in losses(x, y)]
+        return n, 0.0, total
+
+    n, _, summed = _summed(data, task, count)
+    return summed / n if n else np.full(count, np.nan)
 
 
 def sweep(
@@ -336,53 +391,52 @@ def sweep(
     key: str,
     vector: str,
     label: str,
-    objective: Callable[..., float] = train_and_eval,
-    max_train: int = 5000,
-    max_val: int = 1000,
+    objective: Callable[[dict, np.ndarray, np.ndarray], np.ndarray] | None = None,
+    max_train: int | None = None,
+    epochs: int = 3,
     seed: int = 42,
+    max_trials: int = 1000,
 ) -> DataFrame:
-    """Trials table with the objective of each trial in ``value``; trials run in parallel.
+    """Trials table with the objective of each trial in ``value``.
 
-    As in a single-process tuner, every trial sees the same capped subset (at most 5000 and
-    1000 rows), which bounds what one task holds. Each trial starts from fresh parameters,
-    so its value depends on its own parameters only, not on order or placement.
-    """
-    usable = F.col(vector).isNotNull() & F.col(label).isNotNull()
-
-    def subset(df: DataFrame, cap: int, side: str) -> DataFrame:
-        rows = head_by_hash(df.filter(usable), key, cap, seed)
-        return rows.select(
-            F.col(key).cast("string").alias("_k"),
-            F.col(vector).cast("array<double>").alias("_x"),
-            F.col(label).cast("double").alias("_y"),
-            F.lit(side).alias("_side"),
-        )
-
-    rows = subset(train, max_train, "train").unionByName(subset(val, max_val, "val"))
-    ids = trials.agg(F.collect_set("trial_id").alias("ids"), F.count("*").alias("n")).first()
-    n = max(ids["n"], 1)
-    if len(ids["ids"]) != ids["n"]:
-        raise ValueError("trial_id must be unique and not null")
-    every = F.explode(F.array(*[F.lit(i) for i in sorted(ids["ids"])]))
-    copies = rows.withColumn("trial_id", every).withColumn(
-        "trial_id", F.col("trial_id").cast(trials.schema["trial_id"].dataType)
-    )
-    names = trials.columns
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty:
-            return pd.DataFrame({c: [] for c in [*names, "value"]})
-        right = right.sort_values(["_side", "_k"])
-        sides = {s: g for s, g in right.groupby("_side")}
-        if set(sides) != {"train", "val"}:
-            raise ValueError("both sides of the subset need labelled rows")
-        arrays = [a for s in ("train", "val") for a in (np.stack(sides[s]["_x"]), sides[s]["_y"].to_numpy())]
-        return left.assign(value=objective(left.iloc[0].to_dict(), *arrays))
+    All trials share each pass: an epoch is one job over the cached train rows in which every
+    task trains every trial on its partition, and the results are averaged by rows. The value is
+    the mean squared error over the whole validation side, taken for all trials in one job. Each
+    trial starts from fresh parameters and draws from its own seed, so its value depends on its
+    own parameters only. ``max_train`` bounds the rows that are fitted on, by default none are
+    left out; ``max_trials`` bounds the trials, whose parameters are what the driver holds.
 
+    A user ``objective`` replaces the training: it gets a trial's parameters and a block of
+    validation vectors and labels and returns a loss per row; the value is their mean.
+    """
+    spark = trials.sparkSession
+    rows = _trial_list(trials, max_trials)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checked = _training_rows(val, key, vector, label, partitions).persist()
+    data = None
+    try:
+        dim = checked.agg(F.max(F.size("x"))).first()[0]
+        if dim is None:
+            raise ValueError("both sides need labelled rows")
+        if objective is not None:
+            values = _mean_losses(checked, len(rows), dim, lambda x, y: [objective(t, x, y) for t in rows])
+        else:
+            usable = F.col(vector).isNotNull() & F.col(label).isNotNull()
+            fitted = train if max_train is None else head_by_hash(train.filter(usable), key, max_train, seed)
+            data = _training_rows(fitted, key, vector, label, partitions).persist()
+            n = data.count()
+            if not n:
+                raise ValueError("both sides need labelled rows")
+            flats = [mlp.init_parameters(dim, int(t["num_hidden_layers"]), seed) for t in rows]
+            states = [np.concatenate([f, np.zeros(2 * len(f))]) for f in flats]
+            for epoch in range(epochs if rows else 0):
+                states = _trial_epoch(data, rows, states, dim, epoch, epochs, -(-n // partitions), seed)
+            heads = [(np.split(s, 3)[0], int(t["num_hidden_layers"])) for s, t in zip(states, rows)]
+            values = _mean_losses(checked, len(rows), dim, lambda x, y: [(mlp.predict(w, x, k) - y) ** 2 for w, k in heads])
+    finally:
+        checked.unpersist()
+        if data is not None:
+            data.unpersist()
+    done = [(*(t[c] for c in trials.columns), float(v)) for t, v in zip(rows, values)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trials.schema.fields)
-    # An explicit number of partitions keeps adaptive execution from packing small but
-    # slow trials into one task.
-    spread = trials.repartition(n, "trial_id").groupBy("trial_id")
-    return spread.cogroup(copies.repartition(n, "trial_id").groupBy("trial_id")).applyInPandas(
-        run, f"{schema}, value double"
-    )
+    return spark.createDataFrame(done, f"{schema}, value double")

@@ -17,14 +17,23 @@ def _one_row_per_key(df: DataFrame, keys: list[str], side: str) -> DataFrame:
     return reduced.filter(once).drop("_n")
 
 
-def join_one_to_one(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that fails if a key occurs twice on either side.
+def join_one_to_one(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "exact") -> DataFrame:
+    """Equi-join that fails if a key occurs twice on either side or, by default, on one side only.
+
+    It stands in for alignment by position, which loses no row. Any other ``how`` is that of a
+    plain join.
 
     The uniqueness test groups by the join key, so it shares the shuffle of the join, and
     copies of a key are folded before that shuffle instead of being paired.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return _one_row_per_key(left, keys, "left").join(_one_row_per_key(right, keys, "right"), keys, how)
+    left, right = _one_row_per_key(left, keys, "left"), _one_row_per_key(right, keys, "right")
+    if how != "exact":
+        return left.join(right, keys, how)
+    joined = left.withColumn("_in_left", F.lit(True)).join(right.withColumn("_in_right", F.lit(True)), keys, "full")
+    message = F.concat(F.lit("key occurs on one side only: "), F.concat_ws(":", *[F.col(k).cast("string") for k in keys]))
+    matched = F.col("_in_left").isNotNull() & F.col("_in_right").isNotNull()
+    return joined.filter(F.when(matched, True).otherwise(F.raise_error(message).cast("boolean"))).drop("_in_left", "_in_right")
 
 
 def score_registry(df: DataFrame, registry: list[dict], value: Column | None = None) -> DataFrame:

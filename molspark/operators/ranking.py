@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from molspark.functions.hashing import as_columns, seeded_hash
@@ -15,18 +15,22 @@ from molspark.session import materialize
 _BAND_DIGITS = 12
 # Digest prefix counted when it is elsewhere: at most 16**4 cells.
 _PREFIX_DIGITS = 4
+_DIGEST_DIGITS = 32
 # monotonically_increasing_id keeps the row number of a partition in the low 33 bits.
 _ROW_BITS = 33
 _MAX_DIGITS = 5
+_CELL_ROWS = 1_000_000
 _COPY_SALTS = 65_536
 _COPY_CHUNK = 100_000
 
 
-def _cell_digits(spark: SparkSession) -> int:
-    """Hex digits that give at least four cells per shuffle partition (16**2 to 16**5)."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _cell_digits(df: DataFrame) -> int:
+    """Hex digits that give at least four cells per shuffle partition and cells of about
+    ``_CELL_ROWS`` rows (16**2 to 16**5 cells)."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(4 * partitions, df.count() / _CELL_ROWS)
     digits = 2
-    while 16**digits < 4 * partitions and digits < _MAX_DIGITS:
+    while 16**digits < wanted and digits < _MAX_DIGITS:
         digits += 1
     return digits
 
@@ -39,7 +43,9 @@ def hash_rank(df: DataFrame, key, seed: int = 42, name: str = "rank", digits: in
     counts rows per cell from the key columns alone, one shuffles the rows by cell. What
     is broadcast is one row per cell, at most 16**5 whatever the table size.
     """
-    digits = digits or _cell_digits(df.sparkSession)
+    digits = digits or _cell_digits(df)
+    if digits > _MAX_DIGITS:
+        raise ValueError(f"more than {_MAX_DIGITS} digits would broadcast too many offsets")
     digest = seeded_hash(key, seed)
     counts = df.groupBy(F.substring(digest, 1, digits).alias("_cell")).agg(F.count("*").alias("_n"))
     offsets = counts.select(
@@ -148,18 +154,26 @@ def _locate(digests: DataFrame, target: int, low: str, high: str) -> str | None:
 
 
 def _locate_by_prefix(digests: DataFrame, target: int) -> str:
-    """The ``target``-th digest, whatever the distribution of the keys."""
-    cells = _running(digests, F.substring("_digest", 1, _PREFIX_DIGITS))
-    cell = cells.filter(F.col("_upto") >= target).orderBy("_cell").first()["_cell"]
-    return _locate(digests, target, cell, cell + "g")
+    """The ``target``-th digest, whatever the distribution of the keys: each pass counts the next
+    digits below the prefix found so far, at most 16**4 cells, until the digest is whole."""
+    prefix, below = "", 0
+    while len(prefix) < _DIGEST_DIGITS:
+        inside = digests.filter(F.startswith("_digest", F.lit(prefix))) if prefix else digests
+        cells = _running(inside, F.substring("_digest", 1, len(prefix) + _PREFIX_DIGITS))
+        row = cells.filter(F.col("_upto") >= target - below).orderBy("_cell").first()
+        prefix, below = row["_cell"], below + row["_upto"] - row["_n"]
+        if row["_n"] == 1:
+            return inside.filter(F.startswith("_digest", F.lit(prefix))).first()["_digest"]
+    return prefix
 
 
 def head_by_hash(df: DataFrame, key, n: int, seed: int | str = 42) -> DataFrame:
     """The ``min(n, rows)`` rows with the smallest seeded hash: a reproducible subset.
 
-    A filter, not a sort: no task collects ``n`` candidates from each partition.
+    A filter, not a sort: no task collects ``n`` candidates from each partition. The hash is
+    not the one that splits with the same seed use, so a subset of a side is no edge of it.
     """
-    return df.filter(hash_cutoff(df, key, n, seed).contains())
+    return df.filter(hash_cutoff(df, key, n, f"{seed}:subset").contains())
 
 
 def number_copies(df: DataFrame, key, name: str = "copy") -> DataFrame:

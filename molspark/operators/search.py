@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from molspark.session import materialize
+
 from molspark.functions.hashing import as_columns, seeded_uniform
 
 # The search space of the regression head.
@@ -17,8 +19,6 @@ BATCH_SIZES = (16, 32, 64)
 
 PARAMETERS = ("dropout", "num_hidden_layers", "learning_rate", "batch_size")
 
-# Rows of the trials table per block of trial ids in the running minimum.
-_BLOCK_ROWS = 1_000_000
 
 
 def uniform_float(u: Column, low: float, high: float, log: bool = False) -> Column:
@@ -89,43 +89,33 @@ def leaderboard(
 
 
 def best_so_far(
-    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", block_rows: int = _BLOCK_ROWS
+    df: DataFrame, by: str = "study", trial: str = "trial_id", value: str = "value", partitions: int | None = None
 ) -> DataFrame:
     """Add the running minimum over the trials of a study, and its log10 where positive.
 
-    A study may hold any share of the table. The range of trial ids is cut into blocks of
-    about ``block_rows`` rows, each (study, block) is reduced to its minimum before the
-    shuffle, and a row combines the minimum of all earlier blocks with the running minimum
-    of its own. So a task orders one block of rows, or one minimum per block of a study.
+    A study may hold any share of the table and its ids may be spread in any way: rows are range
+    partitioned by study and trial, so every task gets an equal share of the rows in order. Each
+    (study, partition) is reduced to its minimum, and a row combines the minimum of the earlier
+    partitions with the running minimum within its own. Rows without an id come first. Rows are
+    written once, so that both steps see the same layout after a lost executor.
     """
     number = F.col(value).cast("double")
-    place = F.col(trial).cast("double")
-    low, high, rows = F.min(place).alias("low"), F.max(place).alias("high"), F.count(place).alias("rows")
-    span = df.agg(F.struct(low, high, rows).alias("_s"))
-    width = (F.col("_s.high") - F.col("_s.low") + 1) / F.greatest(F.col("_s.rows") / block_rows, F.lit(1.0))
-    tagged = (
-        df.withColumn("_s", span.scalar())
-        .withColumn("_block", F.floor((place - F.col("_s.low")) / width))
-        .drop("_s")
-    )
+    order = [F.col(by), F.col(trial)]
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    placed = materialize(ranged.withColumn("_part", F.spark_partition_id()), "best_so_far")
     usable = F.when(~F.isnan(number), number)
-    blocks = tagged.groupBy(F.col(by).alias("_study"), F.col("_block").alias("_of")).agg(F.min(usable).alias("_min"))
-    earlier = blocks.withColumn(
-        "_earlier",
-        F.min("_min").over(
-            Window.partitionBy("_study").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
-        ),
-    ).drop("_min")
-    in_block = (
-        Window.partitionBy(by, "_block").orderBy(trial).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    own = tagged.withColumn("_own", F.min(usable).over(in_block))
-    joined = own.join(earlier, F.col(by).eqNullSafe(F.col("_study")) & (F.col("_block") == F.col("_of")))
+    parts = placed.groupBy(F.col(by).alias("_study"), F.col("_part").alias("_of")).agg(F.min(usable).alias("_min"))
+    before = Window.partitionBy("_study").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per study and partition of the range.
+    earlier = parts.withColumn("_earlier", F.min("_min").over(before)).drop("_min")
+    within = Window.partitionBy(by, "_part").orderBy(trial).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = placed.withColumn("_own", F.min(usable).over(within))
+    joined = own.join(earlier, F.col(by).eqNullSafe(F.col("_study")) & (F.col("_part") == F.col("_of")))
     best = F.least("_earlier", "_own")
     return (
         joined.withColumn("best_value", best)
         .withColumn("log10_best", F.when(F.col("best_value") > 0, F.log10("best_value")))
-        .drop("_block", "_study", "_of", "_earlier", "_own")
+        .drop("_part", "_study", "_of", "_earlier", "_own")
     )
 
 

@@ -26,6 +26,21 @@ def train_test_split(df: DataFrame, key, test_size: float = 0.2, seed: int = 42,
     return df.withColumn(name, F.when(cutoff.contains(), "test").otherwise("train"))
 
 
+def three_way_split(
+    df: DataFrame, key, val_size: float = 0.1, test_size: float = 0.2, seed: int = 42, name: str = "split"
+) -> DataFrame:
+    """Mark exactly ``ceil(test_size * n)`` rows as ``test``, the ``ceil(val_size * n)`` next by
+    hash as ``val`` and the rest as ``train``. The test side is that of :func:`train_test_split`."""
+    shares = [Decimal(str(s)) for s in (test_size, val_size)]
+    if min(shares) < 0 or sum(shares) > 1:
+        raise ValueError("the sizes must be shares that add up to one at most")
+    whole = lambda share, n: int((share * n).to_integral_value(ROUND_CEILING))
+    test = hash_cutoff(df, key, lambda n: whole(shares[0], n), seed)
+    both = hash_cutoff(df, key, lambda n: min(n, whole(shares[0], n) + whole(shares[1], n)), seed)
+    side = F.when(test.contains(), "test").when(both.contains(), "val").otherwise("train")
+    return df.withColumn(name, side)
+
+
 def threshold_split(df: DataFrame, key, test_size: float = 0.2, seed: int = 42, name: str = "split") -> DataFrame:
     """Split by comparing each row's uniform draw with ``test_size``.
 

@@ -43,31 +43,35 @@ def build_vocabulary(df: DataFrame, tokens: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class VocabularyHead:
-    """The most frequent tokens in id order, bounded by count and by characters."""
+    """The first tokens in id order with their ids, bounded by count and by characters."""
 
     tokens: tuple[str, ...]
+    ids: tuple[int, ...]
     complete: bool
 
 
 def vocabulary_head(
     vocab: DataFrame, max_tokens: int = HEAD_TOKENS, max_characters: int = HEAD_CHARACTERS
 ) -> VocabularyHead:
-    """Fetch the head of a vocabulary. Ids are frequency ranks, so the filter bounds it."""
+    """Fetch the head of a vocabulary: its first tokens by id, whatever the ids are."""
     size = F.sum(F.length("token")).over(
         Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     # One row more than wanted, and null for what does not fit, tell whether this is all.
-    first = vocab.filter(F.col("id") <= FIRST_ID + max_tokens)
-    fits = (size <= max_characters) & (F.col("id") < FIRST_ID + max_tokens)
-    rows = first.select("id", F.when(fits, F.col("token")).alias("token")).toArrow()
-    tokens = rows.sort_by("id").column("token").drop_null().to_pylist()
-    return VocabularyHead(tuple(tokens), len(tokens) == rows.num_rows)
+    first = vocab.select("id", "token").orderBy("id").limit(max_tokens + 1)
+    place = F.row_number().over(Window.orderBy("id"))
+    fits = (size <= max_characters) & (place <= max_tokens)
+    rows = first.select("id", F.when(fits, F.col("token")).alias("token")).toArrow().sort_by("id")
+    kept = rows.filter(rows.column("token").is_valid())
+    return VocabularyHead(
+        tuple(kept.column("token").to_pylist()), tuple(kept.column("id").to_pylist()), kept.num_rows == rows.num_rows
+    )
 
 
 def _literal_ids(tokens: Column, head: VocabularyHead) -> Column:
     if not head.tokens:
         return F.transform(tokens, lambda t: F.lit(UNK))
-    ids = F.sequence(F.lit(FIRST_ID), F.lit(FIRST_ID + len(head.tokens) - 1))
+    ids = F.array(*[F.lit(i) for i in head.ids])
     known = F.map_from_arrays(F.array(*[F.lit(t) for t in head.tokens]), ids)
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.lit(UNK)))
 
@@ -81,17 +85,16 @@ def _lengths(lists: pa.Array) -> np.ndarray:
     return pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype("int64")
 
 
-def _token_ids(tokens: pa.Array, known: tuple[str, ...]) -> pa.Array:
-    index = pc.index_in(tokens.flatten().cast(pa.string()), value_set=pa.array(known, pa.string()))
-    return pc.add(index, pa.scalar(FIRST_ID, pa.int32()))
+def _token_ids(tokens: pa.Array, head: VocabularyHead) -> pa.Array:
+    index = pc.index_in(tokens.flatten().cast(pa.string()), value_set=pa.array(head.tokens, pa.string()))
+    return pa.array(head.ids, pa.int32()).take(index)
 
 
 def _resolve_all(head: VocabularyHead):
     """Arrow function: token lists to id lists, one hash lookup per batch of lists."""
-    known = head.tokens
 
     def resolve(tokens: pa.Array) -> pa.Array:
-        ids = pc.fill_null(_token_ids(tokens, known), pa.scalar(UNK, pa.int32()))
+        ids = pc.fill_null(_token_ids(tokens, head), pa.scalar(UNK, pa.int32()))
         return _lists(ids, _lengths(tokens))
 
     return F.arrow_udf(resolve, "array<int>")
@@ -99,11 +102,10 @@ def _resolve_all(head: VocabularyHead):
 
 def _resolve_head(head: VocabularyHead):
     """The same, but tokens outside the head are returned with their positions."""
-    known = head.tokens
 
     def resolve(tokens: pa.Array) -> pa.Array:
         lengths = _lengths(tokens)
-        ids = _token_ids(tokens, known)
+        ids = _token_ids(tokens, head)
         open_at = np.flatnonzero(pc.is_null(ids).to_numpy(zero_copy_only=False))
         starts = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(lengths)), lengths)[open_at]
@@ -142,7 +144,7 @@ def encode(
     else by one Arrow lookup. If the vocabulary does not fit the bounds
     above, only the positions left open are exploded and joined with the rest of the
     vocabulary; those tokens are rare by construction, so that join has no hot key.
-    ``key`` must identify a row. Row positions start with a ``CLS`` id when ``add_cls``.
+    ``key`` is only passed on and may repeat or be null. Row positions start with a ``CLS`` id when ``add_cls``.
     """
     head = vocabulary_head(vocab, max_tokens)
     if head.complete:
@@ -166,23 +168,20 @@ def _no_strings() -> Column:
 def _encode_with_tail(
     df: DataFrame, key: str, tokens: Column, vocab: DataFrame, head: VocabularyHead, keep: tuple[str, ...]
 ) -> DataFrame:
-    # Three branches read the lookup, so it is written once instead of being computed again.
-    resolved = materialize(
-        df.select(key, *keep, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r")).select(
-            key, *keep, "_r.*"
-        ),
-        "encode",
-    )
-    gaps = resolved.select(key, F.explode(F.arrays_zip("_pos", "_token")).alias("_gap"))
-    tail = vocab.filter(F.col("id") >= FIRST_ID + len(head.tokens)).select(
-        F.col("token").alias("_token"), F.col("id").alias("_id")
-    )
+    # Several branches read the lookup, so it is written once, with a number for each row.
+    columns = [F.col(c) for c in dict.fromkeys((key, *keep))]
+    looked = df.select(*columns, _resolve_head(head)(F.coalesce(tokens, _no_strings())).alias("_r"))
+    resolved = materialize(looked.select(*columns, "_r.*", F.monotonically_increasing_id().alias("_row")), "encode")
+    gaps = resolved.select("_row", F.explode(F.arrays_zip("_pos", "_token")).alias("_gap"))
+    last = head.ids[-1] if head.ids else None
+    rest = vocab if last is None else vocab.filter(F.col("id") > last)
+    tail = rest.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     # Known tail tokens are rare; a frequent token outside the vocabulary finds no partner,
     # and its partition is one that adaptive execution splits.
     found = (
-        gaps.select(key, "_gap._pos", "_gap._token")
+        gaps.select("_row", "_gap._pos", "_gap._token")
         .join(tail.hint("merge"), "_token")
-        .groupBy(key)
+        .groupBy("_row")
         .agg(F.collect_list(F.struct("_pos", "_id")).alias("_found"))
     )
     no_ints = F.array().cast("array<int>")
@@ -193,26 +192,63 @@ def _encode_with_tail(
     )
     is_open = F.size("_pos") > 0
     # Rows without a gap skip the join and its shuffle.
-    whole = resolved.filter(~is_open).select(key, *keep, "_ids")
-    joined = resolved.filter(is_open).join(found, key, "left")
-    return whole.unionByName(joined.select(key, *keep, filled.alias("_ids")))
+    whole = resolved.filter(~is_open).select(*columns, "_ids")
+    joined = resolved.filter(is_open).join(found, "_row", "left")
+    return whole.unionByName(joined.select(*columns, filled.alias("_ids")))
 
 
 def decode(ids: Column, head: VocabularyHead) -> Column:
-    """Tokens for ids of a vocabulary that fits in task memory; specials are dropped."""
+    """Tokens for ids of a vocabulary that fits in task memory; other ids are dropped if they are
+    specials and null otherwise. :func:`decode_rows` takes a vocabulary of any size."""
     if not head.complete:
         raise ValueError("this vocabulary is too large to decode in task memory")
-    known = head.tokens
+    plain = F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: i >= FIRST_ID)
+    return _head_tokens(head)(plain)
 
+
+def _head_tokens(head: VocabularyHead):
     def lookup(column: pa.Array) -> pa.Array:
-        flat = pc.subtract(column.flatten(), pa.scalar(FIRST_ID, pa.int32()))
-        return _lists(pa.array(known, pa.string()).take(flat), _lengths(column))
+        index = pc.index_in(column.flatten().cast(pa.int32()), value_set=pa.array(head.ids, pa.int32()))
+        return _lists(pa.array(head.tokens, pa.string()).take(index), _lengths(column))
+
+    return F.arrow_udf(lookup, "array<string>")
+
+
+def decode_rows(
+    df: DataFrame, vocab: DataFrame, ids: str = "input_ids", name: str = "tokens", max_tokens: int = HEAD_TOKENS
+) -> DataFrame:
+    """Add the tokens of ``ids`` without specials, for a vocabulary of any size.
 
+    Tokens of the head are looked up in the row; only positions that stay open are joined with
+    the rest of the vocabulary. An id that the vocabulary lacks gives a null token.
+    """
+    head = vocabulary_head(vocab, max_tokens)
     plain = F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: i >= FIRST_ID)
-    if len(known) <= LITERAL_TOKENS:
-        words = F.array(*[F.lit(t) for t in known]) if known else _no_strings()
-        return F.transform(plain, lambda i: F.try_element_at(words, i - (FIRST_ID - 1)))
-    return F.arrow_udf(lookup, "array<string>")(plain)
+    numbered = df.withColumns({"_plain": plain, "_row": F.monotonically_increasing_id()})
+    looked = numbered.withColumn(name, _head_tokens(head)("_plain"))
+    if head.complete:
+        return looked.drop("_plain", "_row")
+    looked = materialize(looked, "decode")
+    zipped = F.arrays_zip(F.col("_plain").alias("i"), F.col(name).alias("t"))
+    gaps = looked.select("_row", F.posexplode(zipped).alias("_pos", "_e")).filter("_e.t is null")
+    last = head.ids[-1] if head.ids else None
+    rest = vocab if last is None else vocab.filter(F.col("id") > last)
+    tail = rest.select(F.col("id").alias("_id"), F.col("token").alias("_token"))
+    found = gaps.select("_row", "_pos", F.col("_e.i").alias("_id")).join(tail.hint("merge"), "_id")
+    found = found.groupBy("_row").agg(F.collect_list(F.struct("_pos", "_token")).alias("_found"))
+
+    def fill(tokens: pa.Array, pos: pa.Array, words: pa.Array) -> pa.Array:
+        flat = tokens.flatten().to_numpy(zero_copy_only=False).copy()
+        lengths = _lengths(tokens)
+        starts = np.cumsum(lengths) - lengths
+        flat[np.repeat(starts, _lengths(pos)) + pos.flatten().to_numpy()] = words.flatten().to_numpy(zero_copy_only=False)
+        return _lists(pa.array(flat, pa.string(), from_pandas=True), lengths)
+
+    no_ints, joined = F.array().cast("array<int>"), looked.join(found, "_row", "left")
+    filled = F.arrow_udf(fill, "array<string>")(
+        F.col(name), F.coalesce(F.col("_found._pos"), no_ints), F.coalesce(F.col("_found._token"), _no_strings())
+    )
+    return joined.withColumn(name, filled).drop("_plain", "_row", "_found")
 
 
 def _pad(array: Column, width: Column, filler: int) -> Column:

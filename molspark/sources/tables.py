@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,20 +12,26 @@ CORRUPT = "_corrupt_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, header: bool = True) -> DataFrame:
-    """Read CSV files of a declared schema; lines that do not fit keep their text in ``_corrupt_record``.
+    """Read CSV lines of a declared schema; lines that do not fit keep their text in ``_corrupt_record``.
 
-    No pass over the data is spent on inferring types.
+    Every line is parsed as a whole, so a line is corrupt or not whatever columns are asked for
+    later, and counts need no cache. A field may not contain a line break. With ``header`` the
+    first line must name the columns in order, and every line that repeats it is left out; blank
+    lines are skipped. No pass over the data is spent on inferring types.
     """
     declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields = T.StructType([*declared.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.schema(fields)
-        .option("header", header)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    if header:
+        title = F.from_csv("value", ", ".join(f"`{n}` string" for n in declared.names))
+        first = lines.select(title.alias("t"), "value").first()
+        if first is not None and list(first["t"]) != declared.names:
+            raise ValueError(f"the first line does not name the columns {declared.names}: {first['value']}")
+        is_title = [F.coalesce(title[n] == n, F.lit(False)) for n in declared.names]
+        lines = lines.where(~functools.reduce(lambda x, y: x & y, is_title))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return lines.select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
 
 
 def infer_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -61,13 +69,3 @@ def write_quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFram
     marked.write.mode("errorifexists").partitionBy("accepted").parquet(path)
     stored = checked.sparkSession.read.schema(marked.schema).parquet(path)
     return tuple(stored.filter(F.col("accepted") == side).drop("accepted") for side in (True, False))
-
-
-def spread_rows(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of few large files one partition per core, before work that is heavy per row.
-
-    A scan that already has as many partitions as there are cores is returned unchanged.
-    Meant for tables as they are read, whose partitions are known without running a job.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

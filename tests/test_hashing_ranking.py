@@ -23,6 +23,13 @@ def test_seeded_hash_and_uniform(spark):
     assert row.u == int(md5("42:7")[:13], 16) / 2**52
 
 
+def test_composite_keys_do_not_collide(spark):
+    rows = [(None, "a"), ("a", None), ("a:b", "c"), ("a", "b:c"), ("a\\", "b"), ("a", "\\b"), ("\\N", "a"), ("", "a")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    assert df.select(seeded_hash(["x", "y"]).alias("h")).distinct().count() == len(rows)
+    assert spark.range(7, 8).select(seeded_hash(["id", F.lit("k")]).alias("h")).first().h == md5("42:7:k")
+
+
 def test_content_key_tells_null_from_empty(spark):
     df = spark.createDataFrame([("a", None), ("a", ""), ("a", None)], "x string, y string")
     keys = [r.k for r in df.select(content_key(["x", "y"]).alias("k")).collect()]
@@ -55,7 +62,7 @@ def test_sorted_rank_is_exact(spark, n):
 @pytest.mark.parametrize("k", [0, 1, 2, 333, 999, 1000, 5000])
 def test_hash_cutoff_selects_the_smallest(spark, k):
     chosen = {r.id for r in ranking.head_by_hash(spark.range(1000), "id", k).collect()}
-    assert chosen == set(expected_order(range(1000))[:k])
+    assert chosen == set(expected_order(range(1000), "42:subset")[:k])
 
 
 @pytest.mark.parametrize("k", [1, 700, 1400, 2100])
@@ -67,6 +74,17 @@ def test_cutoff_with_a_hot_key_takes_the_histogram(spark, k):
     assert cutoff.digest == sorted(md5(f"42:{i}") for i in keys)[k - 1]
 
 
+def test_three_way_split_is_exact_disjoint_and_keeps_the_test_side(spark):
+    df = spark.range(1003)
+    three = {r.id: r.split for r in splits.three_way_split(df, "id", 0.1, 0.2).collect()}
+    two = {r.id: r.split for r in splits.train_test_split(df, "id", 0.2).collect()}
+    sizes = [sum(v == s for v in three.values()) for s in ("test", "val", "train")]
+    assert sizes == [201, 101, 701]
+    assert {i for i, s in three.items() if s == "test"} == {i for i, s in two.items() if s == "test"}
+    with pytest.raises(ValueError):
+        splits.three_way_split(df, "id", 0.6, 0.5)
+
+
 def test_cutoff_on_empty_table(spark):
     assert ranking.head_by_hash(spark.range(0), "id", 10).count() == 0
 

@@ -1,3 +1,4 @@
+import dataclasses
 import math
 
 import numpy as np
@@ -46,6 +47,19 @@ def test_gelu_is_exact():
     assert mlp._gelu_parts(z)[0].tolist() == pytest.approx([v * 0.5 * (1 + math.erf(v / 2**0.5)) for v in z])
 
 
+def test_erf_is_exact_to_rounding():
+    z = np.concatenate([np.linspace(-7, 7, 100_001), [0.0, 1e-300, 40.0, -40.0]])
+    assert np.abs(mlp.erf(z) - [math.erf(v) for v in z]).max() < 1e-12
+
+
+def test_dropout_acts_on_full_gradients(data):
+    df, _, _ = data
+    params = HeadParams(num_hidden_layers=1, batch_size=None, epochs=2)
+    a, b, c = (H.fit_head(df, "id", "x", "y", dataclasses.replace(params, dropout=p), partitions=3) for p in (0.0, 0.9, 0.9))
+    assert not np.allclose(a.weights, b.weights)
+    assert np.allclose(b.weights, c.weights, rtol=1e-9)
+
+
 def test_gradient_does_not_depend_on_partitions(data):
     df, x, y = data
     flat = mlp.init_parameters(DIM, 2, 0)
@@ -90,7 +104,7 @@ def test_training_repeats_itself(data):
 
 def test_full_gradient_training_does_not_depend_on_partitions(data):
     df, _, _ = data
-    params = HeadParams(num_hidden_layers=1, learning_rate=0.05, batch_size=None, epochs=4, warmup=0.0)
+    params = HeadParams(num_hidden_layers=1, dropout=0.0, learning_rate=0.05, batch_size=None, epochs=4, warmup=0.0)
     a = H.fit_head(df, "id", "x", "y", params, partitions=1)
     b = H.fit_head(df, "id", "x", "y", params, partitions=7)
     assert np.allclose(a.weights, b.weights, rtol=1e-7)
@@ -100,7 +114,7 @@ def test_full_gradient_training_does_not_depend_on_partitions(data):
 def test_rows_without_label_or_vector_are_left_out(spark, data):
     df, _, _ = data
     extra = spark.createDataFrame([(1000, None, 1.0), (1001, [1.0] * DIM, None)], df.schema)
-    params = HeadParams(num_hidden_layers=1, batch_size=None, epochs=1)
+    params = HeadParams(num_hidden_layers=1, dropout=0.0, batch_size=None, epochs=1)
     a = H.fit_head(df, "id", "x", "y", params, partitions=2)
     b = H.fit_head(df.unionByName(extra), "id", "x", "y", params, partitions=2)
     assert a.history == pytest.approx(b.history)
@@ -153,6 +167,16 @@ def test_user_hooks(spark):
     assert sorted(r.twice for r in mapped.collect()) == [0, 2, 4, 6, 8]
 
 
+def test_map_predictor_takes_the_first_property(spark):
+    class Model:
+        def predict(self, smiles: list[str]) -> list[dict]:
+            return [{"bp": {"value": float(len(s))}, "mp": {"value": -1.0}} if s else {} for s in smiles]
+
+    df = spark.createDataFrame([(1, "CCO"), (2, ""), (3, "C")], "id int, smiles string")
+    got = H.score_with(df, H.MapPredictor(Model()), ["smiles"]).orderBy("id").collect()
+    assert [r.y_pred for r in got] == [3.0, None, 1.0]
+
+
 def test_reloaded_head_scores_the_same(spark, data, scratch):
     df, x, _ = data
     head = H.Head(DIM, 1, mlp.init_parameters(DIM, 1, 2), (3.0, 2.0), (4.0, 5.0), 0)
@@ -171,7 +195,7 @@ def test_sweep_depends_on_the_trial_only(spark, data):
     trials = search.random_trials(spark, 4)
 
     def run(t):
-        return {r.trial_id: r.value for r in H.sweep(t, train, val, "id", "x", "y", max_train=100, max_val=40).collect()}
+        return {r.trial_id: r.value for r in H.sweep(t, train, val, "id", "x", "y").collect()}
 
     full = run(trials)
     assert set(full) == {0, 1, 2, 3} and all(math.isfinite(v) for v in full.values())
@@ -179,20 +203,31 @@ def test_sweep_depends_on_the_trial_only(spark, data):
     assert run(trials.filter("trial_id = 2"))[2] == pytest.approx(full[2])
 
 
-def test_sweep_with_a_user_objective_sees_capped_data(spark, data):
-    df, _, _ = data
+def test_sweep_takes_every_row(spark):
+    base = spark.range(6000).select("id", F.array(F.col("id") % 7 / 7.0, F.lit(1.0)).alias("x"), (F.col("id") % 7 / 7.0).alias("y"))
+    odd = base.withColumn("y", F.when(F.col("id") == 5999, 1e4).otherwise(F.col("y")))
+    trials = search.random_trials(spark, 2)
+    values = [
+        {r.trial_id: r.value for r in H.sweep(trials, train, val, "id", "x", "y", epochs=1).collect()}
+        for train, val in ((base, base), (odd, base), (base, odd))
+    ]
+    assert all(values[0][t] != values[1][t] for t in values[0])
+    assert all(values[2][t] > values[0][t] + 1000 for t in values[0])
 
-    def objective(params, tx, ty, vx, vy):
-        assert tx.shape == (50, DIM) and vx.shape == (7, DIM)
-        return float(params["batch_size"])
 
+def test_sweep_with_a_user_objective_sees_the_whole_side(spark, data):
+    df, _, y = data
     trials = search.random_trials(spark, 3)
     wide = trials.withColumn("trial_id", F.col("trial_id").cast("bigint"))
     for t in (trials, wide):
-        out = H.sweep(t, df, df, "id", "x", "y", objective, max_train=50, max_val=7).collect()
-        assert len(out) == 3 and all(r.value == r.batch_size for r in out)
+        out = H.sweep(t, df, df, "id", "x", "y", lambda p, vx, vy: (vy - p["batch_size"]) ** 2).collect()
+        assert len(out) == 3
+        for r in out:
+            assert r.value == pytest.approx(((y - r.batch_size) ** 2).mean())
     with pytest.raises(ValueError, match="unique"):
-        H.sweep(trials.union(trials), df, df, "id", "x", "y", objective)
+        H.sweep(trials.union(trials), df, df, "id", "x", "y")
+    with pytest.raises(ValueError, match="more than"):
+        H.sweep(trials, df, df, "id", "x", "y", max_trials=2)
 
 
 def test_tuning_returns_the_best_trial(data):
@@ -210,8 +245,8 @@ def test_finetune_end_to_end(data):
     report = done.report.first()
     assert report.n == 80
     assert report.r2 > 0.8
-    capped = finetune_head(df, "id", "x", "y", params=HeadParams(epochs=1), max_test=10, n_trials=2)
-    assert capped.report.first().n == 10
+    tuned = finetune_head(df, "id", "x", "y", params=HeadParams(epochs=1), n_trials=2)
+    assert tuned.report.first().n == 80
 
 
 def test_prepare_examples(spark):

@@ -112,7 +112,12 @@ def test_preview_takes_the_first_by_key(spark):
 def test_one_to_one_join(spark):
     left = spark.createDataFrame([(1, 0.5), (2, 0.7)], "id int, p double")
     right = spark.createDataFrame([(2, "b"), (1, "a"), (3, "c")], "id int, s string")
-    assert {(r.id, r.p, r.s) for r in join_one_to_one(left, right, "id").collect()} == {(1, 0.5, "a"), (2, 0.7, "b")}
+    inner = join_one_to_one(left, right, "id", "inner")
+    assert {(r.id, r.p, r.s) for r in inner.collect()} == {(1, 0.5, "a"), (2, 0.7, "b")}
+    with pytest.raises(Exception, match="one side only: 3"):
+        join_one_to_one(left, right, "id").collect()
+    matched = join_one_to_one(left, right.filter("id < 3"), "id")
+    assert {(r.id, r.p, r.s) for r in matched.collect()} == {(1, 0.5, "a"), (2, 0.7, "b")}
     with pytest.raises(Exception, match="more than once on the left"):
         join_one_to_one(left.union(left), right, "id").collect()
     with pytest.raises(Exception, match="more than once on the right"):

@@ -15,11 +15,23 @@ def test_csv_quarantines_bad_lines(spark, scratch):
     path = scratch("csv")
     lines = ["smiles,lumo", "CCO,0.5", "C=C,oops", '"C,C",1.5', "C1CC1,", "too,1.0,many"]
     spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
-    df = tables.read_csv(spark, path, "smiles string, lumo double").cache()
-    good, bad = tables.split_corrupt(df)
+    good, bad = tables.split_corrupt(tables.read_csv(spark, path, "smiles string, lumo double"))
     assert {(r.smiles, r.lumo) for r in good.collect()} == {("CCO", 0.5), ("C,C", 1.5), ("C1CC1", None)}
     assert {r[tables.CORRUPT] for r in bad.collect()} == {"C=C,oops", "too,1.0,many"}
-    df.unpersist()
+    assert {r.smiles for r in good.select("smiles").collect()} == {"CCO", "C,C", "C1CC1"}
+    assert (good.count(), bad.count()) == (3, 2)
+    assert bad.select("smiles").count() == 2
+
+
+def test_csv_headers(spark, scratch):
+    path = scratch("csv")
+    for part, lines in enumerate((["smiles,lumo", "C,1.0", ""], ["smiles,lumo", "CC,2.0"])):
+        spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(f"{path}/{part}")
+    rows = tables.read_csv(spark, f"{path}/*", "smiles string, lumo double").collect()
+    assert {(r.smiles, r.lumo, r[tables.CORRUPT]) for r in rows} == {("C", 1.0, None), ("CC", 2.0, None)}
+    with pytest.raises(ValueError, match="first line"):
+        tables.read_csv(spark, f"{path}/*", "lumo double, smiles string")
+    assert tables.read_csv(spark, f"{path}/1", "a string, b string", header=False).count() == 2
 
 
 def test_csv_inference(spark, scratch):
@@ -95,13 +107,3 @@ def test_scratch_paths_are_under_the_shared_folder(spark):
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b
     assert a.startswith(shared_dir(spark).rstrip("/"))
-
-
-def test_spread_rows_only_acts_on_few_partitions(spark, scratch):
-    path = scratch("one")
-    spark.range(10).coalesce(1).write.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    few = spark.read.parquet(path)
-    assert tables.spread_rows(few, "id").rdd.getNumPartitions() == cores
-    many = spark.range(0, 100, 1, cores * 2)
-    assert tables.spread_rows(many, "id") is many

@@ -84,14 +84,14 @@ def test_leaderboard(spark):
         assert [(r.value, r.trial_id) for r in sorted(by, key=lambda r: r.place) if r.study == study] == mine
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 1_000_000])
-def test_best_so_far_against_brute_force(spark, block_rows):
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_best_so_far_against_brute_force(spark, partitions):
     rng = random.Random(4)
     # Study 1 holds most of the rows.
     rows = [(1 if rng.random() < 0.7 else rng.randint(2, 5), i, float(rng.randint(-5, 500))) for i in range(400)]
     rows += [(9, 1000, None), (9, 1001, 3.0), (9, 1002, float("nan")), (None, 2000, 1.0)]
     found = {(r.study, r.trial_id): (r.best_value, r.log10_best)
-             for r in S.best_so_far(trial_rows(spark, rows), block_rows=block_rows).collect()}
+             for r in S.best_so_far(trial_rows(spark, rows), partitions=partitions).collect()}
     assert len(found) == len(rows)
     best = {}
     for study, trial, value in sorted(rows, key=lambda r: r[1]):
@@ -103,6 +103,18 @@ def test_best_so_far_against_brute_force(spark, block_rows):
         assert log == (pytest.approx(math.log10(expect)) if expect and expect > 0 else None)
 
 
+def test_best_so_far_with_an_outlier_id_and_null_ids(spark):
+    ids = spark.range(3000).select(F.lit(1).alias("study"), F.col("id").alias("trial_id"), (3000.0 - F.col("id")).alias("value"))
+    odd = spark.createDataFrame([(1, 10**15, 7.0), (1, None, 2500.0)], "study int, trial_id long, value double")
+    done = S.best_so_far(ids.unionByName(odd), partitions=16).cache()
+    assert done.count() == 3002
+    found = {r.trial_id: r.best_value for r in done.collect()}
+    assert found[None] == 2500.0 and found[0] == 2500.0 and found[2999] == 1.0 and found[10**15] == 1.0
+    # the rows a task orders: an equal share, however the ids are spread
+    ranged = ids.unionByName(odd).repartitionByRange(16, "study", "trial_id")
+    assert ranged.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 600
+
+
 def simulate_retention(losses, keep=2):
     """Keep as a trainer does after every epoch: the best so far, then the newest."""
     kept, best = [], None

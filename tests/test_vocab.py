@@ -71,6 +71,30 @@ def test_head_is_bounded_by_characters(words):
         V.decode(F.col("input_ids"), head)
 
 
+@pytest.mark.parametrize("max_tokens", [1, 2, 50_000])
+def test_ids_of_the_table_repeated_keys_and_null_keys(spark, max_tokens):
+    rows = [(1, "a b c"), (1, "c b a"), (None, "b"), (2, "zzz a"), (None, None)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    vocabulary = spark.createDataFrame([("a", 9, 10), ("b", 8, 20), ("c", 7, 30)], "token string, n bigint, id int")
+    encoded = V.encode(df, "id", tokens(), vocabulary, False, max_tokens, keep=("text",)).cache()
+    ids = {"a": 10, "b": 20, "c": 30}
+    expected = sorted(((i, t, [ids.get(w, V.UNK) for w in (t or "").split()]) for i, t in rows), key=str)
+    assert sorted(((r.id, r.text, r.input_ids) for r in encoded.collect()), key=str) == expected
+    back = V.decode_rows(encoded, vocabulary, max_tokens=max_tokens).collect()
+    assert sorted(((r.id, r.text, r.tokens) for r in back), key=str) == sorted(
+        ((i, t, [w for w in (t or "").split() if w in ids]) for i, t in rows), key=str
+    )
+
+
+@pytest.mark.parametrize("max_tokens", [1, 7, 50_000])
+def test_decode_rows_undoes_encode(words, max_tokens):
+    rows, df = words
+    vocabulary = V.build_vocabulary(df, tokens())
+    encoded = V.encode(df, "id", tokens(), vocabulary)
+    found = {r.id: r.tokens for r in V.decode_rows(encoded, vocabulary, max_tokens=max_tokens).collect()}
+    assert found == {i: (t or "").split() for i, t in rows}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id bigint, text string")
     vocabulary = V.build_vocabulary(df, tokens())
