@@ -238,7 +238,9 @@ class _Scorer:
         self.scores = np.vstack([self.scores, self.model.log_probabilities([_spaced(w) for w in fresh])])
         at = np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))
         owner = np.repeat(np.arange(len(texts)), [len(ws) for ws in lists])
-        sums = np.stack([np.bincount(owner, self.scores[at, k], len(texts)) for k in range(self.scores.shape[1])], 1)
+        sums = np.zeros((len(texts), self.scores.shape[1]))
+        for k in range(sums.shape[1]):
+            sums[:, k] = np.bincount(owner, self.scores[at, k], len(texts))
         return sums, np.bincount(owner, at > 0, len(texts))
 
 
@@ -277,5 +279,5 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
                 [*batch.columns, pa.array(names[best], pa.string()), pa.array(share, pa.float64())], [*batch.schema.names, lang_pred, score]
             )
 
-    schema = T.StructType(rows.schema.fields).add(lang_pred, "string").add(score, "double")
+    schema = T.StructType(list(rows.schema.fields)).add(lang_pred, "string").add(score, "double")
     return rows.mapInArrow(run, schema)
