@@ -3,6 +3,27 @@
 from __future__ import annotations
 
 _ORACLES: dict[str, str] = {
+    "op5_near_dedup": r"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, list_filter(string_split_regex(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+          FROM documents),
+        sets AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                 END AS s
+          FROM words),
+        shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS (
+          SELECT a.doc_id AS a, b.doc_id AS b
+          FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reached AS (
+          SELECT doc_id, doc_id AS root FROM documents
+          UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.root = l.a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
+        FROM sets s JOIN reached r ON s.doc_id = r.doc_id GROUP BY s.doc_id, s.s""",
     "op6_exact_dedup": """
         SELECT doc_id, keep_id, group_size, coalesce(doc_id = keep_id, false) AS kept, text_sha256
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
