@@ -29,30 +29,51 @@ from molspark.llm.common import slices
 
 #: Pages that the potentials are counted on, as expected number of a hash sample.
 LABELLED_PAGES = 600
-#: Counts that every potential starts from, as if seen in labelled pages.
+#: Counts that every potential starts from, as if seen in labelled pages: of features, and of
+#: edges (no, yes) by the parent's label. Without labelled pages labels are inherited.
 PRIOR = 0.5
+EDGES = {
+    "marked": ((2.0, 0.02), (0.05, 100.0)),
+    "unmarked": ((1.0, 0.3), (0.05, 100.0)),
+}
+#: Kinds whose edges are known beforehand.
+FIXED = {"hidden": (1e6, 1e-3), "boiler": (1e6, 1e-3), "below boiler": (1e6, 1e-2), "main": (1e-1, 1e3)}
+KINDS = (*FIXED, "heading", "prose", "list", "table", "link", "container", "inline")
 
 
 def _article(page: dom.Page) -> set[int]:
-    """The nodes that mark the article: the first kind of mark that the page has."""
+    """The nodes that mark the article: the first kind of mark that the page has, outside
+    boilerplate if there is one outside."""
+    below = [False] * len(page.tags)
+    for i in range(1, len(page.tags)):
+        named = page.marks[i][0] or (page.tags[i] in dom.BOILER and page.tags[i] != "form")
+        below[i] = below[page.parents[i]] or named
     plain = [i for i, tag in enumerate(page.tags) if tag == "article" and not page.marks[i][0]]
     main = [i for i, tag in enumerate(page.tags) if (tag == "main" or page.marks[i][2]) and not page.marks[i][0]]
     named = [i for i, (boiler, content, _) in enumerate(page.marks) if content and not boiler and page.tags[i] in dom.BLOCKS]
-    for found in (plain, main, named):
-        if found:
-            return set(found)
-    return set()
+    every = [[i for i in found if not below[i]] for found in (plain, main, named)] + [plain, main, named]
+    return set(next((found for found in every if found), ()))
 
 
 def kinds(page: dom.Page, marks: set[int]) -> list[str]:
+    """A form that holds most of the page's text wraps the page and is a container."""
+    size = [0] * len(page.tags)
+    for node, run in page.runs:
+        if node >= 0:
+            size[node] += len(run)
+    for i in range(len(size) - 1, 0, -1):
+        size[page.parents[i]] += size[i]
     out = []
     for i, tag in enumerate(page.tags):
-        if tag in dom.HIDDEN:
+        above = out[page.parents[i]] if i else ""
+        if tag in dom.HIDDEN or above == "hidden":
             kind = "hidden"
-        elif tag in dom.BOILER or page.marks[i][0]:
+        elif page.marks[i][0] or (tag in dom.BOILER and not (tag == "form" and 2 * size[i] > size[0])):
             kind = "boiler"
         elif i in marks:
             kind = "main"
+        elif above in ("boiler", "below boiler"):
+            kind = "below boiler"
         elif tag in dom.HEADING:
             kind = "heading"
         elif tag in dom.PROSE:
@@ -72,7 +93,7 @@ def kinds(page: dom.Page, marks: set[int]) -> list[str]:
 
 
 def features(page: dom.Page) -> list[tuple[str, ...]]:
-    """Text below each node and its share in links, in steps."""
+    """Text below each block and its share in links, in steps; other elements have none."""
     text, linked = [0] * len(page.tags), [0] * len(page.tags)
     for node, run in page.runs:
         if node >= 0:
@@ -84,14 +105,18 @@ def features(page: dom.Page) -> list[tuple[str, ...]]:
             linked[i] = text[i]
         text[page.parents[i]] += text[i]
         linked[page.parents[i]] += linked[i]
-    return [(f"length {min(6, n.bit_length() // 2)}", f"links {int(4 * l / n) if n else 5}") for n, l in zip(text, linked, strict=True)]
+    told = []
+    for tag, n, links in zip(page.tags, text, linked, strict=True):
+        block = tag in dom.BLOCKS or tag in dom.PROSE
+        told.append((f"length {min(6, n.bit_length() // 2)}", f"links {int(4 * links / n) if n else 5}") if block else ())
+    return told
 
 
 def labels(page: dom.Page, marks: set[int], kind: list[str]) -> list[int]:
     """1 for the marked nodes and what lies in them outside boilerplate."""
     out = [0] * len(kind)
     for i in range(1, len(kind)):
-        out[i] = int(kind[i] not in ("boiler", "hidden") and (i in marks or out[page.parents[i]]))
+        out[i] = int(kind[i] not in ("boiler", "below boiler", "hidden") and (i in marks or out[page.parents[i]]))
     return out
 
 
@@ -125,10 +150,10 @@ class Potentials:
                 family = value.split()[0]
                 totals[marked, family, label] = totals.get((marked, family, label), 0) + n
         for marked in ("marked", "unmarked"):
-            for kind in "hidden boiler main heading prose list table link container inline".split():
+            for kind in KINDS:
                 rows = []
                 for above in (0, 1):
-                    prior = {"boiler": (1e6, 1e-3), "hidden": (1e6, 1e-3), "main": (1e-1, 1e3)}.get(kind, (PRIOR, PRIOR))
+                    prior = FIXED.get(kind, EDGES[marked][above])
                     no, yes = get(marked, "edge", kind, above, 0) + prior[0], get(marked, "edge", kind, above, 1) + prior[1]
                     rows.append((no / (no + yes), yes / (no + yes)))
                 edge[marked, kind] = tuple(rows)
@@ -218,7 +243,7 @@ def extract(pages: DataFrame, potentials: Potentials, html: str = "html", out: s
     """
     rest = [c for c in pages.columns if c not in (html, out)]
     rows = pages.select(*rest, html)
-    schema = T.StructType(pages.select(*rest).schema.fields).add(out, "string")
+    schema = T.StructType(list(pages.select(*rest).schema.fields)).add(out, "string")
     shared = pages.sparkSession.sparkContext.broadcast(potentials)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
