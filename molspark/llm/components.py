@@ -15,6 +15,10 @@ def _attached(pairs: DataFrame) -> DataFrame:
     return pairs.join(low, "u")
 
 
+def _state(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of a link, with ``root`` the least node of its component.
 
@@ -24,17 +28,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     alone = pairs.where("u = v").select(F.col("u").alias("node")).distinct()
     pairs = materialize(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    state = None
+    state = _state(pairs)
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _attached(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
+        large = _attached(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
         small = _attached(large)
         small = small.select("u", F.col("low").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("low").alias("v")))
         pairs = materialize(small.where("u != v").distinct(), "links")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        before, state = state, _state(pairs)
+        if before == state:
             break
-        state = now
     found = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots = found.select(F.col("root").alias("node")).unionByName(alone).distinct().join(found.select("node"), "node", "left_anti")
     return found.unionByName(roots.withColumn("root", F.col("node")))

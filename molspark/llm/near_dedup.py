@@ -8,9 +8,11 @@ in 1.2 children of a node, so its line in a tree dies out with a probability of
 however deep the tree, while dissimilar classes part after a level or two.
 Nodes of few classes are compared exhaustively on their sketches; larger ones branch on.
 
-A node that stays large although it was branched to the last level holds near copies of each
-other. Its classes are first linked to pivots, and only pairs that these links leave in
-different components are compared, so a group of thousands of copies costs a few pairs for each.
+Classes of a large node are also linked to its pivot, a member chosen by a hash, where they
+resemble it. A node most of whose classes do holds near copies that no token parts; it branches
+by one coordinate only, which sheds the others without multiplying the copies. Of nodes still
+large at the last level only the pairs that all these links leave in different components are
+compared, so a group of thousands of copies costs a few pairs for each.
 
 Only links between components matter: of a small node's similar pairs a spanning forest is
 confirmed first, then the pairs between what is still apart. Every link is confirmed on the
@@ -19,10 +21,10 @@ full shingle sets.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -42,11 +44,16 @@ TOKENS = 64
 #: one in 100,000.
 TREES = 10
 #: Classes of a node that is compared exhaustively, at most, and levels of branching.
-LEAF, DEPTH = 24, 5
+LEAF, DEPTH = 24, 4
+#: Share of a large node's classes that resemble its pivot, from which it branches but once.
+DENSE = 0.5
 #: Share of equal tokens from which a pair is confirmed: five standard deviations below 0.85.
 CANDIDATE = 0.62
-#: Rounds of pivots for large nodes, while their open pairs are more than OPEN for each class.
-PIVOT_ROUNDS, OPEN = 12, 40
+#: Further rounds of pivots for large nodes, at most, while their open pairs are more than OPEN
+#: for each class; what is open then is compared exhaustively.
+PIVOT_ROUNDS, OPEN = 4, 3000
+#: Classes of a block of exhaustive comparison.
+BLOCK = 256
 
 _SECOND = 430  # per mille of nodes with a second coordinate
 _U = np.uint64
@@ -108,10 +115,10 @@ def _roots(classes: DataFrame) -> DataFrame:
 
 
 def _branches(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(path, node): the children of large nodes."""
+    """(path, node): the children of large nodes (path, node, dense)."""
     first = F.pmod(F.xxhash64("path", F.lit("first")), F.lit(TOKENS)).cast("int")
     second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(TOKENS)).cast("int")
-    twice = F.pmod(F.xxhash64("path", F.lit("twice")), F.lit(1000)) < _SECOND
+    twice = (F.pmod(F.xxhash64("path", F.lit("twice")), F.lit(1000)) < _SECOND) & ~F.col("dense")
     paths = F.when(twice & (first != second), F.array(_child(F.col("path"), first), _child(F.col("path"), second)))
     paths = paths.otherwise(F.array(_child(F.col("path"), first)))
     return rows.join(classes.select("node", "sketch"), "node").select("node", F.explode(paths).alias("path"))
@@ -129,12 +136,21 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / TOKENS
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b), a < b, whose sketches agree enough."""
-    pairs = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with ``alike``: whether their sketches agree enough."""
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, "b").where(_agreement(F.col("sketch_a"), F.col("sketch_b")) >= CANDIDATE).select("a", "b")
+    alike = _agreement(F.col("sketch_a"), F.col("sketch_b")) >= CANDIDATE
+    return pairs.join(left, "a").join(right, "b").withColumn("alike", alike).drop("sketch_a", "sketch_b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b), a < b, whose sketches agree enough."""
+    return _sketched(_ordered(pairs), classes).where("alike").select("a", "b")
 
 
 def _compare(leaves: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
@@ -245,28 +261,77 @@ def _open_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(main.select("path", F.col("m.root").alias("main")), "path")
 
 
+def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of different roots between the rows outside the main component of a large node
+    and all its rows, in blocks of about ``BLOCK`` by ``BLOCK`` classes. Pairs whose sketches agree
+    are confirmed on the full sets in the block, and of the links of a block a spanning forest
+    leaves it, so no group's pairs are written out."""
+    chunks = open_rows.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    rows = open_rows.join(chunks, "path").join(classes.select("node", "sketch"), "node").join(sets, "node")
+    own, every = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
+    member = F.struct("node", "root", "sketch", "shingles").alias("member")
+    asking = rows.where("root != main").select("path", own.alias("i"), F.explode(every).alias("j"), member, F.lit(True).alias("asks"))
+    asked = rows.select("path", F.explode(every).alias("i"), own.alias("j"), member, F.lit(False).alias("asks"))
+    blocks = asking.unionByName(asked).groupBy("path", "i", "j").agg(
+        F.collect_list(F.when(F.col("asks"), F.col("member"))).alias("x"), F.collect_list(F.when(~F.col("asks"), F.col("member"))).alias("y")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(k).slice(row, 1).flatten() for k in (0, 1)]
+                nodes, roots = ([side.field(k).to_numpy() for side in sides] for k in (0, 1))
+                tokens = [side.field(2).flatten().to_numpy().reshape(-1, TOKENS) for side in sides]
+                full = [[np.frombuffer(s, np.uint64) for s in side.field(3).to_pylist()] for side in sides]
+                agree = np.zeros((len(nodes[0]), len(nodes[1])), np.int16)
+                for k in range(TOKENS):
+                    agree += tokens[0][:, k, None] == tokens[1][None, :, k]
+                close = (agree >= CANDIDATE * TOKENS) & (roots[0][:, None] != roots[1][None, :])
+                found = [(i, j) for i in range(len(nodes[0])) for j in _linked(full[0][i], full[1], np.flatnonzero(close[i]))]
+                if found:
+                    x, y = np.array(found).T
+                    names, ends = np.unique(np.concatenate([nodes[0][x], nodes[1][y]]), return_inverse=True)
+                    x, y = _forest(ends[: len(x)], ends[len(x) :], np.ones(len(x)), len(names))
+                    a, b = names[x], names[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return blocks.where(F.size("x") > 0).select("x", "y").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray) -> list[int]:
+    """Which of the asked sets are linked with the one."""
+    if not len(asked):
+        return []
+    sizes = np.array([len(others[j]) for j in asked])
+    flat = np.concatenate([others[j] for j in asked])
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+    return asked[100 * both >= PERCENT * (len(one) + sizes - both)].tolist()
+
+
 def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between class nodes that make up all components."""
     level = materialize(_sized(_roots(classes)), "near-level")
-    leaves, stars = [level.where(F.col("size") <= LEAF).select("path", "node")], []
-    for depth in range(DEPTH):
-        large = level.where(F.col("size") > LEAF)
-        if large.isEmpty():
+    small, large, star = [], [], []
+    for depth in range(DEPTH + 1):
+        small.append(level.where(F.col("size") <= LEAF).select("path", "node"))
+        above = level.where(F.col("size") > LEAF)
+        if above.isEmpty():
+            break
+        known = _sketched(above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")), classes)
+        known = materialize(known, "near-large")
+        star.append(known.where("alike").select("a", "b"))
+        if depth == DEPTH:
+            large.append(known.select("path", F.col("b").alias("node")))
             break
-        if depth == 0:
-            stars.append(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-        level = materialize(_sized(_branches(large.select("path", "node"), classes)), "near-level")
-        leaves.append(level.where(F.col("size") <= LEAF).select("path", "node"))
-    large = level.where(F.col("size") > LEAF)
-    stars.append(large.select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    small = leaves[0]
-    for more in leaves[1:]:
-        small = small.unionByName(more)
-    star = stars[0]
-    for more in stars[1:]:
-        star = star.unionByName(more)
-
-    pairs = _compare(small, classes, forest=True).unionByName(_alike(star, classes)).distinct()
+        share = known.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
+        rows = known.select("path", F.col("b").alias("node")).join(share, "path")
+        level = materialize(_sized(_branches(rows, classes)), "near-level")
+    none = small[0].limit(0)
+    small, large = (functools.reduce(DataFrame.unionByName, parts, none) for parts in (small, large))
+    star = functools.reduce(DataFrame.unionByName, star, none.select(F.col("path").alias("a"), F.col("node").alias("b")))
+
+    pairs = _compare(small, classes, forest=True).unionByName(_ordered(star)).distinct()
     pairs = materialize(pairs, "near-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     sets = materialize(_full_sets(docs, needed, classes), "near-sets")
@@ -287,16 +352,20 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), rooted)
         asked = materialize(asked.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         new = materialize(_confirm(asked, sets), "near-links")
+        if new.isEmpty():
+            break
         tried = tried.unionByName(asked)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            rooted = materialize(_rooted(classes, links), "near-rooted")
-    open_rows = _open_pairs(large, rooted)
-    x = open_rows.where("root != main").select("path", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    y = open_rows.select("path", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = x.join(y, "path").where("root_a != root_b").select("a", "b").distinct()
-    last = _compare(small, rooted, forest=False).unionByName(_alike(rest, rooted)).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_confirm(last, sets))
+        links = links.unionByName(new)
+        # a component that a pivot was linked to takes the pivot's root; that joins connected nodes
+        # only, and the components proper come from all links in the end
+        ends = rooted.select("node", "root")
+        met = new.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
+        taken = met.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("taken"))
+        rooted = rooted.join(taken, "root", "left").withColumn("root", F.coalesce("taken", "root")).drop("taken")
+        rooted = materialize(rooted, "near-rooted")
+    rest = _link_blocks(_open_pairs(large, rooted), rooted, sets)
+    last = _compare(small, rooted, forest=False).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_confirm(last, sets)).unionByName(rest)
 
 
 def _judged(docs: DataFrame) -> DataFrame:
