@@ -23,6 +23,8 @@ from molspark.session import materialize
 
 #: Digests of one filter, on average; a bucket is what one task holds.
 KEYS_PER_FILTER = 50_000
+#: Tasks that compare the texts of one group, which may hold a large part of all rows.
+SALTS = 32
 
 
 def sha256_of(text: Column) -> Column:
@@ -111,8 +113,10 @@ def exact_groups(docs: DataFrame, digest=sha256_of, n_buckets: int | None = None
     batch = materialize(_grouped(rows.where("incoming")), "dedup-batch")
     groups = materialize(_merge(snapshot, batch), "dedup-merged")
 
-    found = texts.withColumn("digest", digest(F.col("text"))).join(groups.where("copies > 1").select("digest"), "digest")
-    sides = found.groupBy("digest").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    salted = texts.select(digest(F.col("text")).alias("digest"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "text")
+    several = groups.where("copies > 1").select("digest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    found = salted.join(several, ["digest", "salt"]).groupBy("digest", "salt").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    sides = found.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     differing = materialize(sides.where("low != high").select("digest"), "dedup-differing")
     if differing.isEmpty():
         judged = rows.join(groups, "digest")
