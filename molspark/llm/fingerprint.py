@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from molspark.llm.common import words_of
 
 WORDS = 5
+#: Bins, a power of two, and bits that are stored of each: one hexadecimal digit.
 BINS = 512
 BITS = 4
 REMEMBERED_WORDS = 500_000
@@ -62,62 +63,89 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     words = words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(WORKER_HASHES.__getitem__, words), np.uint64, len(words))
-    size = min(WORDS, len(words))
-    n = len(words) - size + 1
-    total = np.full(n, size, np.uint64)
-    for j in range(size):
-        total = mixed(total * _U(_PRIME) + hashes[j : j + n])
-    return total
+    return runs_of(np.fromiter(map(WORKER_HASHES.__getitem__, words), np.uint64, len(words)))
 
 
-def bins_of(hashes: np.ndarray, bins: int = BINS) -> np.ndarray:
+def runs_of(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each run of five word hashes: a sum with odd factors by place, mixed once."""
+    if not len(hashes):
+        return hashes
+    size = min(WORDS, len(hashes))
+    n = len(hashes) - size + 1
+    total = hashes[:n] * _PLACES[0]
+    for j in range(1, size):
+        total += hashes[j : j + n] * _PLACES[j]
+    return mixed(total + _U(size))
+
+
+def bins_of(hashes: np.ndarray) -> np.ndarray:
     """Smallest remaining hash of each bin, empty ones densified; all bins empty without hashes."""
-    empty = np.iinfo(np.uint64).max
-    out = np.full(bins, empty, np.uint64)
-    shift = _U(64 - (bins.bit_length() - 1))
-    np.minimum.at(out, (hashes >> shift).astype(np.int64), hashes & ((_U(1) << shift) - _U(1)))
-    filled = out != empty
-    if filled.all() or not filled.any():
+    out = np.full(BINS, _EMPTY, np.uint64)
+    np.minimum.at(out, (hashes >> _SHIFT).astype(np.int64), hashes & _REST)
+    filled = out != _EMPTY
+    if filled.all() or not len(hashes):
         return out
-    source, todo = np.arange(bins), np.flatnonzero(~filled)
-    attempt = 0
-    while len(todo):
-        attempt += 1
-        reach = (mixed(todo.astype(np.uint64) * _U(_PRIME) + _U(attempt)) & _U(bins - 1)).astype(np.int64)
+    source, todo = np.arange(BINS), np.flatnonzero(~filled)
+    for attempt in range(6):
+        reach = _ORDER[todo, attempt]
         hit = filled[reach]
         source[todo[hit]] = reach[hit]
         todo = todo[~hit]
+    if len(todo):
+        full = np.flatnonzero(filled)
+        source[todo] = full[_RANK[np.ix_(todo, full)].argmin(1)]
     return out[source]
 
 
-def pack(bins: np.ndarray, bits: int = BITS) -> str:
-    """Hex of the low bits of all bins; empty for a text without words."""
-    if (bins == np.iinfo(np.uint64).max).all():
-        return ""
-    # the bin's number goes in, so that copies of one hash do not agree by chance all at once
-    low = (mixed(bins * _U(_PRIME) + np.arange(len(bins), dtype=np.uint64)) & _U((1 << bits) - 1)).astype(np.uint8)
-    planes = (low[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1
-    return np.packbits(planes.ravel().astype(np.uint8)).tobytes().hex()
+def _orders() -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the order in which it looks at all bins when it is empty, and its inverse."""
+    order = mixed(np.arange(BINS * BINS, dtype=np.uint64) * _U(_PRIME) + _U(1)).reshape(BINS, BINS).argsort(1)
+    rank = np.empty((BINS, BINS), np.int16)
+    np.put_along_axis(rank, order, np.arange(BINS, dtype=np.int16)[None, :], 1)
+    return order, rank
+
+
+_PLACES = [_U(pow(_PRIME, j + 1, 1 << 64)) for j in range(WORDS)]
+_EMPTY = np.iinfo(np.uint64).max
+_SHIFT = _U(64 - (BINS.bit_length() - 1))
+_REST = (_U(1) << _SHIFT) - _U(1)
+_SALTS = np.arange(BINS, dtype=np.uint64)
+_ORDER, _RANK = _orders()
+
+
+def low_bits(hashes: np.ndarray) -> np.ndarray | None:
+    """The low bits of all bins, None for a text without words. The bin's number goes in, so that
+    copies of one hash do not agree by chance all at once."""
+    if not len(hashes):
+        return None
+    return (mixed(bins_of(hashes) * _U(_PRIME) + _SALTS) & _U((1 << BITS) - 1)).astype(np.uint8)
+
+
+def pack(low: np.ndarray | None) -> str:
+    """Hex digits of the bins' bits; empty for a text without words."""
+    return "" if low is None else ((low[::2] << BITS) | low[1::2]).tobytes().hex()
 
 
 def fingerprint(text: bytes) -> str:
-    return pack(bins_of(shingle_hashes(text)))
+    return pack(low_bits(shingle_hashes(text)))
 
 
-def likeness(a: str, b: str, bits: int = BITS) -> float:
+def likeness(a: str, b: str) -> float:
     """Estimated Jaccard similarity, 0 to 1: 1 for two empty fingerprints, 0 for one."""
-    if not a or not b:
-        return float(a == b)
-    x, y = (np.unpackbits(np.frombuffer(bytes.fromhex(f), np.uint8)).reshape(-1, bits) for f in (a, b))
-    agree, chance = float((x == y).all(1).mean()), 0.5**bits
+    return _likeness(*(np.frombuffer(bytes.fromhex("0".join(["", *f])), np.uint8) if f else None for f in (a, b)))
+
+
+def _likeness(x: np.ndarray | None, y: np.ndarray | None) -> float:
+    if x is None or y is None:
+        return float(x is y)
+    agree, chance = np.count_nonzero(x == y) / BINS, 0.5**BITS
     return min(1.0, max(0.0, (agree - chance) / (1 - chance)))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Append the fingerprint of each whole text; null counts as empty. All rows and columns stay."""
     rows = docs.drop(out)
-    schema = T.StructType(rows.schema.fields).add(out, "string")
+    schema = T.StructType(list(rows.schema.fields)).add(out, "string")
     at = rows.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +208,7 @@ def neighbour_fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE
             for doc_id, text, ghost in zip(*columns, strict=True):
                 if ghost and before is None:
                     continue
-                print_ = fingerprint(text.encode("utf-8", "surrogatepass"))
+                print_ = low_bits(shingle_hashes(text.encode("utf-8", "surrogatepass")))
                 if before is not None:
                     out.append(_edited(*before, text, print_))
                 before = None if ghost else (doc_id, text, print_)
@@ -195,11 +223,11 @@ def neighbour_fingerprints(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE
     return dealt.select("doc_id", "text", "ghost").mapInArrow(run, schema)
 
 
-def _edited(doc_id: int | None, text: str, own: str, following: str, following_print: str) -> tuple:
+def _edited(doc_id: int | None, text: str, own: np.ndarray | None, following: str, following_bits: np.ndarray | None) -> tuple:
     half = len(text) // 2
     data = (text[: len(text) - half] + following[:half]).encode("utf-8", "surrogatepass")
-    print_ = fingerprint(data)
-    return doc_id, len(text), hashlib.sha256(data).hexdigest(), own, print_, likeness(own, print_), likeness(own, following_print)
+    bits = low_bits(shingle_hashes(data))
+    return doc_id, len(text), hashlib.sha256(data).hexdigest(), pack(own), pack(bits), _likeness(own, bits), _likeness(own, following_bits)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
