@@ -2,19 +2,19 @@
 
 A classifier trained on a labelled table gives each document a posterior over domains:
 multinomial logistic regression over the presence of hashed words, restricted to the features
-whose share differs most clearly between the domains. Nonnegative rates per document are then fitted by projected gradient least
+whose share differs most clearly between the domains. Nonnegative rates per document are then fitted by projected least
 squares so that the expected tokens of each domain, rate times tokens times posterior, reach the
 targets, with a small pull of all rates towards one.
 
-With residuals measured relative to a domain's own tokens the step length is one, whatever the
-data. A rate depends only on the document's posterior and on the residuals of the steps before,
-so a step is one aggregation over a narrow table whose result is one number per domain, and no
-state of documents is kept.
+At the solution a rate is one projected step from one, along the document's posterior and the
+residuals of the domains, which are measured relative to a domain's own tokens. The residuals
+that their own rates leave are found by Newton steps: each is one aggregation over a narrow
+table whose result is a small matrix by domain, and no state of documents is kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +36,12 @@ FIT_ROWS = 6_000
 BUCKETS, CHOSEN, CLEAR = 1 << 18, 1024, 4.0
 #: Gradient steps of the regression, their length, and the weight of the squared coefficients.
 FITTING_STEPS, FITTING_LENGTH, SHRINK = 400, 0.05, 2e-4
-#: Pull of rates towards one against the squared relative residuals; steps, and the change of
-#: the largest relative residual that ends them.
-PULL, STEPS, ENOUGH = 1e-4, 40, 1e-5
+#: Pull of rates towards one against the squared relative residuals, and the change of a rate
+#: below which the steps end.
+PULL, ENOUGH = 1e-4, 1e-6
+#: Steps after which the fit fails instead of giving rates that are not the solution's. Each sum
+#: over the table tries these shares of a step.
+STEPS, LENGTHS = 200, 0.5 ** np.arange(20)
 #: Tokens of the mix beyond what gives every wanted domain a mean rate of one.
 MARGIN = 1.02
 
@@ -148,7 +151,7 @@ def _regress(x: np.ndarray, labels: np.ndarray, bias: np.ndarray) -> tuple[np.nd
 @dataclass
 class Mix:
     classifier: Classifier
-    pulls: list[np.ndarray]  # relative residuals of the steps, by domain
+    pulls: list[np.ndarray]  # projected steps from one, by domain
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
         return rates_after(posteriors, self.pulls)
@@ -181,39 +184,78 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mix:
 
     The mix is as large as needed to give every domain with a positive target a mean rate of at
     least one, so wanted documents are repeated rather than dropped; domains with target 0 go
-    towards rate 0. Each step brings one number per domain to the driver."""
+    towards rate 0. Each step brings one number per pair of domains and step length to the driver."""
     if not targets or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError("targets must be shares of domains")
     domains = list(targets)
     classifier = fit_classifier(docs, labelled, domains)
     table = materialize(_posteriors(docs, classifier), "mixing-posteriors")
 
-    def totals(pulls: list[np.ndarray]) -> np.ndarray:
+    k = len(domains)
+
+    def sums(tried: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(tried), 1 + k + k * k))
             for batch in batches:
                 if batch.num_rows:
-                    p = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
-                    mass = batch.column(0).to_numpy() * rates_after(p, pulls)
-                    yield pa.RecordBatch.from_arrays([pa.array(range(len(domains)), pa.int32()), pa.array(mass @ p)], ["domain", "tokens"])
+                    total += _sums(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k), tried)
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["slot", "part"])
 
-        rows = table.mapInArrow(run, "domain int, tokens double").groupBy("domain").agg(F.sum("tokens").alias("tokens")).collect()
-        found = np.zeros(len(domains))
+        rows = table.mapInArrow(run, "slot int, part double").groupBy("slot").agg(F.sum("part").alias("part")).collect()
+        found = np.zeros(len(tried) * (1 + k + k * k))
         for row in rows:
-            found[row["domain"]] = row["tokens"]
-        return found
+            found[row["slot"]] = row["part"]
+        return found.reshape(len(tried), -1)
 
-    own = totals([])
+    own = sums(np.zeros((1, k)))[0, 1 : 1 + k]
+    if own.sum() <= 0:
+        return Mix(classifier, [])
     share = np.array([targets[d] for d in domains]) / sum(targets.values())
     wanted = share > 0
     size = MARGIN * (own[wanted] / share[wanted]).max()
-    scale, pulls, last = np.maximum(own, 1e-9), [], None
-    for _ in range(STEPS if own.sum() > 0 else 0):
-        now = totals(pulls) if pulls else own
-        residual = np.where(own > 0, (now - size * share) / scale, 0.0)
-        if last is not None and np.abs(residual - last).max() < ENOUGH:
+    return Mix(classifier, [solve(sums, own, size * share) * (1.0 + PULL) / PULL])
+
+
+def _sums(tokens: np.ndarray, posteriors: np.ndarray, tried: np.ndarray) -> np.ndarray:
+    """For each row of residuals that is tried: half the pull's weight of the squared rates,
+    the tokens by domain, and the tokens of documents with a positive rate by pairs of domains."""
+    out = []
+    for residuals in tried:
+        rates = rates_after(posteriors, [residuals * (1.0 + PULL) / PULL])
+        kept = (tokens * (rates > 0))[:, None] * posteriors
+        out.append(np.concatenate([[PULL / 2 * (tokens * rates**2).sum()], (tokens * rates) @ posteriors, (posteriors.T @ kept).ravel()]))
+    return np.array(out)
+
+
+def solve(sums: Callable[[np.ndarray], np.ndarray], own: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The relative residuals y of the least-squares rates: rates made from y leave just y.
+
+    They are the minimum of a convex function of one variable per domain, quadratic wherever the
+    same documents have positive rates, so Newton steps with a line search end at it. Raises if
+    they do not. Domains without tokens have no residual."""
+    k, some = len(own), np.flatnonzero(own > 0)
+    y, scale = np.zeros(k), np.sqrt(own[some])
+
+    def value(tried: np.ndarray, found: np.ndarray) -> np.ndarray:
+        return found[:, 0] + tried @ target + (tried**2) @ own / 2
+
+    now = sums(y[None, :])
+    for _ in range(STEPS):
+        slope = own * y + target - now[0, 1 : 1 + k]
+        bend = np.diag(own) + now[0, 1 + k :].reshape(k, k) / PULL
+        step = np.zeros(k)
+        step[some] = -np.linalg.solve(bend[np.ix_(some, some)] / np.outer(scale, scale), slope[some] / scale) / scale
+        if np.abs(step).max() <= ENOUGH * PULL:
+            return y
+        tried = y + LENGTHS[:, None] * step
+        found = sums(tried)
+        before = value(y[None, :], now)[0]
+        good = value(tried, found) <= before + 1e-4 * LENGTHS * (slope[some] @ step[some]) + 1e-13 * abs(before)
+        if not good.any():
             break
-        pulls, last = [*pulls, residual], residual
-    return Mix(classifier, pulls)
+        at = int(good.argmax())
+        y, now = tried[at], found[at : at + 1]
+    raise RuntimeError(f"mixing rates did not converge: they still change by {np.abs(step).max() / PULL:.3g} a step")
 
 
 def apply(docs: DataFrame, mix: Mix, text: str = "text", doc_id: str = "doc_id", prefix: str = "") -> DataFrame:

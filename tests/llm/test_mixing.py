@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from helpers import no_docs, odd_docs
 from molspark.llm import mixing
 from pyspark.sql import functions as F
@@ -85,3 +86,28 @@ def test_repeated_has_the_copies(spark):
     copies = {r["doc_id"]: r["copies"] for r in mixing.apply(docs, mix).collect()}
     out = {r["doc_id"]: r["count"] for r in mixing.repeated(docs, mix, []).groupBy("doc_id").agg(F.count("*").alias("count")).collect()}
     assert out == {k: v for k, v in copies.items() if v}
+
+
+@pytest.mark.parametrize("sharp", [0.5, 1.0, 2.0])
+def test_fit_ends_at_the_solution(spark, monkeypatch, sharp):
+    """Rates equal those that the residuals they leave ask for, also with a soft classifier."""
+    r = np.random.default_rng(7)
+    kind = r.choice(3, 3000, p=[0.6, 0.37, 0.03])
+    logits = np.log([0.6, 0.37, 0.03]) + r.normal(0, 1, (3000, 3)) + 2 * sharp * np.eye(3)[kind]
+    p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+    n = r.integers(50, 500, 3000)
+    table = spark.createDataFrame([(int(t), [float(v) for v in row]) for t, row in zip(n, p, strict=True)], "tokens long, posterior array<double>")
+    monkeypatch.setattr(mixing, "fit_classifier", lambda *_: None)
+    monkeypatch.setattr(mixing, "_posteriors", lambda *_: table)
+    rates = mixing.fit(table, table, {"good": 0.88, "low": 0.12, "toxic": 0.0}).rates(p)
+    own, share = n @ p, np.array([0.88, 0.12, 0.0])
+    size = mixing.MARGIN * (own[:2] / share[:2]).max()
+    residual = ((n * rates) @ p - size * share) / own
+    assert np.abs(rates - np.maximum(0.0, 1.0 - p @ residual / mixing.PULL)).max() < 1e-3
+
+
+def test_steps_that_do_not_end_raise(monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    p, n = np.random.default_rng(2).dirichlet([0.3, 0.3, 0.3], 500), np.full(500, 10.0)
+    with pytest.raises(RuntimeError, match="did not converge"):
+        mixing.solve(lambda tried: mixing._sums(n, p, tried), n @ p, (n @ p) * np.array([1.3, 0.6, 0.0]))
