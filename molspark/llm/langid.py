@@ -27,10 +27,9 @@ from molspark.session import materialize
 #: Labelled rows per language that the model is fitted on, as expected number of a hash sample.
 FIT_ROWS = 500
 MAX_LANGUAGES = 256
-#: Rounds of expectation maximisation, from even probabilities.
-ROUNDS = 2
-#: Bytes of a word that takes part in fitting, at most; all words are scored.
-LONGEST_FITTED = 40
+#: Expectation maximisation starts from even probabilities and ends with the first round in which
+#: the log probability of the counted words of no language grows by this share of it.
+ENOUGH = 1e-3
 #: Probability mass that each language spreads evenly over the vocabulary.
 FLOOR = 1e-3
 #: Letters of a piece at most; longer tokens of the vocabulary are left out.
@@ -57,19 +56,6 @@ def piece_vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces + [bytes([b]) for b in range(256) if bytes([b]) not in ranks]
 
 
-def _matches(data: bytes, ids: dict[bytes, int], longest: int) -> list[list[tuple[int, int]]]:
-    """For each end from 1 the (size, piece) pairs of pieces that end there."""
-    found = []
-    for end in range(1, len(data) + 1):
-        row = []
-        for size in range(1, min(end, longest) + 1):
-            piece = ids.get(data[end - size : end])
-            if piece is not None:
-                row.append((size, piece))
-        found.append(row)
-    return found
-
-
 def _table(group: list[bytes], ids: dict[bytes, int], longest: int, none: int) -> np.ndarray:
     """Pieces of words of equal length by (end, size, word); ``none`` where there is no piece."""
     n = len(group[0])
@@ -125,23 +111,48 @@ class Model:
 
     def expected(self, found: list[bytes], counts: np.ndarray, language: int) -> np.ndarray:
         """Expected uses of each piece in the counted words under one language."""
-        uses = np.zeros(len(self.pieces))
+        return self.counted(found, counts, language)[0]
+
+    def counted(self, found: list[bytes], counts: np.ndarray, language: int) -> tuple[np.ndarray, float]:
+        """Expected uses, and the log probability of the counted words. Words of any length take
+        part: both passes rescale their sums."""
+        uses, logs = np.zeros(len(self.pieces) + 1), 0.0
         p = self.probabilities[language]
-        for w, count in zip(found, counts, strict=True):
-            ends = _matches(w, self.ids, self.longest)
-            forward = [1.0] + [0.0] * len(w)
-            backward = [0.0] * len(w) + [1.0]
-            for end, row in enumerate(ends, 1):
-                forward[end] = sum(forward[end - size] * p[piece] for size, piece in row)
-            for end in range(len(w), 0, -1):
-                for size, piece in ends[end - 1]:
-                    backward[end - size] += backward[end] * p[piece]
-            total = forward[-1]
-            if total > 0.0:
-                for end, row in enumerate(ends, 1):
-                    for size, piece in row:
-                        uses[piece] += count * forward[end - size] * p[piece] * backward[end] / total
-        return uses
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(found):
+            by_size.setdefault(len(w), []).append(i)
+        for size, at in by_size.items():
+            step = max(1, 400_000 // (size * min(size, self.longest) + 1))
+            for start in range(0, len(at), step):
+                part = at[start : start + step]
+                table = _table([found[i] for i in part], self.ids, self.longest, len(self.pieces))
+                logs += self._count(table, p, counts[part], uses)
+        return uses[:-1], logs
+
+    def _count(self, table: np.ndarray, p: np.ndarray, counts: np.ndarray, uses: np.ndarray) -> float:
+        """Adds the expected uses in words of equal length to ``uses``; returns their log probability.
+        Each end has a divisor of its own, the same in both passes."""
+        ends, _, n = table.shape
+        forward, backward, divisors = np.zeros((ends, n)), np.zeros((ends, n)), np.ones((ends, n))
+        forward[0] = 1.0
+        weights = p[table]
+        for end in range(1, ends):
+            carried = np.ones(n)  # divisors of the ends that a piece passes
+            for size in range(1, min(end, self.longest) + 1):
+                forward[end] += forward[end - size] / carried * weights[end, size]
+                carried = carried * divisors[end - size]
+            reached = forward[end] > 0.0
+            divisors[end, reached] = forward[end, reached]
+            forward[end] = reached
+        backward[-1] = forward[-1]  # a word that no pieces make up has no uses
+        for end in range(ends - 1, 0, -1):
+            carried = divisors[end].copy()
+            for size in range(1, min(end, self.longest) + 1):
+                share = weights[end, size] / carried * backward[end]
+                backward[end - size] += share
+                np.add.at(uses, table[end, size], counts * share * forward[end - size])
+                carried = carried * divisors[end - size]
+        return float((counts * forward[-1] * np.log(divisors).sum(0)).sum())
 
 
 def _spaced(word: str) -> bytes:
@@ -179,37 +190,44 @@ def _word_counts(sample: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, pieces: list[bytes]) -> Model:
     """Fit on rows (doc_id, text, lang); rows without a language must be left out by the caller.
 
-    Per round Spark sums expected uses by (language, piece); at most one number for each of
-    ``MAX_LANGUAGES`` languages and each piece of the fixed vocabulary comes to the driver."""
+    All words of the sample take part, whatever their length. Per round Spark sums expected uses by
+    (language, piece), and log probabilities by language (piece -1); at most one number for each
+    of ``MAX_LANGUAGES`` languages and each piece of the fixed vocabulary comes to the driver."""
     spark = docs.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = materialize(_word_counts(_sample(docs)).repartition(tasks, "lang", "word"), "langid-words")
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     size = len(pieces)
     model = Model(languages, pieces, np.hstack([np.full((len(languages), size), 1.0 / size), np.zeros((len(languages), 1))]))
-    for _ in range(ROUNDS if languages else 0):
+    last = np.full(len(languages), -np.inf)
+    while languages:
         shared = spark.sparkContext.broadcast(model)
 
         def uses(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             total: dict[str, np.ndarray] = {}
+            logs: dict[str, float] = {}
             now = shared.value
             for pdf in batches:
                 for lang, rows in pdf.groupby("lang"):
                     found = [_spaced(w) for w in rows["word"]]
-                    short = [len(w) <= LONGEST_FITTED for w in found]
-                    part = now.expected([w for w, s in zip(found, short, strict=True) if s], rows["n"].to_numpy()[short], now.languages.index(lang))
-                    total[lang] = total.get(lang, 0) + part
+                    part, log = now.counted(found, rows["n"].to_numpy(), now.languages.index(lang))
+                    total[lang], logs[lang] = total.get(lang, 0) + part, logs.get(lang, 0.0) + log
             for lang, sums in total.items():
                 at = np.flatnonzero(sums)
-                yield pd.DataFrame({"lang": lang, "piece": at.astype(np.int32), "uses": sums[at]})
+                yield pd.DataFrame({"lang": lang, "piece": np.append(at, -1).astype(np.int32), "uses": np.append(sums[at], logs[lang])})
 
         summed = counts.mapInPandas(uses, "lang string, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses"))
         found = summed.toPandas()
+        ends = found[found["piece"] < 0].set_index("lang")["uses"].reindex(languages).fillna(0.0).to_numpy()
+        found = found[found["piece"] >= 0]
         matrix = np.zeros((len(languages), size + 1))
         matrix[[languages.index(x) for x in found["lang"]], found["piece"].astype(int)] = found["uses"]
         matrix[:, :size] = (1 - FLOOR) * matrix[:, :size] / np.maximum(matrix.sum(1, keepdims=True), 1e-300) + FLOOR / size
         model = Model(languages, pieces, matrix)
         shared.unpersist()
+        if (ends - last <= ENOUGH * np.abs(ends)).all():
+            break
+        last = ends
     return model
 
 

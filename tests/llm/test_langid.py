@@ -1,3 +1,4 @@
+import collections
 import itertools
 import math
 
@@ -6,6 +7,7 @@ import public_tokenizers
 from helpers import no_docs, odd_docs
 from molspark.llm import bpe, langid
 from molspark.llm.common import crc_bucket, read_table
+from pyspark.sql import functions as F
 
 PIECES = langid.piece_vocabulary(bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
@@ -75,3 +77,35 @@ def test_odd_rows(spark):
 def test_no_labelled_rows(spark):
     model = langid.fit(no_docs(spark).select("doc_id", "text", "lang"), PIECES)
     assert {(r["lang_pred"], r["score"]) for r in langid.predict(odd_docs(spark), model).collect()} == {("und", 0.0)}
+
+
+def test_languages_of_long_runs_are_learned(spark):
+    """Runs of letters without spaces, all of more than 40 bytes."""
+    r = np.random.default_rng(4)
+    letters = {"x1": "天地玄黄宇宙洪荒日月盈昃", "x2": "寒来暑往秋收冬藏闰余成岁"}
+    rows = [(i, "".join(r.choice(list(letters[k]), 20 + 3 * (i % 9))), k) for i, k in enumerate(["x1", "x2"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.where("doc_id < 40"), PIECES)
+    told = langid.predict(docs.where("doc_id >= 40"), model).collect()
+    assert [r["lang_pred"] for r in told] == [r["lang"] for r in told]
+
+
+def test_uses_of_a_long_word_cover_its_bytes():
+    model = langid.Model(["x"], PIECES, np.hstack([np.full((1, len(PIECES)), 1 / len(PIECES)), [[0.0]]]))
+    for word in (" " + "天地玄黄" * 16, " " + "\U00012000" * 64):
+        uses = model.expected([word.encode()], np.array([1]), 0)
+        assert abs(sum(uses[i] * len(PIECES[i]) for i in np.flatnonzero(uses)) - len(word.encode())) < 1e-6
+
+
+def test_fitting_ends_when_it_gains_nothing(spark):
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").where("lang is not null").select("doc_id", "text", "lang")
+    model = langid.fit(docs, PIECES)
+    for k, lang in enumerate(model.languages):
+        seen = collections.Counter(w for r in docs.where(F.col("lang") == lang).collect() for w in langid.words(r["text"] or ""))
+        found, counts = [langid._spaced(w) for w in seen], np.array(list(seen.values()))
+        now = counts @ model.log_probabilities(found)[:, k]
+        uses = model.expected(found, counts, k)
+        rows = model.probabilities.copy()
+        rows[k, :-1] = (1 - langid.FLOOR) * uses / uses.sum() + langid.FLOOR / len(PIECES)
+        more = counts @ langid.Model(model.languages, PIECES, rows).log_probabilities(found)[:, k]
+        assert more - now <= 1e-3 * abs(more)
