@@ -1,11 +1,12 @@
 """License scan by diagonal voting.
 
 A scan of the texts keeps, around every word k-gram that some template has, a segment of
-template word numbers. Spark joins the rolling k-grams of the segments to their positions in the
+template word numbers that reaches as far as any template with that k-gram can. Spark joins the rolling k-grams of the segments to their positions in the
 templates; each match votes for the diagonal (document position minus template position) it lies
 on, neighbouring diagonals are merged so that a few words more or fewer do not break a span, and
-each span is verified by its longest common word sequence with the template. Of verified spans
-that overlap, the one with most matched words counts.
+each span is verified by the longest common word sequence of the template and the words between
+the places where its diagonals begin and end. Of verified spans whose matched words overlap, the
+one with most of them counts.
 
 Grams are numbers of word tuples over the closed template vocabulary, so equal numbers are equal
 words.
@@ -13,6 +14,7 @@ words.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +63,8 @@ TEMPLATES = [
     ("all rights reserved", "all-rights-reserved"),
 ]
 K = 3
-#: Words between two k-grams of one segment, at most, and words kept on both sides of it.
-GAP, MARGIN = 12, 6
+#: Words that neighbouring diagonals of a template may be apart: a share of its words, at most SLACK.
+SLACK, SLACK_SHARE = 4, 4
 #: Share of a template's words that its span must hold in order.
 COVERAGE = 0.8
 
@@ -84,6 +86,9 @@ class Templates:
         self.phrases = [([self.number[w] for w in license_words(p.encode())], label) for p, label in phrases]
         if any(len(w) < K for w in self.words):
             raise ValueError(f"a template has fewer than {K} words")
+        self.slack = [min(SLACK, len(w) // SLACK_SHARE) for w in self.words]
+        #: Words by which a place of any template goes beyond one of its k-grams, at most.
+        self.reach = max((len(w) + s for w, s in zip(self.words, self.slack, strict=True)), default=0)
 
     def grams(self) -> list[tuple[int, int, int]]:
         """(gram, template, position) of all rolling k-grams."""
@@ -116,13 +121,13 @@ def _places(ids: np.ndarray, phrase: list[int]) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def _segments(ids: np.ndarray, live: np.ndarray) -> list[dict]:
+def _segments(ids: np.ndarray, live: np.ndarray, reach: int) -> list[dict]:
     if not len(live):
         return []
-    cuts = np.flatnonzero(np.diff(live) > GAP) + 1
+    cuts = np.flatnonzero(np.diff(live) > reach) + 1
     out = []
     for part in np.split(live, cuts):
-        lo, hi = max(0, int(part[0]) - MARGIN), min(len(ids), int(part[-1]) + K + MARGIN)
+        lo, hi = max(0, int(part[0]) - reach), min(len(ids), int(part[-1]) + K + reach)
         out.append({"start": lo, "ids": ids[lo:hi].tolist()})
     return out
 
@@ -156,7 +161,7 @@ def scan(docs: DataFrame, templates: Templates) -> DataFrame:
                 grams = _rolling(ids.astype(np.int64), templates.base)
                 live = np.flatnonzero(grams >= 0)
                 live = live[np.isin(grams[live], found)]
-                out["segments"].append(_segments(ids, live))
+                out["segments"].append(_segments(ids, live, templates.reach))
             kinds = [pa.int64()] * 4 + [pa.list_(pa.string()), pa.list_(types)]
             arrays = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", *out])
@@ -165,8 +170,8 @@ def scan(docs: DataFrame, templates: Templates) -> DataFrame:
 
 
 def diagonals(segments: DataFrame, templates: Templates) -> DataFrame:
-    """(row, start, template, low, high): spans of document positions whose k-grams lie on
-    neighbouring diagonals of a template."""
+    """(row, start, template, low, high, first, last): spans of document positions whose k-grams lie
+    on neighbouring diagonals of a template, and the first and last of these diagonals."""
     spark = segments.sparkSession
     at = F.explode(F.sequence(F.lit(0), F.size("ids") - K))
     places = segments.where(F.size("ids") >= K).select("row", "start", "ids", at.alias("at"))
@@ -178,28 +183,41 @@ def diagonals(segments: DataFrame, templates: Templates) -> DataFrame:
     votes = votes.groupBy("row", "start", "template", (F.col("word") - F.col("position")).alias("diagonal")).agg(
         F.min("word").alias("low"), F.max("word").alias("high")
     )
-    sizes = spark.createDataFrame([(t, len(w)) for t, w in enumerate(templates.words)], "template int, size int")
+    sizes = spark.createDataFrame(list(enumerate(templates.slack)), "template int, slack int")
     ordered = Window.partitionBy("row", "start", "template").orderBy("diagonal")
-    slack = F.least(F.lit(4), F.floor(F.col("size") / 4))
-    apart = F.col("diagonal") - F.lag("diagonal").over(ordered) > slack
+    apart = F.col("diagonal") - F.lag("diagonal").over(ordered) > F.col("slack")
     spans = votes.join(F.broadcast(sizes), "template").withColumn("new", F.coalesce(apart, F.lit(True)).cast("int"))
     spans = spans.withColumn("span", F.sum("new").over(ordered))
-    return spans.groupBy("row", "start", "template", "span").agg(F.min("low").alias("low"), (F.max("high") + K).alias("high"))
+    return spans.groupBy("row", "start", "template", "span").agg(
+        F.min("low").alias("low"), (F.max("high") + K).alias("high"), F.min("diagonal").alias("first"), F.max("diagonal").alias("last")
+    )
 
 
-def common_words(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence."""
+def common_words(a: list[int], b: list[int]) -> tuple[int, int]:
+    """Length of the longest common subsequence, and of the shortest head of ``b`` that has it."""
     row = [0] * (len(b) + 1)
     for x in a:
         last = 0
         for j, y in enumerate(b, 1):
             last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    return row[-1], row.index(row[-1])
+
+
+def placed(words: list[int], window: list[int]) -> tuple[int, int, int] | None:
+    """Matched words and the borders of their place in ``window``; nothing if they are too few."""
+    need = COVERAGE * len(words)
+    if sum((Counter(words) & Counter(window)).values()) < need:
+        return None
+    matched, end = common_words(words, window)
+    if matched < need:
+        return None
+    _, size = common_words(words[::-1], window[:end][::-1])
+    return matched, end - size, end
 
 
 def verify(spans: DataFrame, segments: DataFrame, templates: Templates) -> DataFrame:
     """(row, label, score): the label and covered share of each span that holds, one per place."""
-    per_segment = spans.groupBy("row", "start").agg(F.collect_list(F.struct("template", "low", "high")).alias("spans"))
+    per_segment = spans.groupBy("row", "start").agg(F.collect_list(F.struct("template", "first", "last")).alias("spans"))
     together = segments.join(per_segment, ["row", "start"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,11 +226,13 @@ def verify(spans: DataFrame, segments: DataFrame, templates: Templates) -> DataF
             for row, start, ids, found in zip(pdf["row"], pdf["start"], pdf["ids"], pdf["spans"], strict=True):
                 held = []
                 for span in found:
-                    words = templates.words[span["template"]]
-                    window = [int(i) for i in ids[max(0, span["low"] - start) : span["high"] - start + 2]]
-                    matched = common_words(words, window)
-                    if matched >= COVERAGE * len(words):
-                        held.append((matched, matched / len(words), span["low"], span["high"], templates.labels[span["template"]]))
+                    t = span["template"]
+                    words, slack = templates.words[t], templates.slack[t]
+                    origin = max(0, span["first"] - slack - start)
+                    place = placed(words, [int(i) for i in ids[origin : max(0, span["last"] + len(words) + slack - start)]])
+                    if place:
+                        matched, low, high = place
+                        held.append((matched, matched / len(words), start + origin + low, start + origin + high, templates.labels[t]))
                 held.sort(key=lambda h: (-h[0], -h[1], h[2], h[4]))
                 taken: list[tuple[int, int]] = []
                 for _, score, low, high, label in held:

@@ -81,3 +81,23 @@ def test_odd_rows(spark):
     assert sorted(r["n_words"] for r in rows) == sorted(expected(t)[0] for t in texts)
     assert {(r["labels"], r["score"]) for r in rows} == {("", 0.0)}
     assert license_scan.scan_licenses(no_docs(spark)).count() == 0
+
+
+def test_changed_words_at_either_end_and_far_between_grams(spark):
+    mit = license_scan.TEMPLATES[2][0].split()
+    far = list(mit)
+    for at in (5, 8, 11, 14, 17):  # no three words in a row are left between
+        far[at] = "changed"
+    texts = [
+        "licensed beneath the GNU Lesser General Public License",
+        "licensed under the GNU Lesser General Public licence",
+        " ".join(far),
+        "see " * 60 + " ".join(far) + " see" * 60,
+        "general public license",
+        "licensed beneath the GNU Lesser General Public License, all rights reserved",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = by_text(license_scan.scan_licenses(docs).collect())
+    assert [rows[i]["labels"] for i in range(6)] == ["lgpl", "lgpl", "mit", "mit", "", "all-rights-reserved,lgpl"]
+    assert rows[0]["score"] == rows[1]["score"] == 0.875
+    assert rows[2]["score"] == rows[3]["score"] == 1 - 5 / len(mit)
