@@ -3,9 +3,10 @@
 A document is the set of its five-word shingles. Documents with equal sets form a class. Every
 class has a sketch of minwise tokens, and independent trees branch the classes: a node chooses
 one token coordinate, sometimes a second one, by a hash of its path, and sends each class to the
-child named by its token there. With 1.43 coordinates on average a pair at the threshold meets
+child named by its token there. With 1.43 coordinates on average a pair at a threshold of 0.85 meets
 in 1.2 children of a node, so its line in a tree dies out with a probability of 0.31 at most,
-however deep the tree, while dissimilar classes part after a level or two.
+however deep the tree, while dissimilar classes part after a level or two. At other thresholds
+the average is such that a pair meets in as many children.
 Nodes of few classes are compared exhaustively on their sketches; larger ones branch on.
 
 Classes of a large node are also linked to its pivot, a member chosen by a hash, where they
@@ -22,7 +23,9 @@ full shingle sets.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +39,57 @@ from molspark.llm.components import components
 from molspark.llm.fingerprint import shingle_hashes
 from molspark.session import materialize
 
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= percent * union, with this percent unless another is asked for.
 PERCENT = 85
 #: Minwise tokens of a sketch. Two coordinates are kept for the root of each tree.
 TOKENS = 64
-#: A tree misses a pair at the threshold with probability 0.31 at most: ten trees miss less than
-#: one in 100,000.
-TREES = 10
+#: Children of a node in which a pair at the threshold meets, on average, and the probability with
+#: which all trees together may miss it.
+MEET, MISSED = 1.2155, 1e-5
 #: Classes of a node that is compared exhaustively, at most, and levels of branching.
 LEAF, DEPTH = 24, 4
 #: Share of a large node's classes that resemble its pivot, from which it branches but once.
 DENSE = 0.5
-#: Share of equal tokens from which a pair is confirmed: five standard deviations below 0.85.
-CANDIDATE = 0.62
+#: Standard deviations of the share of equal tokens below the threshold, from which a pair is
+#: confirmed.
+DEVIATIONS = 5
 #: Further rounds of pivots for large nodes, at most, while their open pairs are more than OPEN
 #: for each class; what is open then is compared exhaustively.
 PIVOT_ROUNDS, OPEN = 4, 3000
 #: Classes of a block of exhaustive comparison.
 BLOCK = 256
 
-_SECOND = 430  # per mille of nodes with a second coordinate
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240515)
 _FACTORS = _RANDOM.integers(1, 2**63, TOKENS, dtype=np.uint64) * _U(2) + _U(1)
 _TERMS = _RANDOM.integers(0, 2**63, TOKENS, dtype=np.uint64)
 
 
+@dataclass(frozen=True)
+class Search:
+    """What the search takes from its threshold: per mille of nodes with a second coordinate, trees,
+    and the share of equal tokens from which a pair is confirmed."""
+
+    percent: int
+    second: int = field(init=False)
+    trees: int = field(init=False)
+    candidate: float = field(init=False)
+
+    def __post_init__(self) -> None:
+        similar = self.percent / 100
+        second = round(1000 * (MEET / similar - 1)) if self.percent > 0 else 1001
+        if second > 1000 or self.percent > 100:
+            raise ValueError(f"no search is known for a threshold of {self.percent} percent")
+        lost = 0.0  # the probability that a pair's line dies out, level by level
+        for _ in range(1000):
+            one = 1 - similar + similar * lost
+            lost = one * (1 - second / 1000) + one * one * second / 1000
+        trees = max(1, math.ceil(math.log(MISSED) / math.log(lost))) if lost > 0 else 1
+        candidate = math.floor(100 * (similar - DEVIATIONS * math.sqrt(similar * (1 - similar) / TOKENS))) / 100
+        for name, value in (("second", second), ("trees", trees), ("candidate", candidate)):
+            object.__setattr__(self, name, value)
+
+
 def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(text))
 
@@ -104,21 +132,21 @@ def _child(path: Column, coordinate: Column) -> Column:
     return F.xxhash64(path, coordinate, F.element_at("sketch", coordinate + 1))
 
 
-def _roots(classes: DataFrame) -> DataFrame:
+def _roots(classes: DataFrame, search: Search) -> DataFrame:
     """(path, node): the children of the roots of all trees."""
     paths = []
-    for tree in range(TREES):
+    for tree in range(search.trees):
         paths.append(_child(F.lit(-1 - tree), F.lit(2 * tree)))
-        if 1000 * tree < _SECOND * TREES:
+        if 1000 * tree < search.second * search.trees:
             paths.append(_child(F.lit(-1 - tree), F.lit(2 * tree + 1)))
     return classes.select("node", F.explode(F.array(*paths)).alias("path"))
 
 
-def _branches(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def _branches(rows: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """(path, node): the children of large nodes (path, node, dense)."""
     first = F.pmod(F.xxhash64("path", F.lit("first")), F.lit(TOKENS)).cast("int")
     second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(TOKENS)).cast("int")
-    twice = (F.pmod(F.xxhash64("path", F.lit("twice")), F.lit(1000)) < _SECOND) & ~F.col("dense")
+    twice = (F.pmod(F.xxhash64("path", F.lit("twice")), F.lit(1000)) < search.second) & ~F.col("dense")
     paths = F.when(twice & (first != second), F.array(_child(F.col("path"), first), _child(F.col("path"), second)))
     paths = paths.otherwise(F.array(_child(F.col("path"), first)))
     return rows.join(classes.select("node", "sketch"), "node").select("node", F.explode(paths).alias("path"))
@@ -136,11 +164,11 @@ def _agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / TOKENS
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """The pairs (a, b, ...) with ``alike``: whether their sketches agree enough."""
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    alike = _agreement(F.col("sketch_a"), F.col("sketch_b")) >= CANDIDATE
+    alike = _agreement(F.col("sketch_a"), F.col("sketch_b")) >= search.candidate
     return pairs.join(left, "a").join(right, "b").withColumn("alike", alike).drop("sketch_a", "sketch_b")
 
 
@@ -148,12 +176,12 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """The distinct pairs (a, b), a < b, whose sketches agree enough."""
-    return _sketched(_ordered(pairs), classes).where("alike").select("a", "b")
+    return _sketched(_ordered(pairs), classes, search).where("alike").select("a", "b")
 
 
-def _compare(leaves: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
+def _compare(leaves: DataFrame, classes: DataFrame, forest: bool, search: Search) -> DataFrame:
     """Similar pairs (a, b) within each small node. With ``forest`` only a spanning forest, the
     most similar pairs first; otherwise all pairs between different ``root``s."""
     known = classes.select("node", "sketch", F.col("node").alias("root") if forest else "root")
@@ -173,7 +201,7 @@ def _compare(leaves: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
             for start, end in zip(ends - [len(m) for m in members], ends, strict=True):
                 own = tokens[start:end]
                 share = (own[:, None, :] == own[None, :, :]).mean(2)
-                x, y = np.nonzero(np.triu(share >= CANDIDATE, 1))
+                x, y = np.nonzero(np.triu(share >= search.candidate, 1))
                 if not len(x):
                     continue
                 if forest:
@@ -228,7 +256,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFra
     return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -240,7 +268,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                linked.append(100 * both >= search.percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     return rows.mapInArrow(run, "a long, b long")
@@ -261,7 +289,7 @@ def _open_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(main.select("path", F.col("m.root").alias("main")), "path")
 
 
-def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
     """Links (a, b) of different roots between the rows outside the main component of a large node
     and all its rows, in blocks of about ``BLOCK`` by ``BLOCK`` classes. Pairs whose sketches agree
     are confirmed on the full sets in the block, and of the links of a block a spanning forest
@@ -286,8 +314,8 @@ def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame) -> D
                 agree = np.zeros((len(nodes[0]), len(nodes[1])), np.int16)
                 for k in range(TOKENS):
                     agree += tokens[0][:, k, None] == tokens[1][None, :, k]
-                close = (agree >= CANDIDATE * TOKENS) & (roots[0][:, None] != roots[1][None, :])
-                found = [(i, j) for i in range(len(nodes[0])) for j in _linked(full[0][i], full[1], np.flatnonzero(close[i]))]
+                close = (agree >= search.candidate * TOKENS) & (roots[0][:, None] != roots[1][None, :])
+                found = [(i, j) for i in range(len(nodes[0])) for j in _linked(full[0][i], full[1], np.flatnonzero(close[i]), search.percent)]
                 if found:
                     x, y = np.array(found).T
                     names, ends = np.unique(np.concatenate([nodes[0][x], nodes[1][y]]), return_inverse=True)
@@ -298,7 +326,7 @@ def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame) -> D
     return blocks.where(F.size("x") > 0).select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray) -> list[int]:
+def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray, percent: int) -> list[int]:
     """Which of the asked sets are linked with the one."""
     if not len(asked):
         return []
@@ -306,19 +334,19 @@ def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray) -> lis
     flat = np.concatenate([others[j] for j in asked])
     at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
     both = np.add.reduceat((one[at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-    return asked[100 * both >= PERCENT * (len(one) + sizes - both)].tolist()
+    return asked[100 * both >= percent * (len(one) + sizes - both)].tolist()
 
 
-def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """Confirmed links (a, b) between class nodes that make up all components."""
-    level = materialize(_sized(_roots(classes)), "near-level")
+    level = materialize(_sized(_roots(classes, search)), "near-level")
     small, large, star = [], [], []
     for depth in range(DEPTH + 1):
         small.append(level.where(F.col("size") <= LEAF).select("path", "node"))
         above = level.where(F.col("size") > LEAF)
         if above.isEmpty():
             break
-        known = _sketched(above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")), classes)
+        known = _sketched(above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")), classes, search)
         known = materialize(known, "near-large")
         star.append(known.where("alike").select("a", "b"))
         if depth == DEPTH:
@@ -326,16 +354,16 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             break
         share = known.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
         rows = known.select("path", F.col("b").alias("node")).join(share, "path")
-        level = materialize(_sized(_branches(rows, classes)), "near-level")
+        level = materialize(_sized(_branches(rows, classes, search)), "near-level")
     none = small[0].limit(0)
     small, large = (functools.reduce(DataFrame.unionByName, parts, none) for parts in (small, large))
     star = functools.reduce(DataFrame.unionByName, star, none.select(F.col("path").alias("a"), F.col("node").alias("b")))
 
-    pairs = _compare(small, classes, forest=True).unionByName(_ordered(star)).distinct()
+    pairs = _compare(small, classes, forest=True, search=search).unionByName(_ordered(star)).distinct()
     pairs = materialize(pairs, "near-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     sets = materialize(_full_sets(docs, needed, classes), "near-sets")
-    links = materialize(_confirm(pairs, sets), "near-links")
+    links = materialize(_confirm(pairs, sets, search), "near-links")
     rooted = materialize(_rooted(classes, links), "near-rooted")
 
     tried = pairs
@@ -349,9 +377,9 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
             break
         chosen = F.min(F.struct(F.xxhash64("path", "node", F.lit(turn)).alias("h"), F.col("node").alias("b")))
         pivots = open_rows.where("root = main").groupBy("path").agg(chosen.alias("c")).select("path", F.col("c.b").alias("b"))
-        asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), rooted)
+        asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), rooted, search)
         asked = materialize(asked.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        new = materialize(_confirm(asked, sets), "near-links")
+        new = materialize(_confirm(asked, sets, search), "near-links")
         if new.isEmpty():
             break
         tried = tried.unionByName(asked)
@@ -363,16 +391,17 @@ def links_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
         taken = met.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("taken"))
         rooted = rooted.join(taken, "root", "left").withColumn("root", F.coalesce("taken", "root")).drop("taken")
         rooted = materialize(rooted, "near-rooted")
-    rest = _link_blocks(_open_pairs(large, rooted), rooted, sets)
-    last = _compare(small, rooted, forest=False).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_confirm(last, sets)).unionByName(rest)
+    rest = _link_blocks(_open_pairs(large, rooted), rooted, sets, search)
+    last = _compare(small, rooted, forest=False, search=search).distinct().join(tried, ["a", "b"], "left_anti")
+    return links.unionByName(_confirm(last, sets, search)).unionByName(rest)
 
 
-def _judged(docs: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame, percent: int) -> DataFrame:
+    search = Search(percent)
     rows = materialize(sketches(docs), "near-sketches")
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    rooted = _rooted(classes, materialize(links_of(docs, classes), "near-links"))
+    rooted = _rooted(classes, materialize(links_of(docs, classes, search), "near-links"))
     rooted = materialize(rooted.select("key", "doc_id", "root"), "near-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = rooted.select("key", "root").join(least, "root").select("key", "component_id")
@@ -382,21 +411,21 @@ def _judged(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Links join sets of Jaccard similarity 0.85 and more; ``component_id`` is the least doc_id
+    Links join sets of Jaccard similarity ``percent`` / 100 and more; ``component_id`` is the least doc_id
     reachable, and the row of that id is kept. Null texts count as empty; a row without words is
     linked with nothing and is its own component. Null ids sort after all others: a component of
     null ids alone has no id and keeps none of them by id. Rows that repeat an id and its text
     share its fate. An empty table gives an empty one; other columns are ignored. All rows and
     whole texts take part; no group, node or bucket is cut short.
     """
-    return _judged(docs).drop("key")
+    return _judged(docs, percent).drop("key")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row of the
     least id, and all rows without an id or without words."""
-    dropped = _judged(docs).where("not kept and doc_id is not null and component_id is not null").select("doc_id").distinct()
+    dropped = _judged(docs, percent).where("not kept and doc_id is not null and component_id is not null").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from helpers import no_docs, odd_docs
@@ -94,3 +95,26 @@ def test_components_of_a_long_path_and_a_star(spark):
     roots = {r["node"]: r["root"] for r in components(links).collect()}
     assert roots == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(51)}, 500: 500}
     assert components(links.where("a is null")).count() == 0
+
+
+def test_a_lower_threshold_links_what_the_default_leaves(spark):
+    """200 words with four single-word edits far apart: 176 of 216 shingles are shared."""
+    rows, r = [], random.Random(5)
+    for i in range(40):
+        words = [f"w{r.randrange(10**6)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(words)))
+        for at in (30, 70, 110, 150):
+            words[at] = "edited"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x["doc_id"] for x in near_dedup.keep_one(docs).collect()} == set(range(80))
+    assert {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == set(range(0, 80, 2))
+
+
+def test_the_search_follows_its_threshold():
+    at = near_dedup.Search(85)
+    assert (at.second, at.trees, at.candidate) == (430, 10, 0.62)
+    lower = near_dedup.Search(80)
+    assert lower.second > at.second and lower.candidate == 0.55 and 2 * lower.trees <= near_dedup.TOKENS
+    with pytest.raises(ValueError, match="threshold"):
+        near_dedup.Search(50)
