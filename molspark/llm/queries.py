@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
+from molspark.llm import bpe, conversation_repair, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -105,3 +105,8 @@ def op10_lm_score(spark, sf):
     model, counts = maxent_lm.fit(learned)
     held_out = F.coalesce(crc_bucket("doc_id", 7) == 2, F.lit(False))
     return maxent_lm.score(docs.withColumn("held_out", held_out), model, counts)
+
+
+@register
+def op13_conversation_repair(spark, sf):
+    return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf, "conversations")), "copies")
