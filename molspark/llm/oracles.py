@@ -29,6 +29,26 @@ _ORACLES: dict[str, str] = {
         FROM (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256,
                      max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size
               FROM documents WINDOW same AS (PARTITION BY coalesce(text, '')))""",
+    "op11_hard_negatives": """
+        WITH v AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                 list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::DOUBLE) AS e
+          FROM embeddings
+          WHERE label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+                 list_dot_product(a.e, c.e)::BIGINT AS score
+          FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+          SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT p.anchor_id, p.positive_id, (row_number() OVER best)::INTEGER AS rank, n.id AS negative_id,
+               p.positive_score, n.score AS negative_score
+        FROM positives p JOIN scored n ON p.anchor_id = n.anchor_id AND NOT n.same
+         AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
+        WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
+        QUALIFY row_number() OVER best <= 5""",
 }
 
 

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, conversation_repair, exact_dedup, fingerprint, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
+from molspark.llm import bpe, conversation_repair, exact_dedup, fingerprint, hard_negatives, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
 from molspark.llm.common import crc_bucket, read_table
 from molspark.session import ship_package
 
@@ -107,6 +107,14 @@ def op10_lm_score(spark, sf):
     return maxent_lm.score(docs.withColumn("held_out", held_out), model, counts)
 
 
+@register
+def op11_hard_negatives(spark, sf):
+    rows = read_table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), hard_negatives.quantised("embedding").alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 @register
 def op13_conversation_repair(spark, sf):
     return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf, "conversations")), "copies")
