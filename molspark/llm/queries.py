@@ -9,9 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from molspark.llm import bpe, conversation_repair, exact_dedup, fingerprint, hard_negatives, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, url_filter
+from molspark.llm import bpe, conversation_repair, exact_dedup, fingerprint, hard_negatives, html_extract, langid, license_scan, maxent_lm, mixing, near_dedup, quality, url_filter
 from molspark.llm.common import crc_bucket, read_table
-from molspark.session import ship_package
+from molspark.session import materialize, ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +115,17 @@ def op11_hard_negatives(spark, sf):
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+@register
+def op12_quality(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    stats = materialize(quality.with_statistics(docs), "statistics")
+    marks = read_table(spark, sf, "labels").where(crc_bucket("doc_id", 4) != 2).select("doc_id", F.col("quality").alias("target"))
+    model = quality.fit(stats.join(marks, "doc_id").withColumnRenamed("doc_id", "id"))
+    held_out = F.coalesce(crc_bucket("doc_id", 4) == 2, F.lit(False))
+    told = quality.score(stats.select("doc_id", held_out.alias("held_out"), "stats"), model)
+    return told.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @register
 def op13_conversation_repair(spark, sf):
     return conversation_repair.repair(conversation_repair.damage(read_table(spark, sf, "conversations")), "copies")
