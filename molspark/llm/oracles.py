@@ -49,6 +49,66 @@ _ORACLES: dict[str, str] = {
          AND 80 * p.positive_score <= 100 * n.score AND n.score <= p.positive_score
         WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.id)
         QUALIFY row_number() OVER best <= 5""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE keyed AS (
+          SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 xor(4294967295, list_reduce(
+                   list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT),
+                   lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                     lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295::BIGINT)) % 20 AS fault
+          FROM conversations),
+        damaged AS (
+          SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+                 CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+          FROM keyed, range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS pos,
+                 rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+          FROM damaged),
+        judged AS (
+          SELECT *, CASE WHEN bare = '' THEN 'blank'
+                         WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                         WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind,
+                 left(role, 1) AS first,
+                 coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd
+          FROM placed),
+        counted AS (
+          SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                 count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+                 count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (odd) AS illegal, max(pos) AS n
+          FROM judged GROUP BY conv_id),
+        paths AS (
+          SELECT conv_id, 0::BIGINT AS pos, {'c': 0, 's': '', 't': []::VARCHAR[]} AS e, {'c': 1000000, 's': '', 't': []::VARCHAR[]} AS s,
+                 {'c': 2, 's': 'I', 't': ['user:']} AS u, {'c': 4, 's': 'II', 't': ['user:', 'assistant:']} AS a
+          FROM counted
+          UNION ALL
+          SELECT conv_id, pos, e, s, u1 AS u,
+                 list_min([a, {'c': u1.c + 2, 's': u1.s || 'I', 't': list_append(u1.t, 'assistant:')}]) AS a
+          FROM (
+            SELECT conv_id, pos, e, s, a, list_min([u, {'c': x.c + 2, 's': x.s || 'I', 't': list_append(x.t, 'user:')}]) AS u1
+            FROM (
+              SELECT conv_id, pos, list_min([e, s, a]) AS x, e, s, u, a
+              FROM (
+                SELECT p.conv_id, r.pos, {'c': e.c + 3, 's': e.s || 'D', 't': e.t} AS e,
+                       list_min([{'c': s.c + 3, 's': s.s || 'D', 't': s.t},
+                                 {'c': e.c + more + CASE WHEN first = 's' THEN 0 ELSE 1000000 END, 's': e.s || 'K', 't': list_append(e.t, line)}]) AS s,
+                       list_min([{'c': u.c + 3, 's': u.s || 'D', 't': u.t},
+                                 {'c': b.c + more + 2, 's': b.s || 'R', 't': list_append(b.t, 'user:' || text)},
+                                 {'c': b.c + more + CASE WHEN first = 'u' THEN 0 ELSE 1000000 END, 's': b.s || 'K', 't': list_append(b.t, line)}]) AS u,
+                       list_min([{'c': a.c + 3, 's': a.s || 'D', 't': a.t},
+                                 {'c': u.c + more + 2, 's': u.s || 'R', 't': list_append(u.t, 'assistant:' || text)},
+                                 {'c': u.c + more + CASE WHEN first = 'a' THEN 0 ELSE 1000000 END, 's': u.s || 'K', 't': list_append(u.t, line)}]) AS a
+                FROM (SELECT *, list_min([e, s, a]) AS b FROM paths) p
+                JOIN (SELECT conv_id, pos, first, text, role || ':' || text AS line,
+                             CASE kind WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 1000000 END AS more FROM judged) r
+                  ON p.conv_id IS NOT DISTINCT FROM r.conv_id AND r.pos = p.pos + 1)))),
+        solved AS (
+          SELECT k.*, list_min([e, a]) AS w
+          FROM paths p JOIN counted k ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.pos = k.n)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+               coalesce(w.s, '') AS audit, sha256(coalesce(array_to_string(w.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN solved q ON o.conv_id IS NOT DISTINCT FROM q.conv_id""",
 }
 
 
