@@ -6,7 +6,7 @@ repeat the definitions of :mod:`molspark.catalog.views`.
 
 from __future__ import annotations
 
-from molspark.catalog.views import EXAMPLES, REGISTRY
+from molspark.catalog.views import ENDINGS, EXAMPLES, REGISTRY
 from molspark.functions import smiles as S
 
 # View name to (views it needs, definition).
@@ -59,6 +59,67 @@ _view(
 FROM part JOIN examples ON p_partkey % {len(EXAMPLES)} = id""",
     ("examples",),
 )
+# The atoms of the examples that can be read, written by hand: symbols, aromatic atoms
+# counted from the first, charges, bonds, sums of orders in the Kekulé form, hydrogens, fragments.
+_EXAMPLE_ATOMS = [
+    ("CCO", "C C O", 0, "0 0 0", "1 2 1", "1 2 1", "3 2 1", "0 0 0"),
+    ("C=CC", "C C C", 0, "0 0 0", "1 2 1", "2 3 1", "2 1 3", "0 0 0"),
+    ("C1CCCCC1", "C C C C C C", 0, "0 0 0 0 0 0", "2 2 2 2 2 2", "2 2 2 2 2 2", "2 2 2 2 2 2", "0 0 0 0 0 0"),
+    ("c1ccccc1", "C C C C C C", 6, "0 0 0 0 0 0", "2 2 2 2 2 2", "3 3 3 3 3 3", "1 1 1 1 1 1", "0 0 0 0 0 0"),
+    ("C[C@@H](N)C(=O)[O-]", "C C N C O O", 0, "0 0 0 0 0 -1", "1 3 1 3 1 1", "1 3 1 4 2 1", "3 1 2 0 0 0", "0 0 0 0 0 0"),
+    ("[13CH4]", "C", 0, "0", "0", "0", "4", "0"),
+    ("ClCCBr", "Cl C C Br", 0, "0 0 0 0", "1 2 2 1", "1 2 2 1", "0 2 2 0", "0 0 0 0"),
+    ("C%12CCCCC%12", "C C C C C C", 0, "0 0 0 0 0 0", "2 2 2 2 2 2", "2 2 2 2 2 2", "2 2 2 2 2 2", "0 0 0 0 0 0"),
+    ("[Na+].[Cl-]", "Na Cl", 0, "1 -1", "0 0", "0 0", "0 0", "0 1"),
+]
+# Caffeine, the same way, with the places of its aromatic atoms.
+_CAFFEINE = (
+    "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "C N C N C C C O N C C O N C", (1, 2, 3, 4, 5, 6, 8, 10, 12), "1 3 2 2 3 3 3 1 3 1 3 1 3 1",
+    "1 3 3 3 4 4 4 2 3 1 4 2 3 1", "3 0 1 0 0 0 0 0 0 3 0 0 0 3",
+)
+
+
+def _example_atoms() -> str:
+    rows = []
+    for smiles, symbols, aromatic, *numbers in _EXAMPLE_ATOMS:
+        for i, (symbol, *values) in enumerate(zip(symbols.split(), *(x.split() for x in numbers), strict=True)):
+            rows.append((smiles, i, symbol, i < aromatic, *map(int, values)))
+    smiles, symbols, aromatic, *numbers = _CAFFEINE
+    for i, (symbol, *values) in enumerate(zip(symbols.split(), *(x.split() for x in numbers), strict=True)):
+        rows.append((smiles, i, symbol, i in aromatic, 0, *map(int, values), 0))
+    return ", ".join(f"({_quoted(r[0])}, {r[1]}, {_quoted(r[2])}, {', '.join(map(str, r[3:]))})" for r in rows)
+
+
+_view(
+    "example_atoms",
+    f"SELECT * FROM (VALUES {_example_atoms()}) AS t(smiles, atom, symbol, aromatic, charge, degree, orders, hydrogens, fragment)",
+)
+_view(
+    "ended",
+    f"""SELECT mol_id, family, carbons, source, (mol_id % {len(ENDINGS)})::INT AS ending,
+       smiles || ([{", ".join(map(_quoted, ENDINGS))}])[mol_id % {len(ENDINGS)} + 1] AS smiles,
+       CASE WHEN family = 'alkene' THEN greatest(carbons, 2) ELSE greatest(carbons - 1, 1) END AS c,
+       (family = 'alcohol')::INT AS o,
+       CASE WHEN family = 'alkene' THEN 4 ELSE 2 END - CASE WHEN family = 'alkene' AND carbons <= 2 THEN 2 ELSE 1 END AS free
+FROM molecules""",
+    ("molecules",),
+)
+# what an ending adds: bonds to the chain, carbon, hydrogen, oxygen, fluorine, sodium, bonds and rings of its own, charge
+_view(
+    "endings",
+    """SELECT * FROM (VALUES (0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (1, 1, 4, 9, 0, 0, 0, 3, 0, 0), (2, 2, 1, 2, 0, 0, 0, 0, 0, 0),
+       (3, 1, 0, 0, 0, 1, 0, 0, 0, 0), (4, 4, 4, 12, 0, 0, 0, 0, 0, 0), (5, 0, 0, 0, 0, 0, 1, 0, 0, 1),
+       (6, 1, 6, 5, 0, 0, 0, 6, 1, 0), (7, 1, 1, 0, 2, 0, 0, 2, 0, -1))
+       AS t(ending, taken, ec, eh, eo, ef, ena, own, rings, charge)""",
+)
+_view(
+    "composed",
+    """SELECT *, c + ec AS nc, o + eo AS no, ef AS nf, ena AS nna,
+       CASE WHEN family = 'alkene' THEN 2 * c ELSE 2 * c + 2 END - least(taken, free) + eh AS nh,
+       c + o - 1 + CASE ending WHEN 0 THEN 0 WHEN 4 THEN 4 WHEN 5 THEN 0 ELSE 1 END + own AS n_bonds
+FROM ended JOIN endings USING (ending)""",
+    ("ended", "endings"),
+)
 _view(
     "registry",
     "SELECT * FROM (VALUES "
@@ -266,6 +327,12 @@ WHERE a IS NOT NULL AND e IS NOT NULL"""
 
 def all_oracles() -> dict[str, str]:
     plain = {
+        "kekulize": """SELECT mol_id, kind <> 3 AS accepted,
+                      CASE kind WHEN 0 THEN 3 * k WHEN 1 THEN 2 * k + 1 WHEN 2 THEN 2 * k WHEN 4 THEN 1 ELSE 0 END AS n_double, 0 AS n_lower,
+                      CASE kind WHEN 0 THEN format('C{}H{}', 6 * k, 4 * k + 2) WHEN 1 THEN format('C{}H{}', 4 * k + 2, 2 * k + 4)
+                                WHEN 2 THEN format('C{}H{}S', 4 * k, 2 * k + 2) || if(k > 1, k::VARCHAR, '') WHEN 3 THEN ''
+                                ELSE format('C{}H{}', greatest(p_size, 2), 2 * greatest(p_size, 2)) END AS formula
+               FROM (SELECT p_partkey AS mol_id, p_partkey % 5 AS kind, p_size % 6 + 1 AS k, p_size FROM part)""",
         "rename_select": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
             l_extendedprice AS labels FROM lineitem""",
         "series_generate": f"""SELECT mol_id, family, name, n::INT AS carbons, smiles FROM (
@@ -565,6 +632,51 @@ def all_oracles() -> dict[str, str]:
                            INTO NAME dimension VALUE value))""",
             "drawn",
         ),
+        "example_atoms": (
+            """SELECT mol_id, atom, symbol, aromatic, charge, degree, orders, hydrogens, fragment
+               FROM mixed JOIN example_atoms USING (smiles)""",
+            "mixed", "example_atoms",
+        ),
+        "example_bonds": (
+            """SELECT mol_id, n::BIGINT AS n_bonds, ar::BIGINT AS n_aromatic, d::BIGINT AS n_double, 0 AS least, hi AS most
+               FROM mixed JOIN (VALUES ('CCO', 2, 0, 0, 2), ('C=CC', 2, 0, 1, 2), ('C1CCCCC1', 6, 0, 0, 5), ('c1ccccc1', 6, 6, 3, 5),
+                 ('C[C@@H](N)C(=O)[O-]', 5, 0, 1, 5), ('ClCCBr', 3, 0, 0, 3), ('C%12CCCCC%12', 6, 0, 0, 5),
+                 ('Cn1cnc2c1c(=O)n(C)c(=O)n2C', 15, 10, 4, 13)) AS t(smiles, n, ar, d, hi) USING (smiles)""",
+            "mixed",
+        ),
+        "chain_atoms": (
+            """SELECT mol_id, atom::INT AS atom, CASE WHEN atom >= c THEN 'O' ELSE 'C' END AS symbol, degree, orders,
+                      (CASE WHEN atom >= c THEN 2 ELSE 4 END - orders)::INT AS hydrogens, 0 AS fragment, true AS fits
+               FROM (SELECT *, degree + (family = 'alkene' AND atom < 2)::INT AS orders
+                     FROM (SELECT *, (atom > 0)::INT + (atom < c + o - 1)::INT AS degree
+                           FROM (SELECT mol_id, family, c, o, unnest(range(c + o)) AS atom FROM ended)))""",
+            "ended",
+        ),
+        "chain_bonds": (
+            """SELECT mol_id, b::INT AS bond, b::INT AS a, (b + 1)::INT AS b, false AS aromatic,
+                      CASE WHEN family = 'alkene' AND b = 0 THEN 2 ELSE 1 END AS "order"
+               FROM (SELECT mol_id, family, unnest(range(c + o - 1)) AS b FROM ended)""",
+            "ended",
+        ),
+        "chemical_verdicts": (
+            "SELECT mol_id, smiles, CASE WHEN taken > free THEN 'valence' ELSE '' END AS reasons FROM composed",
+            "composed",
+        ),
+        "molecule_composition": (
+            """SELECT mol_id, 'C' || if(nc > 1, nc::VARCHAR, '') || if(nh > 0, 'H', '') || if(nh > 1, nh::VARCHAR, '') || if(nf > 0, 'F', '')
+                      || if(nna > 0, 'Na', '') || if(no > 0, 'O', '') || if(no > 1, no::VARCHAR, '') AS formula,
+                      nc + no + nf + nna AS n_atoms, n_bonds, 1 + nna AS n_fragments, rings AS n_rings, nh AS n_hydrogens, charge
+               FROM composed""",
+            "composed",
+        ),
+        "element_counts": (
+            """SELECT source, symbol, sum(n)::BIGINT AS n_atoms, count(*) AS n_molecules, sum(h)::BIGINT AS hydrogens
+               FROM (SELECT source, unnest(['C', 'O', 'F', 'Na']) AS symbol, unnest([nc, no, nf, nna]) AS n,
+                            unnest([nh - oh, oh, 0, 0]) AS h
+                     FROM (SELECT *, o * (taken = 0)::INT AS oh FROM composed WHERE taken <= free))
+               WHERE n > 0 GROUP BY ALL""",
+            "composed",
+        ),
         "trend_table": (
             """SELECT property, family, carbons, n, round(mean_value, 8) AS mean_value, min_value, max_value
                FROM trend""",

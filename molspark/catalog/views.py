@@ -29,6 +29,9 @@ EXAMPLES = [
     ("CC=", "dangling"),
 ]
 
+# Endings for chains, some of which their last atom cannot hold.
+ENDINGS = ["", "C(C)(C)C", "=C", "F", "(C)(C)(C)C", ".[Na+]", "c1ccccc1", "C(=O)[O-]"]
+
 # The example registry; value = base + slope * carbons + noise * (label - 950).
 REGISTRY = [
     {"property": "Boiling Point", "model": "line-bp", "base": 0.0, "slope": 9.0, "noise": 0.05},
@@ -70,6 +73,33 @@ def mixed_smiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("mol_id", "_e.smiles", "_e.expect", "source")
 
 
+def ended_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mol_id, carbons, smiles, source: the molecules with one of ``ENDINGS`` behind their last atom."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("mol_id") % len(ENDINGS) + 1).cast("int"))
+    return molecules(spark, sf_dir).select("mol_id", "carbons", F.concat("smiles", ending).alias("smiles"), "source")
+
+
+def aromatic_molecules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mol_id, kind, rings, smiles: by part key, chains of benzenes, fused benzenes, chains of
+    thiophenes, five-membered carbon rings (which have no Kekulé form), and chains without rings."""
+    k, kind = (F.col("p_size") % 6 + 1).cast("int"), F.col("p_partkey") % 5
+    one = F.lit(1)
+    labels = F.when(k > 2, F.sequence(F.lit(3), F.greatest(k, F.lit(3)))).otherwise(F.array().cast("array<int>"))
+    down = F.when(k > 2, F.sequence(F.greatest(k, F.lit(3)) - 1, F.lit(2), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    step = lambda i: F.concat(F.lit("cc"), i.cast("string"))
+    fused = F.concat(
+        F.lit("c1ccc2"), F.array_join(F.transform(labels, step), ""), F.lit("ccccc"), k.cast("string"), F.array_join(F.transform(down, step), ""), F.lit("c1")
+    )
+    smiles = (
+        F.when(kind == 0, F.concat(F.repeat(F.lit("c1ccc("), k - one), F.lit("c1ccccc1"), F.repeat(F.lit(")cc1"), k - one)))
+        .when(kind == 1, F.when(k == 1, F.lit("c1ccccc1")).otherwise(fused))
+        .when(kind == 2, F.repeat(F.lit("c1ccc(s1)"), k))
+        .when(kind == 3, F.repeat(F.lit("c1cccc1"), k))
+        .otherwise(S.alkene_smiles(F.col("p_size")))
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mol_id"), kind.cast("int").alias("kind"), k.alias("rings"), smiles.alias("smiles"))
+
+
 def property_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mol_id, family, carbons, property, value: each molecule with each registry model."""
     model = F.col("model")
