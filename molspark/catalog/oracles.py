@@ -28,7 +28,7 @@ def _with(sql: str, *names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ",\n".join(f"{n} AS ({_VIEWS[n][1]})" for n in ordered) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({_VIEWS[n][1]})" for n in ordered) + "\n" + sql
 
 
 def _quoted(text: str) -> str:
@@ -120,6 +120,31 @@ _view(
 FROM ended JOIN endings USING (ending)""",
     ("ended", "endings"),
 )
+_view(
+    "doc_values",
+    """SELECT doc_id, unnest(list_filter(['a:' || lower(left(text, 24)), 'b:' || text, 'c:' || concat_ws(':', source, n_chars)],
+       lambda x: x IS NOT NULL)) AS v FROM documents""",
+)
+_view("doc_links", "SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM doc_values a JOIN doc_values b ON a.v = b.v", ("doc_values",))
+_view(
+    "doc_reached",
+    """SELECT doc_id AS x, doc_id AS root FROM documents
+       UNION SELECT l.y, r.root FROM doc_reached r JOIN doc_links l ON r.x = l.x""",
+    ("doc_links",),
+)
+_view(
+    "doc_groups",
+    "SELECT x AS doc_id, min(root) AS group_id FROM doc_reached GROUP BY x",
+    ("doc_reached",),
+)
+_view("group_sizes", "SELECT row_number() OVER (ORDER BY count(*) DESC) AS i, count(*) AS n FROM doc_groups GROUP BY group_id", ("doc_groups",))
+_view(
+    "reachable",
+    """SELECT 0::BIGINT AS i, 0::BIGINT AS total UNION
+       SELECT g.i, unnest([r.total, r.total + g.n]) FROM reachable r JOIN group_sizes g ON g.i = r.i + 1
+       WHERE r.total <= 2 * (SELECT count(*) FROM documents) // 5""",
+    ("group_sizes",),
+)
 _view(
     "registry",
     "SELECT * FROM (VALUES "
@@ -677,6 +702,16 @@ def all_oracles() -> dict[str, str]:
                WHERE n > 0 GROUP BY ALL""",
             "composed",
         ),
+        "linked_documents": (
+            "SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_rows FROM doc_groups",
+            "doc_groups",
+        ),
+        "split_by_groups": (
+            """SELECT (SELECT count(*) FROM documents) AS n_rows,
+                      (SELECT total FROM reachable ORDER BY abs(total - (SELECT round_even(count(*) * 0.2, 0) FROM documents)), total LIMIT 1) AS n_test,
+                      0::BIGINT AS shared_0, 0::BIGINT AS shared_1, 0::BIGINT AS shared_2""",
+            "reachable",
+        ),
         "trend_table": (
             """SELECT property, family, carbons, n, round(mean_value, 8) AS mean_value, min_value, max_value
                FROM trend""",

@@ -13,7 +13,7 @@ from molspark.catalog import views as V
 from molspark.functions import smiles as S
 from molspark.functions.vectors import dot, linear
 from molspark.functions.vectors import pool_first as first_token
-from molspark.operators import checks, graphs, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
+from molspark.operators import checks, graphs, grouped_split, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report, prepare_examples
 from molspark.session import scratch_path, ship_package
@@ -443,6 +443,33 @@ def property_order(spark, sf):
     )
 
 
+def _linked_documents(spark, sf):
+    """Documents that share a text, its beginning, or a source and a length are linked."""
+    docs = V.table(spark, sf, "documents").select("doc_id", "text", "source", "n_chars")
+    head = F.lower(F.substring("text", 1, 24))
+    return docs, [head, F.col("text"), F.concat_ws(":", "source", "n_chars")]
+
+
+@register
+def linked_documents(spark, sf):
+    docs, values = _linked_documents(spark, sf)
+    return grouped_split.linked_groups(docs, "doc_id", values).select("doc_id", "group_id", "group_rows")
+
+
+@register
+def split_by_groups(spark, sf):
+    docs, values = _linked_documents(spark, sf)
+    parted = grouped_split.grouped_split(docs, "doc_id", values, 0.2, SPLIT_SEED)
+    sides = parted.agg(F.count("*").alias("n_rows"), F.count_if(F.col("split") == "test").alias("n_test"))
+    shared = [
+        parted.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count_distinct("split").alias("sides")).agg(F.count_if(F.col("sides") > 1).alias(f"shared_{i}"))
+        for i, value in enumerate(values)
+    ]
+    for one in shared:
+        sides = sides.crossJoin(one)  # tables of one row
+    return sides
+
+
 @register
 def split_overlap(spark, sf):
     return checks.split_overlap(_split_molecules(spark, sf), F.trim("smiles"))
