@@ -9,15 +9,17 @@ however deep the tree, while dissimilar classes part after a level or two. At ot
 the average is such that a pair meets in as many children.
 Nodes of few classes are compared exhaustively on their sketches; larger ones branch on.
 
-Classes of a large node are also linked to its pivot, a member chosen by a hash, where they
-resemble it. A node most of whose classes do holds near copies that no token parts; it branches
-by one coordinate only, which sheds the others without multiplying the copies. Of nodes still
-large at the last level only the pairs that all these links leave in different components are
-compared, so a group of thousands of copies costs a few pairs for each.
-
-Only links between components matter: of a small node's similar pairs a spanning forest is
-confirmed first, then the pairs between what is still apart. Every link is confirmed on the
-full shingle sets.
+Classes of a large node are also linked to its pivot where they resemble it. The pivot is the
+member that comes first in one hashed order of all classes, so the nodes of a group of copies share
+few pivots in all trees. A node most of whose classes resemble it holds near copies that no token
+parts; it branches by one coordinate only, which sheds the others without multiplying the copies. Of
+nodes still large at the last level only the pairs that all these links leave in different
+components are compared, so a group of thousands of copies costs a few pairs for each.
+
+Only links between components matter. Of the candidates of all nodes and trees each class first
+confirms the one with the earliest class of the hashed order, which makes a forest; then one
+candidate between any two components that are still apart, a few times; then all that are left
+between components. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -30,14 +32,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from molspark.llm.common import slices
 from molspark.llm.components import components
 from molspark.llm.fingerprint import shingle_hashes
-from molspark.session import materialize
+from molspark.session import materialize, scratch_path
 
 #: A link: 100 * intersection >= percent * union, with this percent unless another is asked for.
 PERCENT = 85
@@ -58,6 +60,8 @@ DEVIATIONS = 5
 PIVOT_ROUNDS, OPEN = 4, 3000
 #: Classes of a block of exhaustive comparison.
 BLOCK = 256
+#: Rounds in which two components that are apart confirm one candidate, before all are confirmed.
+FOREST_ROUNDS = 2
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240515)
@@ -108,9 +112,10 @@ def _key(shingles: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, key, sketch) of every row; key and sketch are null without shingles."""
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    schema = T.StructType([rows.schema["doc_id"]]).add("n_shingles", "long").add("key", "binary").add("sketch", T.ArrayType(T.IntegerType()))
+    """(doc_id, digest of the text, n_shingles, key, sketch) of every row; key and sketch are null
+    without shingles."""
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.md5("text").alias("digest"))
+    schema = T.StructType([rows.schema["doc_id"]]).add("digest", "string").add("n_shingles", "long").add("key", "binary").add("sketch", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -118,11 +123,12 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_key(s) for s in sets], pa.binary()),
                     pa.array([sketch(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "n_shingles", "key", "sketch"],
+                ["doc_id", "digest", "n_shingles", "key", "sketch"],
             )
 
     return rows.mapInArrow(run, schema)
@@ -152,12 +158,32 @@ def _branches(rows: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     return rows.join(classes.select("node", "sketch"), "node").select("node", F.explode(paths).alias("path"))
 
 
+def _early(node: Column) -> Column:
+    """The place of a class in the hashed order of all classes."""
+    return F.struct(F.xxhash64(node, F.lit("order")).alias("h"), node.alias("node"))
+
+
 def _sized(rows: DataFrame) -> DataFrame:
-    """(path, node, size, pivot) for nodes of two classes and more. Sizes and pivots (a member
-    chosen by a hash of the path) are summed per task first."""
-    chosen = F.min(F.struct(F.xxhash64("path", "node").alias("h"), F.col("node").alias("pivot")))
-    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), chosen.alias("chosen")).where("size > 1")
-    return rows.join(sizes.select("path", "size", F.col("chosen.pivot").alias("pivot")), "path")
+    """(path, node, size, pivot) for nodes of two classes and more. Sizes and pivots, the earliest
+    members, are summed per task and written first, so that a large path can be split in the join."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(_early(F.col("node"))).alias("first")).where("size > 1")
+    sizes = materialize(sizes.select("path", "size", F.col("first.node").alias("pivot")), "near-sizes")
+    return rows.join(sizes, "path")
+
+
+class _Levels:
+    """The rows of all levels in one written table, by depth and by whether their node is small."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.schema = spark, scratch_path(spark, "near-levels"), None
+
+    def add(self, depth: int, rows: DataFrame) -> None:
+        rows = rows.select("path", "node", "size", "pivot", F.lit(depth).alias("depth"), (F.col("size") <= LEAF).alias("small"))
+        rows.write.mode("append").partitionBy("depth", "small").parquet(self.path)
+        self.schema = rows.schema
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -165,15 +191,16 @@ def _agreement(a: Column, b: Column) -> Column:
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
-    """The pairs (a, b, ...) with ``alike``: whether their sketches agree enough."""
+    """The pairs (a, b) with ``share``, that of equal tokens, and ``alike``: whether it is enough."""
     left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    alike = _agreement(F.col("sketch_a"), F.col("sketch_b")) >= search.candidate
-    return pairs.join(left, "a").join(right, "b").withColumn("alike", alike).drop("sketch_a", "sketch_b")
+    both = pairs.join(left, "a").join(right, "b").withColumn("share", _agreement(F.col("sketch_a"), F.col("sketch_b")))
+    return both.withColumn("alike", F.col("share") >= search.candidate).drop("sketch_a", "sketch_b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = [name for name in pairs.columns if name not in ("a", "b")]
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *rest).distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
@@ -182,7 +209,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
 
 
 def _compare(leaves: DataFrame, classes: DataFrame, forest: bool, search: Search) -> DataFrame:
-    """Similar pairs (a, b) within each small node. With ``forest`` only a spanning forest, the
+    """Similar pairs (a, b, share) within each small node. With ``forest`` only a spanning forest, the
     most similar pairs first; otherwise all pairs between different ``root``s."""
     known = classes.select("node", "sketch", F.col("node").alias("root") if forest else "root")
     members = leaves.select("path", "node").join(known, "node")
@@ -197,7 +224,7 @@ def _compare(leaves: DataFrame, classes: DataFrame, forest: bool, search: Search
             nodes, roots = (flat.field(k).to_numpy() for k in (0, 1))
             tokens = flat.field(2).flatten().to_numpy().reshape(-1, TOKENS)
             ends = np.cumsum(np.array([len(m) for m in members]))
-            a, b = [], []
+            a, b, shares = [], [], []
             for start, end in zip(ends - [len(m) for m in members], ends, strict=True):
                 own = tokens[start:end]
                 share = (own[:, None, :] == own[None, :, :]).mean(2)
@@ -211,10 +238,12 @@ def _compare(leaves: DataFrame, classes: DataFrame, forest: bool, search: Search
                     x, y = x[apart], y[apart]
                 a.append(nodes[start + x])
                 b.append(nodes[start + y])
+                shares.append(share[x, y])
             a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            shares = np.concatenate(shares) if shares else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(shares)], ["a", "b", "share"])
 
-    return groups.select("members").mapInArrow(run, "a long, b long").distinct()
+    return groups.select("members").mapInArrow(run, "a long, b long, share double").distinct()
 
 
 def _forest(x: np.ndarray, y: np.ndarray, share: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,7 +315,7 @@ def _open_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
     rows = large.select("path", "node").join(classes.select("node", "root"), "node")
     counts = rows.groupBy("path", "root").count()
     main = counts.groupBy("path").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(main.select("path", F.col("m.root").alias("main")), "path")
+    return rows.join(materialize(main.select("path", F.col("m.root").alias("main")), "near-main"), "path")
 
 
 def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
@@ -337,36 +366,96 @@ def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray, percen
     return asked[100 * both >= percent * (len(one) + sizes - both)].tolist()
 
 
+def _merged(rooted: DataFrame, new: DataFrame) -> DataFrame:
+    """``rooted`` after the links ``new``. A component takes the least root that it is linked to; that
+    joins connected nodes only, and the components proper come from all links in the end."""
+    ends = rooted.select("node", "root")
+    met = new.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
+    taken = met.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("taken"))
+    rooted = rooted.join(taken, "root", "left").withColumn("root", F.coalesce("taken", "root")).drop("taken")
+    return materialize(rooted, "near-rooted")
+
+
+def _apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(a, b, x, y) of the pairs whose ends have different roots x < y."""
+    ends = rooted.select("node", "root")
+    met = pairs.join(ends.toDF("a", "_x"), "a").join(ends.toDF("b", "_y"), "b").where("_x != _y")
+    return met.select("a", "b", "share", F.least("_x", "_y").alias("x"), F.greatest("_x", "_y").alias("y"))
+
+
+class _Links:
+    """Links that were confirmed and pairs that were tried, each in one written table."""
+
+    def __init__(self, spark: SparkSession, sets: DataFrame, search: Search):
+        self.spark, self.sets, self.search = spark, sets, search
+        self.links, self.tried = scratch_path(spark, "near-links"), scratch_path(spark, "near-tried")
+
+    def read(self, path: str) -> DataFrame:
+        return self.spark.read.schema("a long, b long, turn string").parquet(path).select("a", "b")
+
+    def confirm(self, pairs: DataFrame, turn: str) -> DataFrame:
+        """The links among the pairs (a, b), each confirmed at most once."""
+        pairs.select("a", "b", F.lit(turn).alias("turn")).write.mode("append").partitionBy("turn").parquet(self.tried)
+        pairs = self.spark.read.schema("a long, b long, turn string").parquet(self.tried).where(F.col("turn") == turn).select("a", "b")
+        return self.add(_confirm(pairs, self.sets, self.search), turn)
+
+    def add(self, links: DataFrame, turn: str) -> DataFrame:
+        links.select("a", "b", F.lit(turn).alias("turn")).write.mode("append").partitionBy("turn").parquet(self.links)
+        return self.spark.read.schema("a long, b long, turn string").parquet(self.links).where(F.col("turn") == turn).select("a", "b")
+
+    def untried(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.read(self.tried), ["a", "b"], "left_anti")
+
+
+def _resolved(links: _Links, pairs: DataFrame, rooted: DataFrame, turn: str) -> DataFrame:
+    """``rooted`` after all of the pairs (a, b, share) that lie between components were tried, the most
+    alike of any two components first."""
+    for k in range(FOREST_ROUNDS):
+        between = _apart(links.untried(pairs), rooted)
+        best = between.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("p"))
+        new = links.confirm(best.select("p.a", "p.b"), f"{turn}-{k}")
+        if new.isEmpty():
+            break
+        rooted = _merged(rooted, new)
+    return _merged(rooted, links.confirm(_apart(links.untried(pairs), rooted), f"{turn}-rest"))
+
+
 def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """Confirmed links (a, b) between class nodes that make up all components."""
-    level = materialize(_sized(_roots(classes, search)), "near-level")
-    small, large, star = [], [], []
+    spark = docs.sparkSession
+    levels, large, star = _Levels(spark), None, []
+    rows = _sized(_roots(classes, search))
     for depth in range(DEPTH + 1):
-        small.append(level.where(F.col("size") <= LEAF).select("path", "node"))
-        above = level.where(F.col("size") > LEAF)
+        levels.add(depth, rows)
+        above = levels.read().where((F.col("depth") == depth) & ~F.col("small"))
         if above.isEmpty():
             break
-        known = _sketched(above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")), classes, search)
-        known = materialize(known, "near-large")
-        star.append(known.where("alike").select("a", "b"))
+        # a group of copies has few pivots, so its pairs with them are few before they are compared
+        pivots = above.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        known = materialize(_sketched(pivots, classes, search), "near-pivots")
+        star.append(known.where("alike").select("a", "b", "share"))
         if depth == DEPTH:
-            large.append(known.select("path", F.col("b").alias("node")))
+            large = above.select("path", "node")
             break
-        share = known.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
-        rows = known.select("path", F.col("b").alias("node")).join(share, "path")
-        level = materialize(_sized(_branches(rows, classes, search)), "near-level")
-    none = small[0].limit(0)
-    small, large = (functools.reduce(DataFrame.unionByName, parts, none) for parts in (small, large))
-    star = functools.reduce(DataFrame.unionByName, star, none.select(F.col("path").alias("a"), F.col("node").alias("b")))
-
-    pairs = _compare(small, classes, forest=True, search=search).unionByName(_ordered(star)).distinct()
-    pairs = materialize(pairs, "near-pairs")
+        told = above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")).join(known, ["a", "b"])
+        share = told.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
+        share = materialize(share, "near-dense")
+        rows = _sized(_branches(above.select("path", "node").join(share, "path"), classes, search))
+    small = levels.read().where("small").select("path", "node")
+    large = small.limit(0) if large is None else large
+    star = functools.reduce(DataFrame.unionByName, star, classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("share")).limit(0))
+
+    pairs = materialize(_compare(small, classes, forest=True, search=search).unionByName(_ordered(star)).distinct(), "near-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     sets = materialize(_full_sets(docs, needed, classes), "near-sets")
-    links = materialize(_confirm(pairs, sets, search), "near-links")
-    rooted = materialize(_rooted(classes, links), "near-rooted")
+    links = _Links(spark, sets, search)
+    a, b = _early(F.col("a")), _early(F.col("b"))
+    turned = pairs.select(F.greatest(a, b).alias("late"), F.struct(-F.col("share"), F.least(a, b).alias("early")).alias("best"))
+    forest = turned.groupBy("late").agg(F.min("best").alias("best")).select(F.col("late.node").alias("a"), F.col("best.early.node").alias("b"))
+    new = links.confirm(_ordered(forest), "forest")
+    rooted = materialize(_rooted(classes, new), "near-rooted")
+    rooted = _resolved(links, pairs, rooted, "pairs")
 
-    tried = pairs
     for turn in range(PIVOT_ROUNDS):
         open_rows = materialize(_open_pairs(large, rooted), "near-open")
         outside = open_rows.where("root != main")
@@ -376,24 +465,15 @@ def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
         if total <= OPEN * open_rows.count():
             break
         chosen = F.min(F.struct(F.xxhash64("path", "node", F.lit(turn)).alias("h"), F.col("node").alias("b")))
-        pivots = open_rows.where("root = main").groupBy("path").agg(chosen.alias("c")).select("path", F.col("c.b").alias("b"))
+        pivots = materialize(open_rows.where("root = main").groupBy("path").agg(chosen.alias("c")).select("path", F.col("c.b").alias("b")), "near-pivots")
         asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), rooted, search)
-        asked = materialize(asked.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        new = materialize(_confirm(asked, sets, search), "near-links")
+        new = links.confirm(links.untried(asked), f"pivots-{turn}")
         if new.isEmpty():
             break
-        tried = tried.unionByName(asked)
-        links = links.unionByName(new)
-        # a component that a pivot was linked to takes the pivot's root; that joins connected nodes
-        # only, and the components proper come from all links in the end
-        ends = rooted.select("node", "root")
-        met = new.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
-        taken = met.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("taken"))
-        rooted = rooted.join(taken, "root", "left").withColumn("root", F.coalesce("taken", "root")).drop("taken")
-        rooted = materialize(rooted, "near-rooted")
-    rest = _link_blocks(_open_pairs(large, rooted), rooted, sets, search)
-    last = _compare(small, rooted, forest=False, search=search).distinct().join(tried, ["a", "b"], "left_anti")
-    return links.unionByName(_confirm(last, sets, search)).unionByName(rest)
+        rooted = _merged(rooted, new)
+    rooted = _merged(rooted, links.add(_link_blocks(_open_pairs(large, rooted), rooted, sets, search), "blocks"))
+    _resolved(links, materialize(_compare(small, rooted, forest=False, search=search), "near-pairs"), rooted, "small")
+    return links.read(links.links)
 
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
@@ -401,14 +481,14 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     rows = materialize(sketches(docs), "near-sketches")
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    rooted = _rooted(classes, materialize(links_of(docs, classes, search), "near-links"))
+    rooted = _rooted(classes, links_of(docs, classes, search))
     rooted = materialize(rooted.select("key", "doc_id", "root"), "near-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = rooted.select("key", "root").join(least, "root").select("key", "component_id")
     joined = rows.drop("sketch").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(False))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "key")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "digest")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -421,11 +501,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     share its fate. An empty table gives an empty one; other columns are ignored. All rows and
     whole texts take part; no group, node or bucket is cut short.
     """
-    return _judged(docs, percent).drop("key")
+    return _judged(docs, percent).drop("digest")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row of the
-    least id, and all rows without an id or without words."""
-    dropped = _judged(docs, percent).where("not kept and doc_id is not null and component_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    least id, and all rows without an id or without words. Rows that repeat an id are told apart by
+    their texts."""
+    dropped = _judged(docs, percent).where("not kept and doc_id is not null and component_id is not null")
+    dropped = dropped.select(F.col("doc_id").alias("__near_id"), F.col("digest").alias("__near_digest")).distinct()
+    same = (F.col("doc_id") == F.col("__near_id")) & (F.md5("text") == F.col("__near_digest"))
+    return docs.join(dropped, same, "left_anti").select(docs.columns)

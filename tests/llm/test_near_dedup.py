@@ -118,3 +118,37 @@ def test_the_search_follows_its_threshold():
     assert lower.second > at.second and lower.candidate == 0.55 and 2 * lower.trees <= near_dedup.TOKENS
     with pytest.raises(ValueError, match="threshold"):
         near_dedup.Search(50)
+
+
+def test_about_one_pair_a_member_is_confirmed(spark, monkeypatch):
+    confirm, counted = near_dedup._confirm, []
+
+    def spy(pairs, sets, search):
+        counted.append(pairs.count())
+        return confirm(pairs, sets, search)
+
+    monkeypatch.setattr(near_dedup, "_confirm", spy)
+    per_member = []
+    for size in (150, 450):
+        r = random.Random(size)
+        base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+        rows = []
+        for i in range(size):
+            copy = list(base)
+            copy[r.randrange(150)] = f"e{r.randrange(10**6)}"
+            rows.append((i, " ".join(copy)))
+        counted.clear()
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert found(got) == brute(rows)
+        per_member.append(sum(counted) / size)
+    assert max(per_member) < 4 and per_member[1] < 1.5 * per_member[0]
+
+
+def test_rows_that_repeat_an_id_are_kept_by_their_texts(spark):
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(120)]
+    near = [*words[:-1], "edited"]
+    other = " ".join(f"z{r.randrange(10**6)}" for _ in range(50))
+    rows = [(1, " ".join(words), 0), (2, " ".join(near), 0), (2, other, 0), (2, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __near_ids int")
+    assert {(x.doc_id, x.text) for x in near_dedup.keep_one(docs).collect()} == {(1, " ".join(words)), (2, other), (2, None)}
