@@ -18,8 +18,8 @@ components are compared, so a group of thousands of copies costs a few pairs for
 
 Only links between components matter. Of the candidates of all nodes and trees each class first
 confirms the one with the earliest class of the hashed order, which makes a forest; then one
-candidate between any two components that are still apart, a few times; then all that are left
-between components. Every link is confirmed on the full shingle sets.
+candidate between any two components that are still apart; then all that are left between
+components. Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from molspark.llm.common import slices
 from molspark.llm.components import components
 from molspark.llm.fingerprint import shingle_hashes
-from molspark.session import materialize, scratch_path
+from molspark.session import materialize, scratch_path, shuffles_dropped
 
 #: A link: 100 * intersection >= percent * union, with this percent unless another is asked for.
 PERCENT = 85
@@ -60,8 +60,8 @@ DEVIATIONS = 5
 PIVOT_ROUNDS, OPEN = 4, 3000
 #: Classes of a block of exhaustive comparison.
 BLOCK = 256
-#: Rounds in which two components that are apart confirm one candidate, before all are confirmed.
-FOREST_ROUNDS = 2
+#: Rounds in which two components that are apart confirm one candidate, before all others are tried.
+FOREST_ROUNDS = 1
 
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240515)
@@ -179,7 +179,8 @@ class _Levels:
 
     def add(self, depth: int, rows: DataFrame) -> None:
         rows = rows.select("path", "node", "size", "pivot", F.lit(depth).alias("depth"), (F.col("size") <= LEAF).alias("small"))
-        rows.write.mode("append").partitionBy("depth", "small").parquet(self.path)
+        with shuffles_dropped(self.spark):
+            rows.write.mode("append").partitionBy("depth", "small").parquet(self.path)
         self.schema = rows.schema
 
     def read(self) -> DataFrame:
@@ -395,13 +396,15 @@ class _Links:
 
     def confirm(self, pairs: DataFrame, turn: str) -> DataFrame:
         """The links among the pairs (a, b), each confirmed at most once."""
-        pairs.select("a", "b", F.lit(turn).alias("turn")).write.mode("append").partitionBy("turn").parquet(self.tried)
-        pairs = self.spark.read.schema("a long, b long, turn string").parquet(self.tried).where(F.col("turn") == turn).select("a", "b")
-        return self.add(_confirm(pairs, self.sets, self.search), turn)
+        return self.add(_confirm(self._append(self.tried, pairs, turn), self.sets, self.search), turn)
 
     def add(self, links: DataFrame, turn: str) -> DataFrame:
-        links.select("a", "b", F.lit(turn).alias("turn")).write.mode("append").partitionBy("turn").parquet(self.links)
-        return self.spark.read.schema("a long, b long, turn string").parquet(self.links).where(F.col("turn") == turn).select("a", "b")
+        return self._append(self.links, links, turn)
+
+    def _append(self, path: str, pairs: DataFrame, turn: str) -> DataFrame:
+        with shuffles_dropped(self.spark):
+            pairs.select("a", "b", F.lit(turn).alias("turn")).write.mode("append").partitionBy("turn").parquet(path)
+        return self.spark.read.schema("a long, b long, turn string").parquet(path).where(F.col("turn") == turn).select("a", "b")
 
     def untried(self, pairs: DataFrame) -> DataFrame:
         return pairs.join(self.read(self.tried), ["a", "b"], "left_anti")
