@@ -304,10 +304,28 @@ def _confirm(pairs: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _rooted(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """The classes with the root of their component, themselves without a link."""
-    found = components(links)
-    return classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _descended(classes: DataFrame, forest: DataFrame) -> DataFrame:
+    """The classes with the root of their tree, themselves without a link. Of a link of ``forest`` the
+    later class is the child, and no class is the child of two; each pass halves every way up."""
+    a, b = _early(F.col("a")), _early(F.col("b"))
+    ups = materialize(forest.select(F.greatest(a, b)["node"].alias("node"), F.least(a, b)["node"].alias("root")), "near-ups")
+    moved = not ups.isEmpty()
+    while moved:
+        above = ups.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        ups = materialize(ups.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "near-ups")
+        moved, ups = not ups.where("moved").isEmpty(), ups.drop("moved")
+    return materialize(classes.join(ups, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+
+
+def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
+    """``rooted`` with the roots that links connect made one: components of what is still apart."""
+    ends = rooted.select("node", "root")
+    met = links.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
+    met = materialize(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "near-met")
+    if met.isEmpty():
+        return rooted
+    found = components(met).select(F.col("node").alias("root"), F.col("root").alias("one"))
+    return rooted.join(found, "root", "left").withColumn("root", F.coalesce("one", "root")).drop("one")
 
 
 def _open_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -370,6 +388,8 @@ def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray, percen
 def _merged(rooted: DataFrame, new: DataFrame) -> DataFrame:
     """``rooted`` after the links ``new``. A component takes the least root that it is linked to; that
     joins connected nodes only, and the components proper come from all links in the end."""
+    if new.isEmpty():
+        return rooted
     ends = rooted.select("node", "root")
     met = new.join(ends.toDF("a", "x"), "a").join(ends.toDF("b", "y"), "b").where("x != y")
     taken = met.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("taken"))
@@ -416,15 +436,12 @@ def _resolved(links: _Links, pairs: DataFrame, rooted: DataFrame, turn: str) ->
     for k in range(FOREST_ROUNDS):
         between = _apart(links.untried(pairs), rooted)
         best = between.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("p"))
-        new = links.confirm(best.select("p.a", "p.b"), f"{turn}-{k}")
-        if new.isEmpty():
-            break
-        rooted = _merged(rooted, new)
+        rooted = _merged(rooted, links.confirm(best.select("p.a", "p.b"), f"{turn}-{k}"))
     return _merged(rooted, links.confirm(_apart(links.untried(pairs), rooted), f"{turn}-rest"))
 
 
-def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
-    """Confirmed links (a, b) between class nodes that make up all components."""
+def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
+    """The classes with ``root``, equal for classes that confirmed links connect."""
     spark = docs.sparkSession
     levels, large, star = _Levels(spark), None, []
     rows = _sized(_roots(classes, search))
@@ -456,7 +473,7 @@ def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     turned = pairs.select(F.greatest(a, b).alias("late"), F.struct(-F.col("share"), F.least(a, b).alias("early")).alias("best"))
     forest = turned.groupBy("late").agg(F.min("best").alias("best")).select(F.col("late.node").alias("a"), F.col("best.early.node").alias("b"))
     new = links.confirm(_ordered(forest), "forest")
-    rooted = materialize(_rooted(classes, new), "near-rooted")
+    rooted = _descended(classes, new)
     rooted = _resolved(links, pairs, rooted, "pairs")
 
     for turn in range(PIVOT_ROUNDS):
@@ -475,8 +492,8 @@ def links_of(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
             break
         rooted = _merged(rooted, new)
     rooted = _merged(rooted, links.add(_link_blocks(_open_pairs(large, rooted), rooted, sets, search), "blocks"))
-    _resolved(links, materialize(_compare(small, rooted, forest=False, search=search), "near-pairs"), rooted, "small")
-    return links.read(links.links)
+    rooted = _resolved(links, materialize(_compare(small, rooted, forest=False, search=search), "near-pairs"), rooted, "small")
+    return _joined(rooted, links.read(links.links))
 
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
@@ -484,8 +501,7 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     rows = materialize(sketches(docs), "near-sketches")
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    rooted = _rooted(classes, links_of(docs, classes, search))
-    rooted = materialize(rooted.select("key", "doc_id", "root"), "near-rooted")
+    rooted = materialize(rooted_classes(docs, classes, search).select("key", "doc_id", "root"), "near-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = rooted.select("key", "root").join(least, "root").select("key", "component_id")
     joined = rows.drop("sketch").join(by_key, "key", "left")
