@@ -2,14 +2,16 @@
 
 A classifier trained on a labelled table gives each document a posterior over domains:
 multinomial logistic regression over the presence of hashed words, restricted to the features
-whose share differs most clearly between the domains. Nonnegative rates per document are then fitted by projected least
-squares so that the expected tokens of each domain, rate times tokens times posterior, reach the
-targets, with a small pull of all rates towards one.
-
-At the solution a rate is one projected step from one, along the document's posterior and the
-residuals of the domains, which are measured relative to a domain's own tokens. The residuals
-that their own rates leave are found by Newton steps: each is one aggregation over a narrow
-table whose result is a small matrix by domain, and no state of documents is kept.
+whose share differs most clearly between the domains. Nonnegative rates per document are then fitted
+by projected-gradient least squares so that the expected tokens of each domain, rate times tokens
+times posterior, reach the targets, with a small pull of all rates towards one. Documents whose
+likeliest domain is to be kept have rates of one at least: that is their bound in the fit.
+
+Posteriors are whole numbers of 1/1024, so a rate is a function of few values: documents of equal
+posteriors are added up to one cell, and every gradient step is one aggregation over the cells that
+brings a number per domain to the driver. A task follows a cell's rate through the steps so far, so
+no state is kept between them. At the solution a rate is one projected step from one, along the
+posterior and the residuals of the domains, relative to a domain's own tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from molspark.llm.common import slices, words_of
-from molspark.llm.fingerprint import WordHashes
 from molspark.llm.license_scan import license_words
 from molspark.session import materialize
 
@@ -36,27 +37,59 @@ FIT_ROWS = 6_000
 BUCKETS, CHOSEN, CLEAR = 1 << 18, 1024, 4.0
 #: Gradient steps of the regression, their length, and the weight of the squared coefficients.
 FITTING_STEPS, FITTING_LENGTH, SHRINK = 400, 0.05, 2e-4
-#: Pull of rates towards one against the squared relative residuals, and the change of a rate
-#: below which the steps end.
-PULL, ENOUGH = 1e-4, 1e-6
-#: Steps after which the fit fails instead of giving rates that are not the solution's. Each sum
-#: over the table tries these shares of a step.
-STEPS, LENGTHS = 200, 0.5 ** np.arange(20)
+#: Posteriors are rounded to this many parts.
+PARTS = 1024
+#: Pull of rates towards one against the squared relative residuals, which is also how far a domain's
+#: tokens may stay from their target, as a share of its own; the change of a rate below which the steps
+#: end; and steps at most, some three times as many as the pull allows for that change.
+PULL, ENOUGH, STEPS = 1e-2, 1e-5, 400
 #: Tokens of the mix beyond what gives every wanted domain a mean rate of one.
 MARGIN = 1.02
 
-_HASHES = WordHashes()
+#: Words that a worker remembers the features of.
+REMEMBERED = 1 << 19
+
+
+class _Remembered(dict):
+    """Results of a function of one word, remembered by a worker."""
+
+    def __init__(self, make: Callable[[bytes], tuple[int, ...]]):
+        self.make = make
+
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self.make(word)
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+
+def _marks(word: bytes) -> tuple[int, ...]:
+    """Buckets of a word, as it stands and of its parts without punctuation. A word is hashed once for
+    both; the second kind is the first turned by a fixed rule."""
+    whole = xxhash.xxh3_64_intdigest(word)
+    parts = ((xxhash.xxh3_64_intdigest(part) * 0x9E3779B97F4A7C15 >> 20) % BUCKETS for part in license_words(word))
+    return (whole % BUCKETS, *parts)
+
+
+def _measures(raw: list[bytes], distinct: set[bytes]) -> tuple[bytes, bytes]:
+    """Names of the steps of two measures, of repetition and of length."""
+    return b"ratio %d" % (10 * len(distinct) // max(1, len(raw))), b"length %d" % len(raw).bit_length()
+
+
+_MARKS = _Remembered(_marks)
 
 
 def features(text: bytes) -> np.ndarray:
     """Buckets of the distinct words with and without punctuation, and of two measures of
     repetition and length."""
-    raw, plain = words_of(text), license_words(text)
-    distinct = {*raw}
-    seen = {b"r " + w for w in distinct} | {b"p " + w for w in plain}
-    measures = (f"ratio {10 * len(distinct) // max(1, len(raw))}", f"length {len(raw).bit_length()}")
-    hashes = [_HASHES[w] for w in seen] + [xxhash.xxh3_64_intdigest(m) for m in measures]
-    return np.unique(np.array(hashes, np.uint64) & np.uint64(BUCKETS - 1)).astype(np.int64)
+    raw = words_of(text)
+    distinct, found = set(raw), set()
+    for word in distinct:
+        found.update(_MARKS[word])
+    found.update(_marks(name)[0] for name in _measures(raw, distinct))
+    return np.array(sorted(found), np.int64)
 
 
 @dataclass
@@ -66,11 +99,27 @@ class Classifier:
     slot: np.ndarray  # row in ``weights`` by bucket, -1 for features that take no part
     weights: np.ndarray  # by row and domain
 
+    def reader(self) -> Callable[[bytes], tuple[int, np.ndarray]]:
+        """A function from texts to their numbers of words and posteriors, which remembers the rows of
+        words; most words have none."""
+        chosen = {bucket: row for bucket, row in enumerate(self.slot.tolist()) if row >= 0}
+        rows_of = _Remembered(lambda word: tuple(chosen[mark] for mark in _marks(word) if mark in chosen))
+
+        def read(text: bytes) -> tuple[int, np.ndarray]:
+            raw = words_of(text)
+            distinct, rows = set(raw), set()
+            for word in distinct:
+                if found := rows_of[word]:
+                    rows.update(found)
+            rows.update(chosen[mark] for name in _measures(raw, distinct) if (mark := _marks(name)[0]) in chosen)
+            logs = self.bias + self.weights[sorted(rows)].sum(0)
+            shares = np.exp(logs - logs.max())
+            return len(raw), np.rint(PARTS * shares / shares.sum()) / PARTS
+
+        return read
+
     def posterior(self, text: bytes) -> np.ndarray:
-        rows = self.slot[features(text)]
-        logs = self.bias + self.weights[rows[rows >= 0]].sum(0)
-        shares = np.exp(logs - logs.max())
-        return shares / shares.sum()
+        return self.reader()(text)[1]
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
@@ -151,154 +200,138 @@ def _regress(x: np.ndarray, labels: np.ndarray, bias: np.ndarray) -> tuple[np.nd
 @dataclass
 class Mix:
     classifier: Classifier
-    pulls: list[np.ndarray]  # projected steps from one, by domain
+    residual: np.ndarray  # by domain, what the rates leave, relative to the domain's own tokens
+    kept: np.ndarray  # by domain, whether its documents stay at least once
+    change: float = 0.0  # of any rate in the last step, at most
 
     def rates(self, posteriors: np.ndarray) -> np.ndarray:
-        return rates_after(posteriors, self.pulls)
+        return np.maximum(least_rates(posteriors, self.kept), 1.0 - posteriors @ self.residual / PULL)
 
 
-def rates_after(posteriors: np.ndarray, pulls: list[np.ndarray]) -> np.ndarray:
-    """Rates from one by the projected steps so far, for rows of posteriors."""
-    rates = np.ones(len(posteriors))
-    for pull in pulls:
-        rates = np.maximum(0.0, rates - (posteriors @ pull + PULL * (rates - 1.0)) / (1.0 + PULL))
-    return rates
+def least_rates(posteriors: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """One for rows whose likeliest domain, the first of equal ones, is kept; else zero."""
+    return kept[posteriors.argmax(1)].astype(float) if len(posteriors) else np.zeros(0)
 
 
-def _posteriors(docs: DataFrame, classifier: Classifier) -> DataFrame:
+def stepped(posteriors: np.ndarray, least: np.ndarray, pulls: list[np.ndarray]) -> np.ndarray:
+    """Extrapolated rates after the steps so far, from one. Each step goes along the posterior and the
+    pull towards one and is projected to the least rates; then the last change is carried on by the
+    share that suits the curvature."""
+    carry = (1 - np.sqrt(PULL / (1 + PULL))) / (1 + np.sqrt(PULL / (1 + PULL)))
+    ahead = before = np.ones(len(posteriors))
+    for pull in pulls:
+        rates = np.maximum(least, ahead - (posteriors @ pull + PULL * (ahead - 1.0)) / (1.0 + PULL))
+        ahead, before = rates + carry * (rates - before), rates
+    return ahead
+
+
+def solve(sums: Callable[[list[np.ndarray]], np.ndarray], own: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """The relative residuals of the least-squares rates, by accelerated projected-gradient steps, and
+    how far the last step still changed a rate. ``sums`` gives the tokens by domain of the rates after
+    steps along given pulls. Domains without tokens have no residual."""
+    pulls: list[np.ndarray] = []
+    scale, change = np.where(own > 0, own, 1.0), np.inf
+    while len(pulls) < STEPS and change > ENOUGH:
+        residual = np.where(own > 0, (sums(pulls) - target) / scale, 0.0)
+        if pulls:
+            change = float(np.abs(residual - pulls[-1]).max() / PULL)
+        pulls.append(residual)
+    return pulls[-1], change
+
+
+def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text", prefix: str = "") -> DataFrame:
+    """``docs`` with n_tokens and posteriors (one number per domain); a null text counts as empty."""
+    new = [prefix + "n_tokens", prefix + "posteriors"]
+    rows = docs.drop(*new)
+    at = rows.columns.index(text)
+    schema = T.StructType(list(rows.schema.fields)).add(new[0], "long").add(new[1], T.ArrayType(T.DoubleType()))
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = shared.value.reader()
         for batch in slices(batches):
-            texts = [t or b"" for t in batch.column(0).to_pylist()]
-            posteriors = np.array([shared.value.posterior(t) for t in texts])
-            offsets = np.arange(0, posteriors.size + 1, posteriors.shape[1], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(posteriors.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(t)) for t in texts], pa.int64()), lists], ["tokens", "posterior"])
+            found = [read((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+            counts, lists = zip(*found, strict=True)
+            arrays = [pa.array(counts, pa.int64()), pa.array([v.tolist() for v in lists], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *new])
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "tokens long, posterior array<double>")
+    return rows.mapInArrow(run, schema)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Mix:
-    """Fit classifier and rates for target shares of tokens by domain.
+def fit_rates(scored: DataFrame, classifier: Classifier | None, targets: dict[str, float], keep: bool = False, prefix: str = "") -> Mix:
+    """Fit rates to target shares of tokens by domain, from rows with n_tokens and posteriors.
 
     The mix is as large as needed to give every domain with a positive target a mean rate of at
     least one, so wanted documents are repeated rather than dropped; domains with target 0 go
-    towards rate 0. Each step brings one number per pair of domains and step length to the driver."""
-    if not targets or min(targets.values()) < 0 or sum(targets.values()) <= 0:
-        raise ValueError("targets must be shares of domains")
-    domains = list(targets)
-    classifier = fit_classifier(docs, labelled, domains)
-    table = materialize(_posteriors(docs, classifier), "mixing-posteriors")
-
-    k = len(domains)
-
-    def sums(tried: np.ndarray) -> np.ndarray:
+    towards rate 0. With ``keep`` every document whose likeliest domain has a positive target stays
+    at least once. Every step brings one number per domain to the driver."""
+    share = np.array(list(targets.values())) / sum(targets.values())
+    k, kept = len(share), (share > 0) & keep
+    names = [F.col(prefix + "posteriors")[i].alias(f"p{i}") for i in range(k)]
+    cells = scored.select(F.col(prefix + "n_tokens").alias("n"), *names).groupBy(*(f"p{i}" for i in range(k))).agg(F.sum("n").alias("n"))
+    cells = materialize(cells.where("n > 0"), "mixing-cells")
+
+    def sums(pulls: list[np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(tried), 1 + k + k * k))
             for batch in batches:
-                if batch.num_rows:
-                    total += _sums(batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, k), tried)
-            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["slot", "part"])
+                posteriors = np.column_stack([batch.column(i).to_numpy() for i in range(k)])
+                rates = stepped(posteriors, least_rates(posteriors, kept), pulls)
+                total = (batch.column(k).to_numpy() * rates) @ posteriors
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], [f"s{i}" for i in range(k)])
 
-        rows = table.mapInArrow(run, "slot int, part double").groupBy("slot").agg(F.sum("part").alias("part")).collect()
-        found = np.zeros(len(tried) * (1 + k + k * k))
-        for row in rows:
-            found[row["slot"]] = row["part"]
-        return found.reshape(len(tried), -1)
+        parts = cells.mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
+        return np.array([x or 0.0 for x in parts.agg(*(F.sum(f"s{i}") for i in range(k))).first()])
 
-    own = sums(np.zeros((1, k)))[0, 1 : 1 + k]
+    own = sums([])
     if own.sum() <= 0:
-        return Mix(classifier, [])
-    share = np.array([targets[d] for d in domains]) / sum(targets.values())
+        return Mix(classifier, np.zeros(k), kept)
     wanted = share > 0
     size = MARGIN * (own[wanted] / share[wanted]).max()
-    return Mix(classifier, [solve(sums, own, size * share) * (1.0 + PULL) / PULL])
-
-
-def _sums(tokens: np.ndarray, posteriors: np.ndarray, tried: np.ndarray) -> np.ndarray:
-    """For each row of residuals that is tried: half the pull's weight of the squared rates,
-    the tokens by domain, and the tokens of documents with a positive rate by pairs of domains."""
-    out = []
-    for residuals in tried:
-        rates = rates_after(posteriors, [residuals * (1.0 + PULL) / PULL])
-        kept = (tokens * (rates > 0))[:, None] * posteriors
-        out.append(np.concatenate([[PULL / 2 * (tokens * rates**2).sum()], (tokens * rates) @ posteriors, (posteriors.T @ kept).ravel()]))
-    return np.array(out)
-
-
-def solve(sums: Callable[[np.ndarray], np.ndarray], own: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The relative residuals y of the least-squares rates: rates made from y leave just y.
-
-    They are the minimum of a convex function of one variable per domain, quadratic wherever the
-    same documents have positive rates, so Newton steps with a line search end at it. Raises if
-    they do not. Domains without tokens have no residual."""
-    k, some = len(own), np.flatnonzero(own > 0)
-    y, scale = np.zeros(k), np.sqrt(own[some])
-
-    def value(tried: np.ndarray, found: np.ndarray) -> np.ndarray:
-        return found[:, 0] + tried @ target + (tried**2) @ own / 2
-
-    now = sums(y[None, :])
-    for _ in range(STEPS):
-        slope = own * y + target - now[0, 1 : 1 + k]
-        bend = np.diag(own) + now[0, 1 + k :].reshape(k, k) / PULL
-        step = np.zeros(k)
-        step[some] = -np.linalg.solve(bend[np.ix_(some, some)] / np.outer(scale, scale), slope[some] / scale) / scale
-        if np.abs(step).max() <= ENOUGH * PULL:
-            return y
-        tried = y + LENGTHS[:, None] * step
-        found = sums(tried)
-        before = value(y[None, :], now)[0]
-        good = value(tried, found) <= before + 1e-4 * LENGTHS * (slope[some] @ step[some]) + 1e-13 * abs(before)
-        if not good.any():
-            break
-        at = int(good.argmax())
-        y, now = tried[at], found[at : at + 1]
-    raise RuntimeError(f"mixing rates did not converge: they still change by {np.abs(step).max() / PULL:.3g} a step")
-
-
-def apply(docs: DataFrame, mix: Mix, text: str = "text", doc_id: str = "doc_id", prefix: str = "") -> DataFrame:
-    """Append n_tokens, domain (the likeliest, the first named of equal ones), posterior (its
-    probability), rate and copies to all rows.
-
-    ``copies`` rounds the rate up or down by a hash of the id, so its expectation is the rate.
-    Null and empty texts have no tokens and the posterior of an empty text. Columns with the new
-    names are replaced, all others kept; rows are neither shuffled nor dropped, so repeated rows
-    repeat, and an empty table stays so.
-    """
-    new = [prefix + name for name in ("n_tokens", "domain", "posterior", "rate", "copies")]
-    rows = docs.drop(*new)
-    at = rows.columns.index(text)
-    shared = docs.sparkSession.sparkContext.broadcast(mix)
-    schema = T.StructType(list(rows.schema.fields))
-    for name, kind in zip(new[:4], ("long", "string", "double", "double"), strict=True):
-        schema.add(name, kind)
+    residual, change = solve(sums, own, size * share)
+    return Mix(classifier, residual, kept, change)
+
+
+def with_rates(scored: DataFrame, mix: Mix, doc_id: str = "doc_id", prefix: str = "") -> DataFrame:
+    """Rows of ``with_posteriors`` with domain (the likeliest, the first named of equal ones),
+    posterior (its probability), rate and copies in place of the posteriors; expressions only."""
+    posteriors = F.col(prefix + "posteriors")
+    likely = F.array_max(posteriors)
+    at = F.array_position(posteriors, likely).cast("int")
+    along = F.zip_with(posteriors, F.array(*map(F.lit, mix.residual.tolist())), lambda p, y: p * y)
+    free = 1.0 - F.aggregate(along, F.lit(0.0), lambda total, x: total + x) / PULL
+    least = F.element_at(F.array(*(F.lit(float(x)) for x in mix.kept)), at)
+    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("mixing")), F.lit(1 << 20)) / float(1 << 20)
+    found = scored.withColumns({
+        prefix + "domain": F.element_at(F.array(*map(F.lit, mix.classifier.domains)), at),
+        prefix + "posterior": likely,
+        prefix + "rate": F.greatest(least, free),
+    })
+    return found.withColumn(prefix + "copies", F.floor(F.col(prefix + "rate") + draw).cast("long")).drop(prefix + "posteriors")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classifier = shared.value.classifier
-        for batch in slices(batches):
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
-            posteriors = np.array([classifier.posterior(t) for t in data])
-            best = posteriors.argmax(1)
-            found = [
-                pa.array([len(words_of(t)) for t in data], pa.int64()),
-                pa.array([classifier.domains[k] for k in best], pa.string()),
-                pa.array(posteriors[np.arange(len(best)), best]),
-                pa.array(shared.value.rates(posteriors)),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, *new[:4]])
 
-    draw = F.pmod(F.xxhash64(F.col(doc_id), F.lit("mixing")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.mapInArrow(run, schema).withColumn(new[4], F.floor(F.col(new[3]) + draw).cast("long"))
+_NEW = ("n_tokens", "domain", "posterior", "rate", "copies")
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: bool = False, prefix: str = "") -> DataFrame:
+    """Append n_tokens, domain, posterior, rate and copies to all rows of ``docs`` (doc_id, text, ...).
+
+    ``copies`` rounds the rate up or down by a hash of the id, so its expectation is the rate, and a
+    rate of one or more gives a copy at least. Null and empty texts have no tokens and the posterior of
+    an empty text. Columns with the new names are replaced, all others kept; rows are not dropped,
+    repeated rows repeat, and an empty table stays so. Texts are read once for classifier and rates:
+    the rows with their posteriors are written, and both the fit and the result read that table."""
+    if not targets or min(targets.values()) < 0 or sum(targets.values()) <= 0:
+        raise ValueError("targets must be shares of domains")
+    rows = docs.drop(*(prefix + name for name in (*_NEW, "posteriors")))
+    classifier = fit_classifier(rows.select("doc_id", "text"), labelled, list(targets))
+    scored = materialize(with_posteriors(rows, classifier, prefix=prefix), "mixing-posteriors")
+    return with_rates(scored, fit_rates(scored, classifier, targets, keep, prefix), prefix=prefix)
 
 
-def repeated(docs: DataFrame, mix: Mix, wanted: list[str]) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as its copies, with its own columns. A row
-    whose likeliest domain is ``wanted`` appears at least once."""
-    drawn = apply(docs, mix, prefix="__mix_")
-    copies = F.when(F.col("__mix_domain").isin(wanted), F.greatest("__mix_copies", F.lit(1))).otherwise(F.col("__mix_copies"))
-    drawn = drawn.withColumn("__mix_copies", copies).where("__mix_copies > 0")
+def repeated(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], keep: bool = True) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as its copies, with its own columns. With ``keep``
+    a row whose likeliest domain has a positive target appears at least once."""
+    drawn = mixed(docs, labelled, targets, keep, prefix="__mix_").where("__mix_copies > 0")
     return drawn.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__mix_copies")).alias("__mix_copy")).drop("__mix_copy")
 
 

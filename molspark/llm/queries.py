@@ -82,8 +82,10 @@ def op6_exact_dedup(spark, sf):
 @register
 def op7_mix_sources(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    mix = mixing.fit(docs, mixing.quality_domains(read_table(spark, sf, "labels")), mixing.TARGETS)
-    return mixing.apply(docs, mix).drop("text")
+    marks = mixing.quality_domains(read_table(spark, sf, "labels"))
+    classifier = mixing.fit_classifier(docs, marks, list(mixing.TARGETS))
+    scored = materialize(mixing.with_posteriors(docs, classifier).drop("text"), "posteriors")
+    return mixing.with_rates(scored, mixing.fit_rates(scored, classifier, mixing.TARGETS))
 
 
 @register
