@@ -43,11 +43,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the domains of the labels table get their target shares.
-    Documents that most likely belong to a wanted domain stay at least once."""
+    Documents that most likely belong to a wanted domain stay at least once: that bound is part of
+    the fit."""
     ship_package(spark)
     labels = mixing.quality_domains(read_table(spark, sf_dir, "labels"))
-    wanted = [domain for domain, share in mixing.TARGETS.items() if share > 0]
-    return mixing.repeated(docs, mixing.fit(docs.select("doc_id", "text"), labels, mixing.TARGETS), wanted)
+    return mixing.repeated(docs, labels, mixing.TARGETS)
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
