@@ -46,12 +46,12 @@ PULL, ENOUGH, STEPS = 1e-2, 1e-5, 400
 #: Tokens of the mix beyond what gives every wanted domain a mean rate of one.
 MARGIN = 1.02
 
-#: Words that a worker remembers the features of.
-REMEMBERED = 1 << 19
+#: Words that a task remembers the features of; its memory ends with it.
+REMEMBERED = 1 << 16
 
 
 class _Remembered(dict):
-    """Results of a function of one word, remembered by a worker."""
+    """Results of a function of one word, remembered by a task."""
 
     def __init__(self, make: Callable[[bytes], tuple[int, ...]]):
         self.make = make
@@ -78,16 +78,14 @@ def _measures(raw: list[bytes], distinct: set[bytes]) -> tuple[bytes, bytes]:
     return b"ratio %d" % (10 * len(distinct) // max(1, len(raw))), b"length %d" % len(raw).bit_length()
 
 
-_MARKS = _Remembered(_marks)
-
-
-def features(text: bytes) -> np.ndarray:
+def features(text: bytes, marks: _Remembered | None = None) -> np.ndarray:
     """Buckets of the distinct words with and without punctuation, and of two measures of
     repetition and length."""
+    marks = _Remembered(_marks) if marks is None else marks
     raw = words_of(text)
     distinct, found = set(raw), set()
     for word in distinct:
-        found.update(_MARKS[word])
+        found.update(marks[word])
     found.update(_marks(name)[0] for name in _measures(raw, distinct))
     return np.array(sorted(found), np.int64)
 
@@ -135,9 +133,10 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, number = np.zeros((BUCKETS, len(domains)), np.int32), np.zeros(len(domains), np.int64)
+        marks = _Remembered(_marks)
         for batch in slices(batches):
             for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                seen[features(text or b""), label] += 1
+                seen[features(text or b"", marks), label] += 1
                 number[label] += 1
         bucket, label = np.nonzero(seen)
         yield pa.RecordBatch.from_arrays(
@@ -167,8 +166,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) ->
     slot[chosen] = np.arange(len(chosen))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = _Remembered(_marks)
         for batch in slices(batches):
-            found = [slot[features(t or b"")] for t in batch.column(1).to_pylist()]
+            found = [slot[features(t or b"", marks)] for t in batch.column(1).to_pylist()]
             lists = pa.array([r[r >= 0].astype(np.int32) for r in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["label", "present"])
 
