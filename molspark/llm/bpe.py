@@ -33,8 +33,8 @@ from molspark.llm.common import slices
 
 #: Pieces whose tokens, and token pairs whose validity, a worker remembers. A full memory loses
 #: its newer half: frequent pieces come early.
-REMEMBERED_PIECES = 500_000
-REMEMBERED_PAIRS = 500_000
+REMEMBERED_PIECES = 200_000
+REMEMBERED_PAIRS = 200_000
 #: Characters before a change whose pieces may split differently: the longest look-ahead of
 #: the pattern's alternatives.
 LOOK_AHEAD = 4
