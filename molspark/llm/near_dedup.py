@@ -436,8 +436,8 @@ def _resolved(links: _Links, pairs: DataFrame, rooted: DataFrame, turn: str) ->
     """``rooted`` after all of the pairs (a, b, share) that lie between components were tried, the most
     alike of any two components first."""
     for k in range(FOREST_ROUNDS):
-        between = _apart(links.untried(pairs), rooted)
-        best = between.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("p"))
+        pairs = materialize(_apart(links.untried(pairs), rooted), "near-apart")  # what is together stays so
+        best = pairs.groupBy("x", "y").agg(F.max(F.struct("share", "a", "b")).alias("p"))
         rooted = _merged(rooted, links.confirm(best.select("p.a", "p.b"), f"{turn}-{k}"))
     return _merged(rooted, links.confirm(_apart(links.untried(pairs), rooted), f"{turn}-rest"))
 
