@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 # Element names of HTML by the part they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video textarea select option button".split()
+    "head title script style noscript template svg iframe object canvas audio video textarea select option button".split()
 )
 BOILER = frozenset("nav header footer aside form menu dialog fieldset label legend".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -20,11 +21,17 @@ BLOCKS = BOILER | HEADING | LISTS | TABLES | PROSE | frozenset("html body div se
 #: Words of class, id and role that mark what is not the article.
 BOILER_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
-    notice notices notification alert warning disclaimer sidebar side menu nav navbar navigation breadcrumb breadcrumbs toolbar
-    pagination pager footer foot header masthead topbar comment comments commentlist reply replies respond responses discussion
-    disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal
-    overlay search form widget hidden skip legal copyright contentinfo complementary toc tags outbrain taboola paywall""".split()
+    sidebar menu nav navbar navigation breadcrumb breadcrumbs toolbar pagination pager footer foot header masthead topbar
+    comment comments commentlist reply replies respond disqus share sharing social recommended recommendations newsletter
+    subscribe subscription signup login popup modal overlay widget hidden skip copyright contentinfo complementary toc tags
+    outbrain taboola paywall""".split()
 )
+#: Words that mark boilerplate on some pages and parts of the article on others.
+DOUBTFUL_WORDS = frozenset("notice notices notification alert warning disclaimer side related responses discussion search form legal".split())
+#: A class such as ``has-sidebar`` tells what else the page has, not what the element is.
+LAYOUT_WORDS = frozenset("has with without no".split())
+#: Elements that hold the whole page, whatever their attributes speak of.
+FRAMES = frozenset("html body main".split())
 CONTENT_WORDS = frozenset("article articlebody post postbody entry story content maincontent".split())
 #: An open element of the key's kind ends where one of these begins, up to the bounds given.
 _ENDS = {
@@ -39,6 +46,16 @@ _ENDS = {
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Marks(NamedTuple):
+    """Whether the attributes speak of boilerplate, of content, of the main part, and of what may
+    be boilerplate."""
+
+    boiler: bool = False
+    content: bool = False
+    main: bool = False
+    doubtful: bool = False
+
+
 @dataclass
 class Page:
     """Node 0 is the root. ``runs`` holds (node, text) in page order; node -1 is a border
@@ -46,7 +63,7 @@ class Page:
 
     tags: list[str] = field(default_factory=lambda: ["#root"])
     parents: list[int] = field(default_factory=lambda: [-1])
-    marks: list[tuple[bool, bool, bool]] = field(default_factory=lambda: [(False, False, False)])
+    marks: list[Marks] = field(default_factory=lambda: [Marks()])
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
@@ -72,7 +89,7 @@ class _Builder(HTMLParser):
             return
         page.tags.append(tag)
         page.parents.append(self.open[-1])
-        page.marks.append(_marks(attrs))
+        page.marks.append(_marks(tag, attrs))
         self.open.append(len(page.tags) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -92,6 +109,11 @@ class _Builder(HTMLParser):
     def handle_data(self, data: str) -> None:
         self.page.runs.append((self.open[-1], data))
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """A declaration such as ``<![if IE]>`` is a comment up to the next ``>``, or to the end."""
+        end = self.parse_bogus_comment(i)
+        return len(self.rawdata) if end < 0 else end
+
     def _end(self, _: str, names: set[str], bounds: set[str]) -> None:
         last = 0
         for depth in range(len(self.open) - 1, 0, -1):
@@ -104,22 +126,26 @@ class _Builder(HTMLParser):
             del self.open[last:]
 
 
-def _marks(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
-    """Whether the attributes speak of boilerplate, of content, and of the main part."""
-    boiler = content = main = False
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> Marks:
+    boiler = content = main = doubtful = False
     for name, value in attrs:
         value = value or ""
         if name in ("class", "id", "role", "itemprop", "data-role", "aria-label"):
-            found = {w.lower() for w in _WORD.findall(value)}
-            boiler |= not found.isdisjoint(BOILER_WORDS)
-            joined = {w.lower().replace("-", "").replace("_", "") for w in value.split()}
-            content |= not (found | joined).isdisjoint(CONTENT_WORDS)
+            for part in value.split():
+                words = [w.lower() for w in _WORD.findall(part)]
+                if not words or words[0] in LAYOUT_WORDS:
+                    continue
+                boiler |= not BOILER_WORDS.isdisjoint(words)
+                doubtful |= not DOUBTFUL_WORDS.isdisjoint(words)
+                content |= not CONTENT_WORDS.isdisjoint([*words, "".join(words)])
             main |= (name == "role" and value.strip().lower() in ("main", "article")) or (name == "itemprop" and value.strip().lower() == "articlebody")
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             boiler = True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             boiler = True
-    return boiler, content, main
+    if tag in FRAMES:
+        boiler = doubtful = False
+    return Marks(boiler, content, main, doubtful and not boiler)
 
 
 def parse(html: str) -> Page:

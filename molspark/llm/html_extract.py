@@ -38,7 +38,10 @@ EDGES = {
 }
 #: Kinds whose edges are known beforehand.
 FIXED = {"hidden": (1e6, 1e-3), "boiler": (1e6, 1e-3), "below boiler": (1e6, 1e-2), "main": (1e-1, 1e3)}
-KINDS = (*FIXED, "heading", "prose", "list", "table", "link", "container", "inline")
+#: Below content a doubtful element is one thing as often as the other: its features and what
+#: stands in it decide.
+DOUBTFUL = ((1.0, 0.02), (1.0, 1.0))
+KINDS = (*FIXED, "doubtful", "heading", "prose", "list", "table", "link", "container", "inline")
 
 
 def _article(page: dom.Page) -> set[int]:
@@ -46,34 +49,33 @@ def _article(page: dom.Page) -> set[int]:
     boilerplate if there is one outside."""
     below = [False] * len(page.tags)
     for i in range(1, len(page.tags)):
-        named = page.marks[i][0] or (page.tags[i] in dom.BOILER and page.tags[i] != "form")
+        named = page.marks[i].boiler or (page.tags[i] in dom.BOILER and page.tags[i] != "form")
         below[i] = below[page.parents[i]] or named
-    plain = [i for i, tag in enumerate(page.tags) if tag == "article" and not page.marks[i][0]]
-    main = [i for i, tag in enumerate(page.tags) if (tag == "main" or page.marks[i][2]) and not page.marks[i][0]]
-    named = [i for i, (boiler, content, _) in enumerate(page.marks) if content and not boiler and page.tags[i] in dom.BLOCKS]
+    plain = [i for i, tag in enumerate(page.tags) if tag == "article" and not page.marks[i].boiler]
+    main = [i for i, tag in enumerate(page.tags) if (tag == "main" or page.marks[i].main) and not page.marks[i].boiler]
+    named = [i for i, told in enumerate(page.marks) if told.content and not told.boiler and page.tags[i] in dom.BLOCKS]
     every = [[i for i in found if not below[i]] for found in (plain, main, named)] + [plain, main, named]
     return set(next((found for found in every if found), ()))
 
 
 def kinds(page: dom.Page, marks: set[int]) -> list[str]:
-    """A form that holds most of the page's text wraps the page and is a container."""
-    size = [0] * len(page.tags)
-    for node, run in page.runs:
-        if node >= 0:
-            size[node] += len(run)
-    for i in range(len(size) - 1, 0, -1):
-        size[page.parents[i]] += size[i]
-    out = []
+    """A form outside the article is doubtful, because some wrap the page."""
+    out: list[str] = []
+    inside = [False] * len(page.tags)  # the article
     for i, tag in enumerate(page.tags):
         above = out[page.parents[i]] if i else ""
+        inside[i] = i in marks or (i > 0 and inside[page.parents[i]])
+        doubtful = tag == "form" and not inside[i]
         if tag in dom.HIDDEN or above == "hidden":
             kind = "hidden"
-        elif page.marks[i][0] or (tag in dom.BOILER and not (tag == "form" and 2 * size[i] > size[0])):
+        elif page.marks[i].boiler or (tag in dom.BOILER and not doubtful):
             kind = "boiler"
         elif i in marks:
             kind = "main"
         elif above in ("boiler", "below boiler"):
             kind = "below boiler"
+        elif doubtful or page.marks[i].doubtful:
+            kind = "doubtful"
         elif tag in dom.HEADING:
             kind = "heading"
         elif tag in dom.PROSE:
@@ -128,6 +130,8 @@ def _tally(page: dom.Page, counts: Counter) -> None:
     truth = labels(page, marks, kind)
     for marked in ("marked", "unmarked"):
         for i in range(1, len(kind)):
+            if kind[i] == "doubtful" and truth[page.parents[i]]:
+                continue  # the mark does not tell
             seen = "container" if marked == "unmarked" and kind[i] == "main" else kind[i]
             counts[marked, "edge", seen, truth[page.parents[i]], truth[i]] += 1
             for value in told[i]:
@@ -153,7 +157,7 @@ class Potentials:
             for kind in KINDS:
                 rows = []
                 for above in (0, 1):
-                    prior = FIXED.get(kind, EDGES[marked][above])
+                    prior = DOUBTFUL[above] if kind == "doubtful" else FIXED.get(kind, EDGES[marked][above])
                     no, yes = get(marked, "edge", kind, above, 0) + prior[0], get(marked, "edge", kind, above, 1) + prior[1]
                     rows.append((no / (no + yes), yes / (no + yes)))
                 edge[marked, kind] = tuple(rows)

@@ -1,4 +1,6 @@
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from molspark.llm import dom, html_extract
 from molspark.llm.common import read_table
 
@@ -39,6 +41,46 @@ def test_prose_without_any_mark(potentials):
     assert text == f"{PROSE} {PROSE}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body class='has-sidebar'><p>{PROSE}</p></body>",
+        f"<body class='search'><main id=search><p>{PROSE}</p></main></body>",
+        f"<nav>Home</nav><article class='post has-sidebar'><p>{PROSE}</p></article>",
+        f"<nav>Home</nav><form><div><p>{PROSE}</p></div></form>",
+        f"<form><nav>Home</nav><article><p>{PROSE}</p></article></form>",
+        f"<article><p>{PROSE}</p><form>Your mail <button>Go</button></form></article><form>Search</form>",
+        f"<article><p>{PROSE}</p></article><article class='comment'><p>I disagree</p></article>",
+    ],
+)
+def test_frames_and_forms(potentials, page):
+    assert html_extract.main_text(page, potentials) == PROSE
+
+
+def test_doubtful_words_are_decided_by_what_stands_below(potentials):
+    work = f"<article><p>{PROSE}</p><section id='related-work'><h2>Related work</h2><p>{PROSE}</p><p>{PROSE}</p></section></article>"
+    assert html_extract.main_text(work, potentials) == f"{PROSE} Related work {PROSE} {PROSE}"
+    links = "".join(f"<li><a href=/{i}>A page called {i}</a></li>" for i in range(5))
+    more = f"<article><p>{PROSE}</p><section class='related'><ul>{links}</ul></section></article>"
+    assert html_extract.main_text(more, potentials) == PROSE
+
+
+def test_formula_is_text(potentials):
+    assert html_extract.main_text(f"<article><p>{PROSE} <math><mi>x</mi></math></p></article>", potentials) == f"{PROSE} x"
+
+
+@pytest.mark.parametrize("odd", ["<![ foo", "<![>", "<![foo[bar]]>", "<![if IE]>", "<!x", "<![CDATA[a]]>", "<!DOCTYPE [", "<?x", "<!-", "<![CDATA["])
+def test_odd_declarations_are_comments(potentials, odd):
+    assert html_extract.main_text(f"<article><p>{PROSE}</p></article>{odd}", potentials) == PROSE
+    dom.parse(f"{odd}<p>then</p>")
+
+
+@given(st.text("<>![]-/?&;=\"' abcdCATD#x", max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_any_markup_is_read(markup):
+    dom.parse(markup)
+
+
 def test_broken_markup(potentials):
     assert html_extract.main_text("<article><p>one<p>two</b></i> three<div>four", potentials) == "one two three four"
     assert html_extract.main_text("<article><p>cut &am", potentials) == "cut &am"
