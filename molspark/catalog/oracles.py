@@ -303,6 +303,20 @@ FROM mixed_tokens""",
 )
 
 
+_view("pack_order", "SELECT n_tokens, row_number() OVER (ORDER BY n_tokens DESC, mol_id) AS i FROM mol_batches", ("mol_batches",))
+# one sequence at a time, the longest first, into the least space that takes it
+_view(
+    "pack_spaces",
+    """SELECT 0::BIGINT AS i, []::BIGINT[] AS spaces UNION ALL
+       SELECT o.i, CASE WHEN fit IS NULL THEN list_append(spaces, 128 - n_tokens)
+                        ELSE list_append(list_concat(spaces[:spot - 1], spaces[spot + 1:]), fit - n_tokens) END
+       FROM (SELECT p.spaces, o.i, o.n_tokens, list_min(list_filter(p.spaces, lambda x: x >= o.n_tokens)) AS fit,
+                    list_position(p.spaces, list_min(list_filter(p.spaces, lambda x: x >= o.n_tokens))) AS spot
+             FROM pack_spaces p JOIN pack_order o ON o.i = p.i + 1) o""",
+    ("pack_order",),
+)
+
+
 def _uniform(parameter: str) -> str:
     digest = f"md5('42:{parameter}:' || study || ':' || trial_id)"
     return f"(('0x' || substr({digest}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
@@ -460,6 +474,18 @@ def all_oracles() -> dict[str, str]:
                FROM mol_batches GROUP BY batch_id""",
             "mol_batches",
         ),
+        "pack_waste": (
+            """SELECT n_tokens, count(*) AS n_packs, round(1 - n_tokens / 128, 9) AS waste
+               FROM (SELECT 128 - unnest(spaces) AS n_tokens FROM pack_spaces
+                     WHERE i = (SELECT count(*) FROM mol_batches)) GROUP BY n_tokens""",
+            "pack_spaces",
+            "mol_batches",
+        ),
+        "pack_check": (
+            """SELECT count(*) AS n_rows, count(*) AS n_placed, 0::BIGINT AS n_beyond, 0::BIGINT AS n_misplaced
+               FROM mol_batches WHERE n_tokens BETWEEN 1 AND 128""",
+            "mol_batches",
+        ),
         "batch_assign": ("SELECT row_key, (rank - 1) // 32 AS batch_id FROM line_rank", "line_rank"),
         "unwrap_prediction": ("SELECT mol_id, property, value FROM property_values", "property_values"),
         "parity_table": (

@@ -13,7 +13,7 @@ from molspark.catalog import views as V
 from molspark.functions import smiles as S
 from molspark.functions.vectors import dot, linear
 from molspark.functions.vectors import pool_first as first_token
-from molspark.operators import checks, graphs, grouped_split, heads, joins, molecules, ranking, reports, search, splits, trends, vocab
+from molspark.operators import checks, graphs, grouped_split, heads, joins, molecules, packing, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report, prepare_examples
 from molspark.session import scratch_path, ship_package
@@ -26,6 +26,7 @@ _REGISTERED: dict[str, Query] = {}
 SPLIT_SEED = 42
 BATCH_SIZE = 32
 MAX_LENGTH = 512
+PACK_TOKENS = 128
 
 
 def register(fn: Query) -> Query:
@@ -332,6 +333,22 @@ def pad_waste(spark, sf):
     return _rounded(vocab.padding_waste(_padded_batches(spark, sf)), 9, "waste")
 
 
+def _packed(spark, sf):
+    rows = V.mixed_smiles(spark, sf)
+    sized = rows.select("mol_id", (F.size(S.smiles_tokens(F.col("smiles"))) + 1).alias("n_tokens"))
+    return packing.pack_sequences(sized, "mol_id", "n_tokens", PACK_TOKENS, SPLIT_SEED)
+
+
+@register
+def pack_waste(spark, sf):
+    return _rounded(packing.packing_waste(_packed(spark, sf), "n_tokens", PACK_TOKENS), 9, "waste")
+
+
+@register
+def pack_check(spark, sf):
+    return packing.packing_check(_packed(spark, sf), "n_tokens", PACK_TOKENS)
+
+
 @register
 def batch_assign(spark, sf):
     rows = V.predictions(spark, sf).select("row_key")
