@@ -331,6 +331,43 @@ _view(
        ([16, 32, 64])[floor({_uniform('batch_size')} * 3)::INT + 1]::INT AS batch_size
 FROM (SELECT user_id % 20 AS study, event_id AS trial_id FROM events)""",
 )
+_view(
+    "trial_bins",
+    """SELECT study, rank <= ceil(0.25 * n) AS good, unnest([
+           {'dimension': 'dropout', 'bins': 32, 'reach': 4, 'bin': least(floor(dropout / 0.5 * 32), 31)::INT},
+           {'dimension': 'num_hidden_layers', 'bins': 3, 'reach': 1, 'bin': num_hidden_layers - 1},
+           {'dimension': 'learning_rate', 'bins': 32, 'reach': 4,
+            'bin': least(floor((ln(learning_rate) - ln(1e-6::DOUBLE)) / (ln(1e-3::DOUBLE) - ln(1e-6::DOUBLE)) * 32), 31)::INT},
+           {'dimension': 'batch_size', 'bins': 3, 'reach': 1, 'bin': list_position([16, 32, 64], batch_size) - 1}], recursive := true)
+       FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY value, trial_id) AS rank, count(*) OVER (PARTITION BY study) AS n
+             FROM drawn JOIN trials USING (study, trial_id))""",
+    ("drawn", "trials"),
+)
+_view(
+    "trial_densities",
+    """SELECT study, dimension, b::INT AS bin,
+       1 + sum(CASE WHEN good THEN greatest(reach - abs(b - bin), 0) ELSE 0 END)::BIGINT AS good,
+       1 + sum(CASE WHEN good THEN 0 ELSE greatest(reach - abs(b - bin), 0) END)::BIGINT AS other
+FROM trial_bins, range(32) AS r(b) WHERE b < bins GROUP BY ALL""",
+    ("trial_bins",),
+)
+_view(
+    "trial_steps",
+    "SELECT *, sum(good) OVER (PARTITION BY study, dimension ORDER BY bin) AS cum, ln(good) - ln(other) AS score FROM trial_densities",
+    ("trial_densities",),
+)
+_DRAW = "md5('42:' || dimension || '{}:' || study || ':' || last || ':' || draw)"
+_view(
+    "trial_draws",
+    f"""SELECT study, last, draw, dimension, arg_min(bin, bin) FILTER (cum > u * total) AS bin, arg_min(score, bin) FILTER (cum > u * total) AS score,
+       any_value(w) AS w
+FROM (SELECT *, ('0x' || substr({_DRAW.format('')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u,
+             ('0x' || substr({_DRAW.format(' within')}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS w,
+             sum(good) OVER (PARTITION BY study, dimension, draw) AS total
+      FROM trial_steps JOIN (SELECT study, max(trial_id) AS last FROM trials GROUP BY study) USING (study), range(24) AS r(draw))
+GROUP BY study, last, draw, dimension""",
+    ("trial_steps", "trials"),
+)
 _view(
     "trend",
     """SELECT property, family, carbons, count(value) AS n, avg(value) AS mean_value,
@@ -670,6 +707,23 @@ def all_oracles() -> dict[str, str]:
                    round(learning_rate, 12) AS learning_rate, batch_size FROM drawn""",
             "drawn",
         ),
+        "trial_densities": ("SELECT study, dimension, bin, good, other FROM trial_densities", "trial_densities"),
+        "next_trials": (
+            """SELECT study, last + place AS trial_id, round(0.5::DOUBLE * ((dropout + dropout_w) / 32), 12) AS dropout,
+                   (num_hidden_layers + 1)::INT AS num_hidden_layers,
+                   round(exp(ln(1e-6::DOUBLE) + (learning_rate + learning_rate_w) / 32 * (ln(1e-3::DOUBLE) - ln(1e-6::DOUBLE))), 12) AS learning_rate,
+                   ([16, 32, 64])[batch_size + 1]::INT AS batch_size, round(score, 6) AS score
+               FROM (SELECT *, row_number() OVER (PARTITION BY study ORDER BY round(score, 9) DESC, draw) AS place
+                     FROM (SELECT study, last, draw, sum(score) AS score,
+                                  max(bin) FILTER (dimension = 'dropout') AS dropout, max(w) FILTER (dimension = 'dropout') AS dropout_w,
+                                  max(bin) FILTER (dimension = 'num_hidden_layers') AS num_hidden_layers,
+                                  max(bin) FILTER (dimension = 'learning_rate') AS learning_rate,
+                                  max(w) FILTER (dimension = 'learning_rate') AS learning_rate_w,
+                                  max(bin) FILTER (dimension = 'batch_size') AS batch_size
+                           FROM trial_draws GROUP BY study, last, draw))
+               WHERE place <= 3""",
+            "trial_draws",
+        ),
         "trials_tall": (
             """SELECT trial_id, dimension, round(value, 9) AS value,
                    round((value - low) / nullif(high - low, 0), 9) AS scaled

@@ -13,7 +13,7 @@ from molspark.catalog import views as V
 from molspark.functions import smiles as S
 from molspark.functions.vectors import dot, linear
 from molspark.functions.vectors import pool_first as first_token
-from molspark.operators import checks, graphs, grouped_split, heads, joins, molecules, packing, ranking, reports, search, splits, trends, vocab
+from molspark.operators import checks, density_ratio, graphs, grouped_split, heads, joins, molecules, packing, ranking, reports, search, splits, trends, vocab
 from molspark.operators.heads import HeadParams
 from molspark.plans.finetune import line_report, prepare_examples
 from molspark.session import scratch_path, ship_package
@@ -610,6 +610,21 @@ def search_space(spark, sf):
     return _rounded(_drawn_trials(spark, sf), 12, "dropout", "learning_rate")
 
 
+def _valued_trials(spark, sf):
+    return search.draw_parameters(V.trials(spark, sf), ["study", "trial_id"], SPLIT_SEED)
+
+
+@register
+def trial_densities(spark, sf):
+    return density_ratio.densities(_valued_trials(spark, sf))
+
+
+@register
+def next_trials(spark, sf):
+    proposed = density_ratio.propose(_valued_trials(spark, sf), n_next=3, seed=SPLIT_SEED)
+    return _rounded(_rounded(proposed, 12, "dropout", "learning_rate"), 6, "score")
+
+
 @register
 def trials_tall(spark, sf):
     tall = search.trials_tall(_drawn_trials(spark, sf), "trial_id", list(search.PARAMETERS))
