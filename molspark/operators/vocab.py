@@ -220,7 +220,7 @@ def decode_rows(
     """Add the tokens of ``ids`` without specials, for a vocabulary of any size.
 
     Tokens of the head are looked up in the row; only positions that stay open are joined with
-    the rest of the vocabulary. An id that the vocabulary lacks gives a null token.
+    the rest of the vocabulary, and only rows that have such positions are shuffled. An id that the vocabulary lacks gives a null token.
     """
     head = vocabulary_head(vocab, max_tokens)
     plain = F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: i >= FIRST_ID)
@@ -244,11 +244,13 @@ def decode_rows(
         flat[np.repeat(starts, _lengths(pos)) + pos.flatten().to_numpy()] = words.flatten().to_numpy(zero_copy_only=False)
         return _lists(pa.array(flat, pa.string(), from_pandas=True), lengths)
 
-    no_ints, joined = F.array().cast("array<int>"), looked.join(found, "_row", "left")
+    is_open = F.exists(name, lambda token: token.isNull())
+    no_ints, joined = F.array().cast("array<int>"), looked.where(is_open).join(found, "_row", "left")
     filled = F.arrow_udf(fill, "array<string>")(
         F.col(name), F.coalesce(F.col("_found._pos"), no_ints), F.coalesce(F.col("_found._token"), _no_strings())
     )
-    return joined.withColumn(name, filled).drop("_plain", "_row", "_found")
+    rows = joined.withColumn(name, filled).drop("_plain", "_row", "_found")
+    return looked.where(~is_open).drop("_plain", "_row").unionByName(rows)
 
 
 def _pad(array: Column, width: Column, filler: int) -> Column:
