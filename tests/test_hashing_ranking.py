@@ -146,6 +146,16 @@ def test_number_copies_brute_force(spark, monkeypatch):
         assert sorted(r["copy"] for r in found if r.k == key) == list(range(1, size + 1))
 
 
+def test_copies_are_expanded_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "_COPY_CHUNK", 7)
+    monkeypatch.setattr(ranking, "_COPY_ROWS", 100)
+    df = spark.createDataFrame([("hot", 0)], "k string, v int").withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(2000)))).drop("_")
+    numbered = ranking.number_copies(df, "k")
+    assert sorted(r["copy"] for r in numbered.collect()) == list(range(1, 2001))
+    sizes = [r["count"] for r in numbered.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 10 and max(sizes) <= 300
+
+
 def test_numbered_copies_complete_a_key_for_ranking(spark):
     rows = [("a", 1)] * 50 + [("b", 2)] * 3
     df = ranking.number_copies(spark.createDataFrame(rows, "k string, v int"), ["k", "v"])
