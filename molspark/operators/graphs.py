@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,28 +36,50 @@ _ARROW = pa.struct([
 ])
 
 
-def _graph(text: str | None) -> dict:
-    """One molecule as nested rows. Orders are those of the Kekulé form, null where there is none."""
-    try:
-        atoms, bonds = G.parse(text)
-    except G.BadMolecule as bad:
-        return {"atoms": [], "bonds": [], "fault": bad.args[0], "kekule": None}
-    orders = G.kekule_orders(atoms, bonds)
-    degree, sums = [0] * len(atoms), [0] * len(atoms)
-    for k, b in enumerate(bonds):
-        for end in (b.a, b.b):
-            degree[end] += 1
-            sums[end] += orders[k] if orders else 0
-    least = G.fragments(len(atoms), bonds)
-    return {
-        "atoms": [
-            {"atom": i, "symbol": x.symbol, "aromatic": x.aromatic, "bracket": x.bracket, "isotope": x.isotope, "charge": x.charge, "written": x.hydrogens, "degree": degree[i], "orders": None if orders is None else sums[i], "fragment": least[i]}
-            for i, x in enumerate(atoms)
-        ],
-        "bonds": [{"bond": k, "a": b.a, "b": b.b, "aromatic": b.order == G.AROMATIC, "order": orders and orders[k]} for k, b in enumerate(bonds)],
-        "fault": "kekule" if orders is None else None,
-        "kekule": None if orders is None else G.respell(text, atoms, bonds, orders),
-    }
+def _graphs(texts: list[str | None]) -> pa.StructArray:
+    """Molecules as nested rows, gathered by column. Orders are those of the Kekulé form, null where
+    there is none."""
+    atoms, bonds, orders, least = [], [], [], []
+    n_atoms, n_bonds, known, faults, kekules = [], [], [], [], []
+    for text in texts:
+        try:
+            own, links = G.parse(text)
+        except G.BadMolecule as bad:
+            own, links, found, fault = [], [], None, bad.args[0]
+        else:
+            found = G.kekule_orders(own, links)
+            fault = "kekule" if found is None else None
+        atoms += own
+        bonds += links
+        orders += [0] * len(links) if found is None else found
+        # without a dot every atom is bonded with an earlier one
+        least += G.fragments(len(own), links) if own and "." in text else [0] * len(own)
+        n_atoms.append(len(own))
+        n_bonds.append(len(links))
+        known.append(found is not None)
+        faults.append(fault)
+        kekules.append(None if found is None else G.respell(text, own, links, found))
+    symbol, aromatic, bracket, isotope, charge, written, _, _ = zip(*atoms, strict=True) if atoms else [()] * 8
+    a, b, order, _, _ = (np.array(x, np.int32) for x in (zip(*bonds, strict=True) if bonds else [()] * 5))
+    starts, firsts = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32) for n in (n_atoms, n_bonds))
+    shift = np.repeat(starts[:-1], n_bonds)
+    ends = np.concatenate([a + shift, b + shift])
+    spelled = np.array(orders, np.int32)
+    degree = np.bincount(ends, minlength=len(atoms))
+    sums = np.bincount(ends, np.concatenate([spelled, spelled]), minlength=len(atoms))
+    number, link = (np.arange(first[-1], dtype=np.int32) - np.repeat(first[:-1], n) for first, n in ((starts, n_atoms), (firsts, n_bonds)))
+    known = np.array(known, bool)
+    columns = [
+        number, pa.array(symbol, pa.string()), pa.array(aromatic, pa.bool_()), pa.array(bracket, pa.bool_()), pa.array(isotope, pa.int32()),
+        pa.array(charge, pa.int32()), pa.array(written, pa.int32()), degree.astype(np.int32),
+        pa.array(sums.astype(np.int32), mask=~np.repeat(known, n_atoms)), pa.array(least, pa.int32()),
+    ]
+    pairs = [link, a, b, order == G.AROMATIC, pa.array(spelled, mask=~np.repeat(known, n_bonds))]
+    lists = [
+        pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays([pa.array(x) for x in values], fields=list(_ARROW.field(name).type.value_type)))
+        for name, first, values in (("atoms", starts, columns), ("bonds", firsts, pairs))
+    ]
+    return pa.StructArray.from_arrays([*lists, pa.array(faults, pa.string()), pa.array(kekules, pa.string())], fields=list(_ARROW))
 
 
 def _valences(symbol: Column, charge: Column) -> Column:
@@ -66,21 +89,29 @@ def _valences(symbol: Column, charge: Column) -> Column:
     table = F.create_map(*(x for name, values in VALENCES.items() for x in (F.lit(name), F.array(*map(F.lit, values)))))
     normal = F.coalesce(F.try_element_at(table, symbol), F.array().cast("array<int>"))
     shift = F.when(symbol.isin("C", "Si", "H"), -F.abs(charge)).when(symbol == "B", -charge).otherwise(charge)
-    normal = F.when((symbol == "N") & (charge != 0), F.slice(normal, 1, 1)).otherwise(normal)
-    return F.transform(normal, lambda v: F.greatest(v + shift, F.lit(0)))
+    charged = F.when(symbol == "N", F.slice(normal, 1, 1)).otherwise(normal)
+    return F.when(charge == 0, normal).otherwise(F.transform(charged, lambda v: F.greatest(v + shift, F.lit(0))))
 
 
-def _with_hydrogens(atom: Column) -> Column:
-    """The atom with its hydrogens and whether its bonds are possible. Outside brackets an atom is
+def _with_hydrogens(atoms: Column) -> Column:
+    """The atoms with their hydrogens and whether their bonds are possible. Outside brackets an atom is
     filled up to its least possible valence; inside, hydrogens are as written, and fewer than the
-    valence asks for are allowed."""
-    allowed = _valences(atom["symbol"], atom["charge"])
-    fitting = F.filter(allowed, lambda v: v >= atom["orders"])
-    filled = F.when(F.size(fitting) > 0, F.array_min(fitting) - atom["orders"]).otherwise(0)
-    hydrogens = F.when(atom["bracket"], atom["written"]).when(atom["orders"].isNotNull(), filled).cast("int")
-    fits = (F.size(allowed) == 0) | (atom["orders"] + F.coalesce(hydrogens, F.lit(0)) <= F.array_max(allowed))
-    kept = [atom[name].alias(name) for name in ("atom", "symbol", "aromatic", "isotope", "charge", "degree", "orders", "fragment")]
-    return F.struct(*kept, hydrogens.alias("hydrogens"), fits.alias("fits"))
+    valence asks for are allowed. Each step is a pass of its own, so that no value is computed twice."""
+
+    def hydrogens(x: Column) -> Column:
+        atom = x["atom"]
+        filled = F.coalesce(F.array_min(F.filter(x["allowed"], lambda v: v >= atom["orders"])) - atom["orders"], F.lit(0))
+        return F.when(atom["bracket"], atom["written"]).when(atom["orders"].isNotNull(), filled).cast("int")
+
+    def whole(x: Column) -> Column:
+        atom, most = x["atom"], F.array_max(x["allowed"])
+        fits = most.isNull() | (atom["orders"] + F.coalesce(x["hydrogens"], F.lit(0)) <= most)
+        kept = [atom[name].alias(name) for name in ("atom", "symbol", "aromatic", "isotope", "charge", "degree", "orders", "fragment")]
+        return F.struct(*kept, x["hydrogens"].alias("hydrogens"), fits.alias("fits"))
+
+    allowed = F.transform(atoms, lambda a: F.struct(a.alias("atom"), _valences(a["symbol"], a["charge"]).alias("allowed")))
+    filled = F.transform(allowed, lambda x: F.struct(x["atom"].alias("atom"), x["allowed"].alias("allowed"), hydrogens(x).alias("hydrogens")))
+    return F.transform(filled, whole)
 
 
 def with_graph(df: DataFrame, smiles: str = "smiles") -> DataFrame:
@@ -97,11 +128,11 @@ def with_graph(df: DataFrame, smiles: str = "smiles") -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 1024):
                 rows = batch.slice(start, 1024)
-                graphs = pa.array([_graph(text) for text in rows.column(len(kept)).to_pylist()], _ARROW)
+                graphs = _graphs(rows.column(len(kept)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], graphs], [*kept, "_graph"])
 
     parsed = df.select(*kept, F.col(smiles).alias("_text")).mapInArrow(run, schema)
-    atoms = parsed.withColumn("atoms", F.transform("_graph.atoms", _with_hydrogens))
+    atoms = parsed.withColumn("atoms", _with_hydrogens(F.col("_graph.atoms")))
     fault = F.coalesce(F.col("_graph.fault"), F.when(~F.forall("atoms", lambda a: a["fits"]), F.lit("valence")))
     return atoms.select(*kept, "atoms", F.col("_graph.bonds").alias("bonds"), fault.alias("fault"), F.col("_graph.kekule").alias("kekule"))
 
@@ -117,11 +148,20 @@ def bond_table(graphs: DataFrame, key: str) -> DataFrame:
     return graphs.select(key, F.explode("bonds").alias("_b")).select(key, "_b.*")
 
 
-def _formula(atoms: Column, hydrogens: Column) -> Column:
-    """Elements with their counts: carbon, hydrogen, then by letter; without carbon all by letter."""
-    letters = F.array_sort(F.array_distinct(F.concat(F.transform(atoms, lambda a: a["symbol"]), F.when(hydrogens > 0, F.array(F.lit("H"))).otherwise(F.array().cast("array<string>")))))
-    first = F.when(F.array_contains(letters, "C"), F.array(F.lit("C"), F.lit("H"))).otherwise(F.array().cast("array<string>"))
-    order = F.concat(F.filter(first, lambda s: F.array_contains(letters, s)), F.array_except(letters, first))
+def _letters(atoms: Column, hydrogens: Column) -> Column:
+    """The elements by letter."""
+    none = F.array().cast("array<string>")
+    return F.sort_array(F.array_distinct(F.concat(F.transform(atoms, lambda a: a["symbol"]), F.when(hydrogens > 0, F.array(F.lit("H"))).otherwise(none))))
+
+
+def _in_order(letters: Column) -> Column:
+    """Carbon, hydrogen, then by letter; without carbon all by letter."""
+    first = F.array(F.lit("C"), F.lit("H"))
+    return F.when(F.array_contains(letters, "C"), F.concat(F.array_intersect(first, letters), F.array_except(letters, first))).otherwise(letters)
+
+
+def _formula(order: Column, atoms: Column, hydrogens: Column) -> Column:
+    """Elements with their counts."""
 
     def part(symbol):
         n = F.size(F.filter(atoms, lambda a: a["symbol"] == symbol)) + F.when(symbol == "H", hydrogens).otherwise(0)
@@ -142,7 +182,9 @@ def composition(graphs: DataFrame) -> DataFrame:
         "n_hydrogens": total("hydrogens"), "charge": total("charge"),
     }
     found = graphs.withColumns({name: F.when(known, value) for name, value in found.items()})
-    return found.withColumn("formula", F.when(known, _formula(F.col("atoms"), F.col("n_hydrogens")))).drop("atoms", "bonds")
+    found = found.withColumn("_letters", _letters(F.col("atoms"), F.col("n_hydrogens")))
+    formula = _formula(_in_order(F.col("_letters")), F.col("atoms"), F.col("n_hydrogens"))
+    return found.withColumn("formula", F.when(known, formula)).drop("atoms", "bonds", "_letters")
 
 
 def element_table(graphs: DataFrame, group: str) -> DataFrame:

@@ -7,6 +7,7 @@ from conftest import plan_of
 from pyspark.sql import functions as F
 
 from molspark.catalog import views as V
+from molspark.catalog.queries import all_queries
 from molspark.functions import molgraph as G
 from molspark.operators import graphs
 
@@ -171,3 +172,19 @@ def test_elements_by_group(spark):
     df = frame(spark, ["CCO", "C", "c1cccc1", "OCl"]).withColumn("grp", F.lit("a"))
     got = {r.symbol: (r.n_atoms, r.n_molecules, r.hydrogens) for r in graphs.element_table(graphs.with_graph(df), "grp").collect()}
     assert got == {"C": (3, 2, 9), "O": (2, 2, 2), "Cl": (1, 1, 0)}
+
+
+def test_molecules_of_one_file_piece_are_dealt_to_tasks(spark, scratch):
+    folder = scratch("one-piece")
+    parts = spark.range(3000).selectExpr("id p_partkey", "cast(id % 40 + 1 as int) p_size", "'b' p_brand", "1.5d p_retailprice")
+    parts.coalesce(1).write.parquet(f"{folder}/part.parquet")
+    for name in ("molecule_composition", "chemical_verdicts", "kekulize"):
+        rows = all_queries()[name](spark, folder).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in rows) == 3000 and len(rows) == 3 and max(r["count"] for r in rows) < 1200, name
+
+
+def test_graphs_of_a_batch_are_those_of_its_rows():
+    texts = [*KNOWN, None, *FAULTS, "C%12CCCCC%12Cl", "Br", "C1.C1", "[13CH4].c1ccccc1"]
+    assert graphs._graphs(texts).to_pylist() == [graphs._graphs([t]).to_pylist()[0] for t in texts]
+    (one,) = graphs._graphs(["CBr.O"]).to_pylist()
+    assert [(a["symbol"], a["degree"], a["orders"], a["fragment"]) for a in one["atoms"]] == [("C", 1, 1, 0), ("Br", 1, 1, 0), ("O", 0, 0, 2)]
