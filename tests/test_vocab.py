@@ -1,9 +1,12 @@
 import random
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from molspark.catalog import views
 from molspark.functions import smiles as S
 from molspark.operators import vocab as V
 from molspark.operators.splits import assign_batches
@@ -139,3 +142,36 @@ def test_batch_padding(spark):
     waste = {r.batch_id: r.waste for r in V.padding_waste(V.pad_batches(assign_batches(df, "id", 16))).collect()}
     for batch, sizes in widths.items():
         assert waste[batch] == pytest.approx(1 - sum(sizes) / (max(sizes) * len(sizes)))
+
+
+def test_open_positions_are_decoded_in_place(spark, words):
+    rows, df = words
+    vocabulary = V.build_vocabulary(df, tokens())
+    texts = {r.id: r.token for r in vocabulary.collect()}
+    lists = [(1, [2, 3, 60, 61, 9999, 60]), (2, []), (3, None), (4, [3, 4]), (5, [9999])]
+    ids = spark.createDataFrame(lists, "id long, input_ids array<int>").withColumn("tokens", F.lit("replaced"))
+    for most in (1, 5, 50_000):
+        decoded = V.decode_rows(ids, vocabulary, max_tokens=most)
+        assert decoded.columns == ["id", "input_ids", "tokens"]
+        got = {r.id: r.tokens for r in decoded.collect()}
+        assert got == {i: [texts.get(x) for x in some or [] if x >= V.FIRST_ID] for i, some in lists}
+
+
+def test_lookups_hold_no_python_strings():
+    ids = [pa.array([[7] * 50_000] * 20, pa.list_(pa.int32()))]
+    head = V.VocabularyHead(("a",), (3,), False)
+    looked = V._look_up_head(head).func(*ids)
+    words = pa.array([["word"] * 50_000] * 20, pa.list_(pa.string()))
+    tracemalloc.start()
+    filled = V._fill_tokens(looked.field("_tokens"), looked.field("_pos"), words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert filled.to_pylist() == words.to_pylist()
+    assert most < 40 * 1_000_000
+
+
+def test_documents_of_one_file_piece_are_dealt_to_tasks(spark, scratch):
+    folder = scratch("one-piece-documents")
+    spark.range(9000).selectExpr("id doc_id", "'a text' text").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    sizes = [r["count"] for r in views.documents(spark, folder).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 9 and sum(sizes) == 9000 and max(sizes) < 1200
