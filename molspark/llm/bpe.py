@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molspark.llm.common import slices
+from molspark.llm.common import forget, slices, worker_memory
 
 #: Pieces whose tokens, and token pairs whose validity, a worker remembers. A full memory loses
 #: its newer half: frequent pieces come early.
@@ -330,14 +330,12 @@ class EncodedText:
         return Prefixes(self.merges, piece.encode("utf-8", "surrogatepass"))
 
 
-_WORKER: list[PieceTokens] = []
-
-
 def _remembered(ranks: dict[bytes, int]) -> PieceTokens:
     """The memory of this Python worker, which serves one task after another."""
-    if not _WORKER or _WORKER[0].merges.ranks != ranks:
-        _WORKER[:] = [PieceTokens(Merges(ranks))]
-    return _WORKER[0]
+    known = worker_memory("bpe", lambda: PieceTokens(Merges(ranks)))
+    if known.merges.ranks != ranks:
+        forget()
+    return worker_memory("bpe", lambda: PieceTokens(Merges(ranks)))
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molspark.llm.common import slices
+from molspark.llm.common import slices, worker_memory
 from molspark.session import materialize
 
 #: Labelled rows per language that the model is fitted on, as expected number of a hash sample.
@@ -262,9 +262,6 @@ class _Scorer:
         return sums, np.bincount(owner, at > 0, len(texts))
 
 
-_WORKER: list[tuple[int, _Scorer]] = []
-
-
 def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Append ``lang_pred`` and ``score``, the winner's share of the probability of the whole
     text under even priors; of equal languages the first by name wins.
@@ -280,9 +277,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lang_pred: str =
     stamp = hash((model.probabilities.tobytes(), tuple(model.languages)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _WORKER or _WORKER[0][0] != stamp:
-            _WORKER[:] = [(stamp, _Scorer(shared.value))]
-        scorer = _WORKER[0][1]
+        scorer = worker_memory(("langid", stamp), lambda: _Scorer(shared.value))
         names = np.array([*shared.value.languages, UNDETERMINED], object)
         for batch in slices(batches):
             sums, letters = scorer.totals([t or "" for t in batch.column(at).to_pylist()])

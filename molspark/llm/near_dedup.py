@@ -36,9 +36,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molspark.llm.common import slices
+from molspark.llm.common import forget, slices
 from molspark.llm.components import components
-from molspark.llm.fingerprint import WORKER_HASHES, shingle_hashes
+from molspark.llm.fingerprint import shingle_hashes
 from molspark.session import materialize, scratch_path, shuffles_dropped
 
 #: A link: 100 * intersection >= percent * union, with this percent unless another is asked for.
@@ -130,7 +130,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 ],
                 ["doc_id", "digest", "n_shingles", "key", "sketch"],
             )
-        WORKER_HASHES.clear()  # the steps that follow in this worker read no texts
+        forget()  # the steps that follow in this worker read no texts
 
     return rows.mapInArrow(run, schema)
 
@@ -283,7 +283,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.binary())], ["node", "shingles"]
             )
-        WORKER_HASHES.clear()
+        forget()
 
     return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
