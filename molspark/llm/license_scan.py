@@ -69,11 +69,11 @@ SLACK, SLACK_SHARE = 4, 4
 COVERAGE = 0.8
 
 #: Every byte that is no word byte becomes a blank, A-Z become a-z.
-_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
 def license_words(text: bytes) -> list[bytes]:
-    return text.translate(_WORD_BYTES).split()
+    return text.translate(WORD_BYTES).split()
 
 
 class Templates:

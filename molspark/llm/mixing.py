@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molspark.llm.common import slices, words_of
+from molspark.llm import license_scan
+from molspark.llm.common import forget, slices, words_of
 from molspark.llm.license_scan import license_words
 from molspark.session import materialize
 
@@ -46,8 +47,14 @@ PULL, ENOUGH, STEPS = 1e-2, 1e-5, 400
 #: Tokens of the mix beyond what gives every wanted domain a mean rate of one.
 MARGIN = 1.02
 
-#: Words that a task remembers the features of; its memory ends with it.
+#: Words that a task of the fit remembers the features of; its memory ends with it.
 REMEMBERED = 1 << 16
+#: Bytes of texts whose distinct words are looked up together; larger sets leave the processor's caches.
+READ_BYTES = 128 << 10
+#: Odd factor that turns a word's hash into that of a part.
+_TURN = 0x9E3779B97F4A7C15
+#: The bytes of ``license_words``, with line breaks left as they are.
+_PART_BYTES = bytes(b if b == 10 else license_scan.WORD_BYTES[b] for b in range(256))
 
 
 class _Remembered(dict):
@@ -69,7 +76,7 @@ def _marks(word: bytes) -> tuple[int, ...]:
     """Buckets of a word, as it stands and of its parts without punctuation. A word is hashed once for
     both; the second kind is the first turned by a fixed rule."""
     whole = xxhash.xxh3_64_intdigest(word)
-    parts = ((xxhash.xxh3_64_intdigest(part) * 0x9E3779B97F4A7C15 >> 20) % BUCKETS for part in license_words(word))
+    parts = ((xxhash.xxh3_64_intdigest(part) * _TURN >> 20) % BUCKETS for part in license_words(word))
     return (whole % BUCKETS, *parts)
 
 
@@ -97,27 +104,47 @@ class Classifier:
     slot: np.ndarray  # row in ``weights`` by bucket, -1 for features that take no part
     weights: np.ndarray  # by row and domain
 
-    def reader(self) -> Callable[[bytes], tuple[int, np.ndarray]]:
-        """A function from texts to their numbers of words and posteriors, which remembers the rows of
-        words; most words have none."""
-        chosen = {bucket: row for bucket, row in enumerate(self.slot.tolist()) if row >= 0}
-        rows_of = _Remembered(lambda word: tuple(chosen[mark] for mark in _marks(word) if mark in chosen))
-
-        def read(text: bytes) -> tuple[int, np.ndarray]:
-            raw = words_of(text)
-            distinct, rows = set(raw), set()
-            for word in distinct:
-                if found := rows_of[word]:
-                    rows.update(found)
-            rows.update(chosen[mark] for name in _measures(raw, distinct) if (mark := _marks(name)[0]) in chosen)
+    def read(self, texts: list[bytes]) -> list[tuple[int, np.ndarray]]:
+        """Numbers of words and posteriors of texts. Each distinct word of them all is hashed once, and
+        only words with rows, which are few, are looked up text by text; nothing is remembered."""
+        raws = [words_of(text) for text in texts]
+        sets = [set(raw) for raw in raws]
+        rows_of = _chosen_rows(set().union(*sets), self.slot)
+        known, out = set(rows_of), []
+        for raw, distinct in zip(raws, sets, strict=True):
+            rows: set[int] = set()
+            for word in distinct & known:
+                rows.update(rows_of[word])
+            rows.update(row for name in _measures(raw, distinct) if (row := int(self.slot[_marks(name)[0]])) >= 0)
             logs = self.bias + self.weights[sorted(rows)].sum(0)
             shares = np.exp(logs - logs.max())
-            return len(raw), np.rint(PARTS * shares / shares.sum()) / PARTS
-
-        return read
+            out.append((len(raw), np.rint(PARTS * shares / shares.sum()) / PARTS))
+        return out
 
     def posterior(self, text: bytes) -> np.ndarray:
-        return self.reader()(text)[1]
+        return self.read([text])[0][1]
+
+
+def _chosen_rows(distinct: set[bytes], slot: np.ndarray) -> dict[bytes, list[int]]:
+    """The rows of the words that have any, by the rules of ``_marks``. The parts of all words are taken
+    in one step, since no word holds a line break; a word that is its own only part is hashed once."""
+    words = list(distinct)
+    whole = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    split = b"\n".join(words).translate(_PART_BYTES).split(b"\n")
+    odd = [at for at, (word, parts) in enumerate(zip(words, split, strict=False)) if word != parts]
+    own = np.ones(len(words), bool)
+    own[odd] = False
+    lists = [split[at].split() for at in odd]
+    flat = [part for parts in lists for part in parts]
+    part = np.fromiter(map(xxhash.xxh3_64_intdigest, flat), np.uint64, len(flat))
+    owner = np.repeat(np.array(odd, np.int64), [len(parts) for parts in lists])
+    owners = np.concatenate([np.arange(len(words)), np.flatnonzero(own), owner])
+    turned = np.concatenate([whole[own], part]) * np.uint64(_TURN) >> np.uint64(20)
+    rows = slot[(np.concatenate([whole, turned]) % np.uint64(BUCKETS)).astype(np.int64)]
+    found: dict[bytes, list[int]] = {}
+    for at in np.flatnonzero(rows >= 0).tolist():
+        found.setdefault(words[owners[at]], []).append(int(rows[at]))
+    return found
 
 
 def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Classifier:
@@ -248,9 +275,9 @@ def with_posteriors(docs: DataFrame, classifier: Classifier, text: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = shared.value.reader()
-        for batch in slices(batches):
-            found = [read((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
+        forget()
+        for batch in slices(batches, READ_BYTES):
+            found = shared.value.read([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()])
             counts, lists = zip(*found, strict=True)
             arrays = [pa.array(counts, pa.int64()), pa.array([v.tolist() for v in lists], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*batch.schema.names, *new])

@@ -134,3 +134,25 @@ def test_repeated_has_the_copies(spark):
     assert out == {k: v for k, v in copies.items() if v}
     kept = mixing.repeated(docs, labels, targets).select("doc_id").distinct().count()
     assert kept == docs.count()
+
+
+def test_a_word_of_many_texts_is_hashed_once(monkeypatch):
+    """More distinct words than a task used to remember, in several texts: rows as ``features`` has them."""
+    r = np.random.default_rng(3)
+    slot = np.full(mixing.BUCKETS, -1, np.int64)
+    slot[r.choice(mixing.BUCKETS, mixing.CHOSEN, replace=False)] = np.arange(mixing.CHOSEN)
+    model = mixing.Classifier(["a", "b", "c"], np.zeros(3), slot, r.normal(0, 0.1, (mixing.CHOSEN, 3)))
+    words = [b"w%d" % i if i % 3 else b"w%d-x.%d" % (i, i) for i in range(70_000)]
+    texts = [b" ".join(words), b" ".join(words[::-1]), b"", b"A\x1cB \t\n -- \xc3\xa9\x00", b" ".join(words[::2])]
+    expected = []
+    for text in texts:
+        rows = slot[mixing.features(text)]
+        logs = model.weights[np.sort(rows[rows >= 0])].sum(0)
+        shares = np.exp(logs - logs.max())
+        expected.append((len(text.split()), np.rint(mixing.PARTS * shares / shares.sum()) / mixing.PARTS))
+    digest, hashed = mixing.xxhash.xxh3_64_intdigest, []
+    monkeypatch.setattr(mixing.xxhash, "xxh3_64_intdigest", lambda word: hashed.append(word) or digest(word))
+    got = model.read(texts)
+    assert [n for n, _ in got] == [n for n, _ in expected]
+    assert all((p == q).all() for (_, p), (_, q) in zip(got, expected, strict=True))
+    assert len(hashed) < 2.5 * len(words)
