@@ -462,7 +462,8 @@ def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataF
         told = above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")).join(known, ["a", "b"])
         share = told.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
         share = materialize(share, "near-dense")
-        rows = _sized(_branches(above.select("path", "node").join(share, "path"), classes, search))
+        # written, so that sizes and rows come from one branching
+        rows = _sized(materialize(_branches(above.select("path", "node").join(share, "path"), classes, search), "near-branches"))
     small = levels.read().where("small").select("path", "node")
     large = small.limit(0) if large is None else large
     star = functools.reduce(DataFrame.unionByName, star, classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("share")).limit(0))

@@ -152,3 +152,24 @@ def test_rows_that_repeat_an_id_are_kept_by_their_texts(spark):
     rows = [(1, " ".join(words), 0), (2, " ".join(near), 0), (2, other, 0), (2, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __near_ids int")
     assert {(x.doc_id, x.text) for x in near_dedup.keep_one(docs).collect()} == {(1, " ".join(words)), (2, other), (2, None)}
+
+
+def test_sizes_and_rows_come_from_one_branching(spark, monkeypatch):
+    """Children of large nodes are read twice, for sizes and for rows, but branched once."""
+    sized, generates = near_dedup._sized, []
+
+    def spy(rows):
+        generates.append("Generate" in rows._jdf.queryExecution().toString())
+        return sized(rows)
+
+    monkeypatch.setattr(near_dedup, "_sized", spy)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        copy[r.randrange(150)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found(got) == brute(rows)
+    assert len(generates) > 1 and not any(generates[1:])
