@@ -11,10 +11,12 @@ Nodes of few classes are compared exhaustively on their sketches; larger ones br
 
 Classes of a large node are also linked to its pivot where they resemble it. The pivot is the
 member that comes first in one hashed order of all classes, so the nodes of a group of copies share
-few pivots in all trees. A node most of whose classes resemble it holds near copies that no token
-parts; it branches by one coordinate only, which sheds the others without multiplying the copies. Of
-nodes still large at the last level only the pairs that all these links leave in different
-components are compared, so a group of thousands of copies costs a few pairs for each.
+few pivots in all trees. A node most of whose classes resemble it is dense: it holds near copies that
+no token parts. Dense nodes of a bounded size end there, and those of one pivot, which hold about the
+same copies in all trees, become one node. Larger dense nodes branch by one coordinate only, which sheds
+the others without multiplying the copies. Of the nodes that ended so and of those still large at the
+last level only the pairs that all these links leave in different components are compared, so a group
+of thousands of copies costs a few pairs for each.
 
 Only links between components matter. Of the candidates of all nodes and trees each class first
 confirms the one with the earliest class of the hashed order, which makes a forest; then one
@@ -50,13 +52,13 @@ TOKENS = 64
 MEET, MISSED = 1.2155, 1e-5
 #: Classes of a node that is compared exhaustively, at most, and levels of branching.
 LEAF, DEPTH = 24, 4
-#: Share of a large node's classes that resemble its pivot, from which it branches but once.
+#: Share of a large node's classes that resemble its pivot, from which it is dense.
 DENSE = 0.5
 #: Standard deviations of the share of equal tokens below the threshold, from which a pair is
 #: confirmed.
 DEVIATIONS = 5
 #: Further rounds of pivots for large nodes, at most, while their open pairs are more than OPEN
-#: for each class; what is open then is compared exhaustively.
+#: for each class; what is open then is compared exhaustively. Dense nodes of more classes branch on.
 PIVOT_ROUNDS, OPEN = 4, 3000
 #: Classes of a block of exhaustive comparison.
 BLOCK = 256
@@ -149,14 +151,14 @@ def _roots(classes: DataFrame, search: Search) -> DataFrame:
     return classes.select("node", F.explode(F.array(*paths)).alias("path"))
 
 
-def _branches(rows: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
-    """(path, node): the children of large nodes (path, node, dense)."""
+def _branches(rows: DataFrame, search: Search) -> DataFrame:
+    """(path, node, sketch): the children of large nodes (path, node, sketch, dense)."""
     first = F.pmod(F.xxhash64("path", F.lit("first")), F.lit(TOKENS)).cast("int")
     second = F.pmod(F.xxhash64("path", F.lit("second")), F.lit(TOKENS)).cast("int")
     twice = (F.pmod(F.xxhash64("path", F.lit("twice")), F.lit(1000)) < search.second) & ~F.col("dense")
     paths = F.when(twice & (first != second), F.array(_child(F.col("path"), first), _child(F.col("path"), second)))
     paths = paths.otherwise(F.array(_child(F.col("path"), first)))
-    return rows.join(classes.select("node", "sketch"), "node").select("node", F.explode(paths).alias("path"))
+    return rows.select("node", "sketch", F.explode(paths).alias("path"))
 
 
 def _early(node: Column) -> Column:
@@ -165,7 +167,7 @@ def _early(node: Column) -> Column:
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """(path, node, size, pivot) for nodes of two classes and more. Sizes and pivots, the earliest
+    """The rows with size and pivot, for nodes of two classes and more. Sizes and pivots, the earliest
     members, are summed per task and written first, so that a large path can be split in the join."""
     sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(_early(F.col("node"))).alias("first")).where("size > 1")
     sizes = materialize(sizes.select("path", "size", F.col("first.node").alias("pivot")), "near-sizes")
@@ -173,13 +175,16 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 class _Levels:
-    """The rows of all levels in one written table, by depth and by whether their node is small."""
+    """The rows of all levels in one written table, by depth and by whether their node is small. Rows of
+    large nodes below the first level carry their sketches, so that only the first is joined to them."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.path, self.schema = spark, scratch_path(spark, "near-levels"), None
 
     def add(self, depth: int, rows: DataFrame) -> None:
-        rows = rows.select("path", "node", "size", "pivot", F.lit(depth).alias("depth"), (F.col("size") <= LEAF).alias("small"))
+        small = F.col("size") <= LEAF
+        sketch = F.when(~small, F.col("sketch")) if "sketch" in rows.columns else F.lit(None).cast("array<int>")
+        rows = rows.select("path", "node", "size", "pivot", sketch.alias("sketch"), F.lit(depth).alias("depth"), small.alias("small"))
         with shuffles_dropped(self.spark):
             rows.write.mode("append").partitionBy("depth", "small").parquet(self.path)
         self.schema = rows.schema
@@ -187,6 +192,16 @@ class _Levels:
     def read(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
+    def large(self, depth: int) -> DataFrame:
+        return self.read().where((F.col("depth") == depth) & ~F.col("small")).select("path", "node", "size", "pivot", "sketch")
+
+
+def _told(above: DataFrame) -> DataFrame:
+    """The rows of large nodes with ``share``, that of tokens equal to their pivot's. The pivot is a row of
+    its node, so its sketch is there."""
+    first = above.where("node = pivot").select("path", F.col("sketch").alias("first"))
+    return above.join(first, "path").withColumn("share", _agreement(F.col("sketch"), F.col("first"))).drop("first")
+
 
 def _agreement(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x) / TOKENS
@@ -445,27 +460,31 @@ def _resolved(links: _Links, pairs: DataFrame, rooted: DataFrame, turn: str) ->
 def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     """The classes with ``root``, equal for classes that confirmed links connect."""
     spark = docs.sparkSession
-    levels, large, star = _Levels(spark), None, []
+    levels, large, star = _Levels(spark), [], []
     rows = _sized(_roots(classes, search))
     for depth in range(DEPTH + 1):
         levels.add(depth, rows)
-        above = levels.read().where((F.col("depth") == depth) & ~F.col("small"))
+        above = levels.large(depth)
         if above.isEmpty():
             break
-        # a group of copies has few pivots, so its pairs with them are few before they are compared
-        pivots = above.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        known = materialize(_sketched(pivots, classes, search), "near-pivots")
-        star.append(known.where("alike").select("a", "b", "share"))
+        if depth == 0:
+            above = materialize(above.drop("sketch").join(classes.select("node", "sketch"), "node"), "near-above")
+        told = materialize(_told(above), "near-told")
+        alike = F.col("share") >= search.candidate
+        star.append(told.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "share"))
+        dense = told.groupBy("path").agg((F.avg(alike.cast("int")) >= DENSE).alias("dense"), F.first("size").alias("n"))
+        dense = materialize(dense.select("path", "dense", (F.col("dense") & (F.col("n") <= OPEN)).alias("ended")), "near-dense")
+        told = told.join(dense, "path")
+        # nodes of one pivot hold about the same copies
+        large.append(told.where("ended").select(F.xxhash64("pivot", F.lit("ended")).alias("path"), "node"))
+        told = told.where("not ended")
         if depth == DEPTH:
-            large = above.select("path", "node")
+            large.append(told.select("path", "node"))
             break
-        told = above.select("path", F.col("pivot").alias("a"), F.col("node").alias("b")).join(known, ["a", "b"])
-        share = told.groupBy("path").agg((F.avg(F.col("alike").cast("int")) >= DENSE).alias("dense"))
-        share = materialize(share, "near-dense")
         # written, so that sizes and rows come from one branching
-        rows = _sized(materialize(_branches(above.select("path", "node").join(share, "path"), classes, search), "near-branches"))
+        rows = _sized(materialize(_branches(told, search), "near-branches"))
     small = levels.read().where("small").select("path", "node")
-    large = small.limit(0) if large is None else large
+    large = materialize(functools.reduce(DataFrame.unionByName, large, small.limit(0)).distinct(), "near-large")
     star = functools.reduce(DataFrame.unionByName, star, classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("share")).limit(0))
 
     pairs = materialize(_compare(small, classes, forest=True, search=search).unionByName(_ordered(star)).distinct(), "near-pairs")
@@ -479,8 +498,10 @@ def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataF
     rooted = _descended(classes, new)
     rooted = _resolved(links, pairs, rooted, "pairs")
 
-    for turn in range(PIVOT_ROUNDS):
+    for turn in range(PIVOT_ROUNDS + 1):
         open_rows = materialize(_open_pairs(large, rooted), "near-open")
+        if turn == PIVOT_ROUNDS:
+            break
         outside = open_rows.where("root != main")
         # what exhaustive comparison would cost: rows outside the main component times all rows
         cost = open_rows.groupBy("path").agg((F.sum(F.when(F.col("root") != F.col("main"), 1).otherwise(0)) * F.count("*")).alias("cost"))
@@ -494,7 +515,7 @@ def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataF
         if new.isEmpty():
             break
         rooted = _merged(rooted, new)
-    rooted = _merged(rooted, links.add(_link_blocks(_open_pairs(large, rooted), rooted, sets, search), "blocks"))
+    rooted = _merged(rooted, links.add(_link_blocks(open_rows, rooted, sets, search), "blocks"))
     rooted = _resolved(links, materialize(_compare(small, rooted, forest=False, search=search), "near-pairs"), rooted, "small")
     return _joined(rooted, links.read(links.links))
 

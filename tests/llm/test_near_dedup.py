@@ -173,3 +173,30 @@ def test_sizes_and_rows_come_from_one_branching(spark, monkeypatch):
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert found(got) == brute(rows)
     assert len(generates) > 1 and not any(generates[1:])
+
+
+def test_near_copies_are_not_branched_level_by_level(spark, monkeypatch):
+    """Copies of one text that resemble each other, most of them below the threshold: they stand in one
+    node of their pivot and not in the children of all trees."""
+    written = near_dedup.materialize
+    counted = {"near-branches": 0, "near-large": 0}
+
+    def spy(df, label):
+        out = written(df, label)
+        if label in counted:
+            counted[label] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", spy)
+    r = random.Random(11)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice((1, 3, 3))):
+            copy[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found(got) == brute(rows)
+    assert counted["near-branches"] < 2 * len(rows)
+    assert 0 < counted["near-large"] < 4 * len(rows)
