@@ -197,10 +197,10 @@ class _Levels:
 
 
 def _told(above: DataFrame) -> DataFrame:
-    """The rows of large nodes with ``share``, that of tokens equal to their pivot's. The pivot is a row of
-    its node, so its sketch is there."""
+    """The rows of large nodes with ``share``, that of tokens equal to their pivot's, in place of the sketch.
+    The pivot is a row of its node, so its sketch is there."""
     first = above.where("node = pivot").select("path", F.col("sketch").alias("first"))
-    return above.join(first, "path").withColumn("share", _agreement(F.col("sketch"), F.col("first"))).drop("first")
+    return above.join(first, "path").withColumn("share", _agreement(F.col("sketch"), F.col("first"))).drop("first", "sketch")
 
 
 def _agreement(a: Column, b: Column) -> Column:
@@ -225,11 +225,12 @@ def _alike(pairs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
     return _sketched(_ordered(pairs), classes, search).where("alike").select("a", "b")
 
 
-def _compare(leaves: DataFrame, classes: DataFrame, forest: bool, search: Search) -> DataFrame:
-    """Similar pairs (a, b, share) within each small node. With ``forest`` only a spanning forest, the
-    most similar pairs first; otherwise all pairs between different ``root``s."""
-    known = classes.select("node", "sketch", F.col("node").alias("root") if forest else "root")
-    members = leaves.select("path", "node").join(known, "node")
+def _compare(leaves: DataFrame, classes: DataFrame, rooted: DataFrame | None, search: Search) -> DataFrame:
+    """Similar pairs (a, b, share) within each small node. Without ``rooted`` only a spanning forest, the
+    most similar pairs first; otherwise all pairs between different roots."""
+    forest = rooted is None
+    members = leaves.select("path", "node").join(classes.select("node", "sketch"), "node")
+    members = members.withColumn("root", F.col("node")) if forest else members.join(rooted, "node")
     groups = members.groupBy("path").agg(F.collect_list(F.struct("node", "root", "sketch")).alias("members"))
     if not forest:
         groups = groups.where(F.size(F.array_distinct(F.transform("members", lambda m: m["root"]))) > 1)
@@ -322,8 +323,9 @@ def _confirm(pairs: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
 
 
 def _descended(classes: DataFrame, forest: DataFrame) -> DataFrame:
-    """The classes with the root of their tree, themselves without a link. Of a link of ``forest`` the
-    later class is the child, and no class is the child of two; each pass halves every way up."""
+    """(node, root): the classes with the root of their tree, themselves without a link. Of a link of
+    ``forest`` the later class is the child, and no class is the child of two; each pass halves every way
+    up. Roots are written again after every round of links, so sketches stay with the classes."""
     a, b = _early(F.col("a")), _early(F.col("b"))
     ups = materialize(forest.select(F.greatest(a, b)["node"].alias("node"), F.least(a, b)["node"].alias("root")), "near-ups")
     moved = not ups.isEmpty()
@@ -331,7 +333,7 @@ def _descended(classes: DataFrame, forest: DataFrame) -> DataFrame:
         above = ups.select(F.col("node").alias("root"), F.col("root").alias("above"))
         ups = materialize(ups.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "near-ups")
         moved, ups = not ups.where("moved").isEmpty(), ups.drop("moved")
-    return materialize(classes.join(ups, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
+    return materialize(classes.select("node").join(ups, "node", "left").withColumn("root", F.coalesce("root", "node")), "near-rooted")
 
 
 def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
@@ -345,34 +347,47 @@ def _joined(rooted: DataFrame, links: DataFrame) -> DataFrame:
     return rooted.join(found, "root", "left").withColumn("root", F.coalesce("one", "root")).drop("one")
 
 
-def _open_pairs(large: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_pairs(large: DataFrame, rooted: DataFrame) -> DataFrame:
     """(path, node, root, main) of the rows of large nodes that hold several components; ``main``
     is the component with most of them."""
-    rows = large.select("path", "node").join(classes.select("node", "root"), "node")
+    rows = large.select("path", "node").join(rooted, "node")
     counts = rows.groupBy("path", "root").count()
     main = counts.groupBy("path").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1")
     return rows.join(materialize(main.select("path", F.col("m.root").alias("main")), "near-main"), "path")
 
 
+def _dealt(open_rows: DataFrame) -> DataFrame:
+    """(path, i, j, node, root, asks): the blocks in which the rows outside the main component of a large
+    node meet each other and the rows of that component, any two in one block. Rows are dealt to parts of
+    about ``BLOCK`` classes, those outside first. Block (i, j), i <= j, holds the asking rows of part i and
+    those of part j; a block of one part holds it once."""
+    outside = F.sum((F.col("root") != F.col("main")).cast("int"))
+    parts = open_rows.groupBy("path").agg(F.ceil(outside / BLOCK).cast("int").alias("asking"), F.ceil((F.count("*") - outside) / BLOCK).cast("int").alias("rest"))
+
+    def within(side: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(side)).cast("int")
+
+    part = F.when(F.col("root") != F.col("main"), within("asking")).otherwise(F.col("asking") + within("rest"))
+    rows = open_rows.join(parts, "path").withColumn("part", part)
+    asking = rows.where("part < asking").withColumn("j", F.explode(F.sequence("part", F.col("asking") + F.col("rest") - 1)))
+    asked = rows.where("part > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.least("part", "asking") - 1)))
+    asking = asking.select("path", F.col("part").alias("i"), "j", "node", "root", F.lit(True).alias("asks"))
+    return asking.unionByName(asked.select("path", "i", F.col("part").alias("j"), "node", "root", F.lit(False).alias("asks")))
+
+
 def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, search: Search) -> DataFrame:
     """Links (a, b) of different roots between the rows outside the main component of a large node
     and all its rows, in blocks of about ``BLOCK`` by ``BLOCK`` classes. Pairs whose sketches agree
     are confirmed on the full sets in the block, and of the links of a block a spanning forest
     leaves it, so no group's pairs are written out."""
-    chunks = open_rows.groupBy("path").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    rows = open_rows.join(chunks, "path").join(classes.select("node", "sketch"), "node").join(sets, "node")
-    own, every = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), F.sequence(F.lit(0), F.col("chunks") - 1)
-    member = F.struct("node", "root", "sketch", "shingles").alias("member")
-    asking = rows.where("root != main").select("path", own.alias("i"), F.explode(every).alias("j"), member, F.lit(True).alias("asks"))
-    asked = rows.select("path", F.explode(every).alias("i"), own.alias("j"), member, F.lit(False).alias("asks"))
-    blocks = asking.unionByName(asked).groupBy("path", "i", "j").agg(
-        F.collect_list(F.when(F.col("asks"), F.col("member"))).alias("x"), F.collect_list(F.when(~F.col("asks"), F.col("member"))).alias("y")
-    )
+    rows = _dealt(open_rows).join(classes.select("node", "sketch"), "node").join(sets, "node")
+    member = F.struct("node", "root", "sketch", "shingles")
+    blocks = rows.groupBy("path", "i", "j").agg(F.collect_list(F.when(F.col("asks"), member)).alias("x"), F.collect_list(F.when(~F.col("asks"), member)).alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                sides = [batch.column(k).slice(row, 1).flatten() for k in (0, 1)]
+            for row, alone in enumerate(batch.column(2).to_pylist()):
+                sides = [batch.column(0 if alone else k).slice(row, 1).flatten() for k in (0, 1)]
                 nodes, roots = ([side.field(k).to_numpy() for side in sides] for k in (0, 1))
                 tokens = [side.field(2).flatten().to_numpy().reshape(-1, TOKENS) for side in sides]
                 full = [[np.frombuffer(s, np.uint64) for s in side.field(3).to_pylist()] for side in sides]
@@ -380,6 +395,7 @@ def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, sear
                 for k in range(TOKENS):
                     agree += tokens[0][:, k, None] == tokens[1][None, :, k]
                 close = (agree >= search.candidate * TOKENS) & (roots[0][:, None] != roots[1][None, :])
+                close = np.triu(close, 1) if alone else close
                 found = [(i, j) for i in range(len(nodes[0])) for j in _linked(full[0][i], full[1], np.flatnonzero(close[i]), search.percent)]
                 if found:
                     x, y = np.array(found).T
@@ -388,7 +404,8 @@ def _link_blocks(open_rows: DataFrame, classes: DataFrame, sets: DataFrame, sear
                     a, b = names[x], names[y]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return blocks.where(F.size("x") > 0).select("x", "y").mapInArrow(run, "a long, b long").distinct()
+    met = blocks.where((F.size("x") > 0) & ((F.col("i") == F.col("j")) | (F.size("y") > 0)))
+    return met.select("x", "y", (F.col("i") == F.col("j")).alias("alone")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _linked(one: np.ndarray, others: list[np.ndarray], asked: np.ndarray, percent: int) -> list[int]:
@@ -458,7 +475,7 @@ def _resolved(links: _Links, pairs: DataFrame, rooted: DataFrame, turn: str) ->
 
 
 def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataFrame:
-    """The classes with ``root``, equal for classes that confirmed links connect."""
+    """(key, doc_id, root) of the classes, with a root that is equal for classes that confirmed links connect."""
     spark = docs.sparkSession
     levels, large, star = _Levels(spark), [], []
     rows = _sized(_roots(classes, search))
@@ -474,20 +491,20 @@ def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataF
         star.append(told.where(alike).select(F.col("pivot").alias("a"), F.col("node").alias("b"), "share"))
         dense = told.groupBy("path").agg((F.avg(alike.cast("int")) >= DENSE).alias("dense"), F.first("size").alias("n"))
         dense = materialize(dense.select("path", "dense", (F.col("dense") & (F.col("n") <= OPEN)).alias("ended")), "near-dense")
-        told = told.join(dense, "path")
         # nodes of one pivot hold about the same copies
-        large.append(told.where("ended").select(F.xxhash64("pivot", F.lit("ended")).alias("path"), "node"))
-        told = told.where("not ended")
+        ended = told.join(dense.where("ended"), "path")
+        large.append(ended.select(F.xxhash64("pivot", F.lit("ended")).alias("path"), "node"))
+        left = above.join(dense.where("not ended"), "path")
         if depth == DEPTH:
-            large.append(told.select("path", "node"))
+            large.append(left.select("path", "node"))
             break
         # written, so that sizes and rows come from one branching
-        rows = _sized(materialize(_branches(told, search), "near-branches"))
+        rows = _sized(materialize(_branches(left, search), "near-branches"))
     small = levels.read().where("small").select("path", "node")
     large = materialize(functools.reduce(DataFrame.unionByName, large, small.limit(0)).distinct(), "near-large")
     star = functools.reduce(DataFrame.unionByName, star, classes.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("share")).limit(0))
 
-    pairs = materialize(_compare(small, classes, forest=True, search=search).unionByName(_ordered(star)).distinct(), "near-pairs")
+    pairs = materialize(_compare(small, classes, None, search).unionByName(_ordered(star)).distinct(), "near-pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(large.select("node"))
     sets = materialize(_full_sets(docs, needed, classes), "near-sets")
     links = _Links(spark, sets, search)
@@ -510,14 +527,14 @@ def rooted_classes(docs: DataFrame, classes: DataFrame, search: Search) -> DataF
             break
         chosen = F.min(F.struct(F.xxhash64("path", "node", F.lit(turn)).alias("h"), F.col("node").alias("b")))
         pivots = materialize(open_rows.where("root = main").groupBy("path").agg(chosen.alias("c")).select("path", F.col("c.b").alias("b")), "near-pivots")
-        asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), rooted, search)
+        asked = _alike(outside.select("path", F.col("node").alias("a")).join(pivots, "path").select("a", "b"), classes, search)
         new = links.confirm(links.untried(asked), f"pivots-{turn}")
         if new.isEmpty():
             break
         rooted = _merged(rooted, new)
-    rooted = _merged(rooted, links.add(_link_blocks(open_rows, rooted, sets, search), "blocks"))
-    rooted = _resolved(links, materialize(_compare(small, rooted, forest=False, search=search), "near-pairs"), rooted, "small")
-    return _joined(rooted, links.read(links.links))
+    rooted = _merged(rooted, links.add(_link_blocks(open_rows, classes, sets, search), "blocks"))
+    rooted = _resolved(links, materialize(_compare(small, classes, rooted, search), "near-pairs"), rooted, "small")
+    return classes.select("node", "key", "doc_id").join(_joined(rooted, links.read(links.links)), "node").drop("node")
 
 
 def _judged(docs: DataFrame, percent: int) -> DataFrame:
@@ -525,7 +542,7 @@ def _judged(docs: DataFrame, percent: int) -> DataFrame:
     rows = materialize(sketches(docs), "near-sketches")
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    rooted = materialize(rooted_classes(docs, classes, search).select("key", "doc_id", "root"), "near-rooted")
+    rooted = materialize(rooted_classes(docs, classes, search), "near-rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_key = rooted.select("key", "root").join(least, "root").select("key", "component_id")
     joined = rows.drop("sketch").join(by_key, "key", "left")

@@ -200,3 +200,49 @@ def test_near_copies_are_not_branched_level_by_level(spark, monkeypatch):
     assert found(got) == brute(rows)
     assert counted["near-branches"] < 2 * len(rows)
     assert 0 < counted["near-large"] < 4 * len(rows)
+
+
+def test_sketches_are_written_with_classes_and_branches_only(spark, monkeypatch):
+    """Roots and shares are written again and again; what they hold of a class is a few numbers."""
+    written, columns = near_dedup.materialize, {}
+
+    def spy(df, label):
+        columns.setdefault(label, set()).update(df.columns)
+        return written(df, label)
+
+    monkeypatch.setattr(near_dedup, "materialize", spy)
+    rows = corpus(3)
+    assert found(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+    assert {"near-rooted", "near-told"} <= set(columns)
+    assert {label for label, names in columns.items() if "sketch" in names} <= {"near-sketches", "near-classes", "near-above", "near-branches"}
+
+
+def test_two_rows_of_a_large_node_meet_in_one_block(spark, monkeypatch):
+    """Block by block, all rows with those outside the main component, and no two of them twice."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    made = [(1, n, n if n < 30 else 99, 99) for n in range(41)] + [(2, n, 7 if n else 3, 7) for n in range(9)]
+    open_rows = spark.createDataFrame(made, "path long, node long, root long, main long")
+    sides = {}
+    for r in near_dedup._dealt(open_rows).collect():
+        sides.setdefault((r.path, r.i, r.j), ([], []))[0 if r.asks else 1].append(r.node)
+    met = []
+    for (path, i, j), (x, y) in sides.items():
+        assert not (i == j and y)
+        met += [(path, *sorted((a, b))) for k, a in enumerate(x) for b in (x[k + 1 :] if i == j else y)]
+    main = {(path, node): root == main for path, node, root, main in made}
+    truth = {(p, a, b) for p, a in main for q, b in main if p == q and a < b and not (main[p, a] and main[p, b])}
+    assert len(met) == len(set(met)) and set(met) == truth
+
+
+def test_blocks_of_a_large_node_link_as_all_its_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    r = random.Random(13)
+    base = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(r.choice((1, 3, 4))):
+            copy[r.randrange(200)] = f"e{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found(got) == brute(rows)
