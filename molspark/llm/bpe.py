@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import ahocorasick
@@ -35,6 +35,11 @@ from molspark.llm.common import forget, slices, worker_memory
 #: its newer half: frequent pieces come early.
 REMEMBERED_PIECES = 200_000
 REMEMBERED_PAIRS = 200_000
+TABLED_PAIRS = 600_000
+#: Characters of a piece that is remembered, at most, and pieces that are worked out together.
+SHORT, TOGETHER = 64, 1 << 14
+#: Rows of a task, about, where rows are dealt to tasks.
+TASK_ROWS = 10_000
 #: Characters before a change whose pieces may split differently: the longest look-ahead of
 #: the pattern's alternatives.
 LOOK_AHEAD = 4
@@ -233,6 +238,133 @@ class Prefixes:
         return out[::-1]
 
 
+class _Table:
+    """Numbers of 31 bits by key, a whole array of them at a time; -1 is none. Open addressing."""
+
+    def __init__(self, bits: int):
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        self.shift, self.held = np.uint64(64 - bits), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        found, at = np.full(len(keys), -1, np.int32), self._slots(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            there = np.take(self.keys, at)
+            hit = there == keys[todo]
+            found[todo[hit]] = np.take(self.values, at[hit])
+            on = np.flatnonzero(~hit & (there != -1))
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return found
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """``keys`` are distinct and new."""
+        self.held += len(keys)
+        at = self._slots(keys)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            keys, values, at = keys[~done], values[~done], (at[~done] + 1) & (len(self.keys) - 1)
+
+
+class ManyPieces:
+    """Tokens of many pieces at once: their prefix arrays are filled side by side, from one length of
+    prefix to the next."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for token, rank in merges.ranks.items():
+            if merges.made(rank):
+                node = 0
+                for byte in token:
+                    key = node << 8 | byte
+                    node = edges.get(key, -1)
+                    if node < 0:
+                        node = edges[key] = len(ends)
+                        ends.append(-1)
+                ends[node] = rank
+        self.ends = np.array(ends, np.int32)
+        self.edges = _Table((2 * len(edges)).bit_length())
+        self.edges.put(np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges)))
+        self._no_pairs()
+
+    def _no_pairs(self) -> None:
+        self.pairs = _Table((3 * TABLED_PAIRS // 2).bit_length())
+
+    def _matches(self, data: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, number of bytes, token) of all tokens in ``data`` that end before the stop of
+        their first byte."""
+        at, node, size, found = np.arange(len(data)), np.zeros(len(data), np.int64), 0, []
+        while len(at):
+            node = self.edges.get(node << 8 | data[at + size])
+            on = np.flatnonzero(node >= 0)
+            at, node, size = at[on], node[on].astype(np.int64), size + 1
+            token = np.take(self.ends, node)
+            some = np.flatnonzero(token >= 0)
+            found.append((at[some], np.full(len(some), size), token[some].astype(np.int64)))
+            on = np.flatnonzero(at + size < stops[at])
+            at, node = at[on], node[on]
+        return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        apart = self.pairs.get(keys)
+        new = np.unique(keys[apart < 0])
+        if len(new):
+            merges = self.merges
+            stay = [merges._stay(merges._spine(k >> 32, 1, merges._right), merges._spine(k & 0xFFFFFFFF, 0, merges._left)) for k in new.tolist()]
+            values = np.array(stay, np.int32)
+            unknown = np.flatnonzero(apart < 0)
+            apart[unknown] = values[np.searchsorted(new, keys[unknown])]
+            if self.pairs.held + len(new) > TABLED_PAIRS:
+                self._no_pairs()
+            self.pairs.put(new[:TABLED_PAIRS], values[:TABLED_PAIRS])
+        return apart > 0
+
+    def tokens(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all pieces, their number by piece), of pieces of a byte at least."""
+        if not pieces:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lengths = np.array([len(p) for p in pieces])
+        stops = np.cumsum(lengths)
+        starts = stops - lengths
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        first, size, token = self._matches(data, np.repeat(stops, lengths))
+        from_start = first - np.repeat(starts, lengths)[first]
+        # last token, and its size, of the prefix that ends in each byte
+        last, sizes = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        ends = from_start + size
+        order = np.argsort(ends.astype(np.uint16), kind="stable")  # a few hundred bytes at most
+        borders = np.searchsorted(ends[order], np.arange(1, ends.max() + 2))
+        for low, high in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            here = order[low:high]
+            follows = np.flatnonzero(from_start[here] > 0)
+            valid = np.ones(len(here), bool)
+            valid[follows] = self._apart(last[first[here[follows]] - 1], token[here[follows]])
+            here = here[valid]
+            end = first[here] + size[here] - 1
+            last[end], sizes[end] = token[here], size[here]
+        at, piece, steps = stops - 1, np.arange(len(pieces)), []
+        counts = np.zeros(len(pieces), np.int64)
+        while len(piece):
+            steps.append((piece, last[at]))
+            counts[piece] += 1
+            at = at - sizes[at]
+            on = np.flatnonzero(at >= starts[piece])
+            at, piece = at[on], piece[on]
+        behind = np.cumsum(counts)
+        flat = np.zeros(counts.sum(), np.int64)
+        for step, (piece, tokens) in enumerate(steps):
+            flat[behind[piece] - 1 - step] = tokens
+        return flat, counts
+
+
 class PieceTokens(dict):
     """Tokens by piece, worked out when first asked for."""
 
@@ -246,7 +378,7 @@ class PieceTokens(dict):
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.merges.ranks.get(data)
         tokens = (whole,) if whole is not None else self._tokens(data)
-        if len(piece) <= 64:
+        if len(piece) <= SHORT:
             self[piece] = tokens
         return tokens
 
@@ -274,6 +406,60 @@ class PieceTokens(dict):
         return tuple(tokens[::-1])
 
 
+class PieceNumbers(dict):
+    """A number for each piece, and the tokens of all numbers in one array. Short pieces are numbered
+    from 0 on and remembered; longer ones have numbers below 0 until the next call."""
+
+    def __init__(self, merges: Merges):
+        super().__init__()
+        self.merges, self.one, self.many = merges, PieceTokens(merges), ManyPieces(merges)
+        self.flat, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.new: list[str] = []
+        self.long: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        if len(piece) <= SHORT:
+            number = len(self.counts) + len(self.new)
+            self.new.append(piece)
+        else:
+            self.long.append(piece)
+            number = -len(self.long)
+        self[piece] = number
+        return number
+
+    def encode(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of all texts, given by their pieces, and the borders of the texts)."""
+        if len(self) >= REMEMBERED_PIECES:
+            _forget(self)
+            self.counts = self.counts[: len(self)]
+            self.flat = self.flat[: self.counts.sum()]
+        sizes = np.array([len(pieces) for pieces in texts], np.int64)
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, sizes.sum())
+        for start in range(0, len(self.new), TOGETHER):
+            self._learn(self.new[start : start + TOGETHER])
+        longer = [self.one[piece] for piece in reversed(self.long)]
+        flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(longer), np.int32)])
+        counts = np.concatenate([self.counts, np.array([len(tokens) for tokens in longer], np.int64)])
+        for piece in self.long:
+            del self[piece]
+        self.new, self.long = [], []
+        begins, times = (np.cumsum(counts) - counts)[numbers], counts[numbers]
+        behind = np.concatenate([[0], np.cumsum(times)])
+        tokens = flat[np.repeat(begins - behind[:-1], times) + np.arange(behind[-1])]
+        return tokens, behind[np.concatenate([[0], np.cumsum(sizes)])]
+
+    def _learn(self, pieces: list[str]) -> None:
+        data = [piece.encode("utf-8", "surrogatepass") for piece in pieces]
+        whole = np.fromiter((self.merges.ranks.get(d, -1) for d in data), np.int64, len(data))
+        rest = np.flatnonzero(whole < 0)
+        counts = np.ones(len(data), np.int64)
+        tokens, counts[rest] = self.many.tokens([data[i] for i in rest])
+        at = np.repeat(whole < 0, counts)
+        flat = np.zeros(len(at), np.int32)
+        flat[at], flat[~at] = tokens, whole[whole >= 0]
+        self.flat, self.counts = np.concatenate([self.flat, flat]), np.concatenate([self.counts, counts])
+
+
 class EncodedText:
     """A text with its pieces' prefix arrays, for appends and edits without a new encoding."""
 
@@ -330,19 +516,12 @@ class EncodedText:
         return Prefixes(self.merges, piece.encode("utf-8", "surrogatepass"))
 
 
-def _remembered(ranks: dict[bytes, int]) -> PieceTokens:
+def _remembered(ranks: dict[bytes, int]) -> PieceNumbers:
     """The memory of this Python worker, which serves one task after another."""
-    known = worker_memory("bpe", lambda: PieceTokens(Merges(ranks)))
+    known = worker_memory("bpe", lambda: PieceNumbers(Merges(ranks)))
     if known.merges.ranks != ranks:
         forget()
-    return worker_memory("bpe", lambda: PieceTokens(Merges(ranks)))
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return worker_memory("bpe", lambda: PieceNumbers(Merges(ranks)))
 
 
 class _ByteTable:
@@ -385,11 +564,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = _remembered(vocabulary.value), Splitter(pattern)
         for batch in slices(batches):
-            ids = [
-                np.fromiter(chain.from_iterable(map(known.__getitem__, split(text))), np.int32) if text else np.zeros(0, np.int32)
-                for text in batch.column(at).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(ids, pa.int32())], [*batch.schema.names, out])
+            tokens, borders = known.encode([split(text) if text else [] for text in batch.column(at).to_pylist()])
+            ids = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(tokens, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 

@@ -6,7 +6,9 @@ import pytest
 import regex
 import tiktoken
 from helpers import no_docs, odd_docs
-from molspark.llm import bpe
+from molspark.llm import bpe, queries
+from molspark.sources.tables import spread_large
+from pyspark.sql import functions as F
 
 RANKS = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 PATTERN = public_tokenizers.PATTERN
@@ -79,3 +81,41 @@ def test_decode_of_null_and_unknown_ids(spark):
     assert {r["k"]: bytes(r["decoded"]) for r in bpe.decode(rows, RANKS).collect()} == {1: b"The cat", 2: b"", 3: b""}
     with pytest.raises(Exception, match="vocabulary"):
         bpe.decode(spark.createDataFrame([(1, [999_999])], "k int, ids array<int>"), RANKS).collect()
+
+
+def test_tokens_of_many_pieces_equal_the_public_library(monkeypatch):
+    r, split = random.Random(4), bpe.Splitter(PATTERN)
+    texts = ["", *(random_text(r, r.randrange(80)) for _ in range(600)), " " * 60, "=" * 64, "x" * 64, "é" * 64, "x" * 65, "", "y" * 200 + " a " + "z" * 70]
+    truth = [TRUTH.encode_ordinary(t) for t in texts]
+    for pairs, pieces, together in ((600_000, 200_000, 1 << 14), (40, 30, 7)):  # the second forgets again and again
+        monkeypatch.setattr(bpe, "TABLED_PAIRS", pairs)
+        monkeypatch.setattr(bpe, "REMEMBERED_PIECES", pieces)
+        monkeypatch.setattr(bpe, "TOGETHER", together)
+        known = bpe.PieceNumbers(MERGES)
+        for size in (1, 50, 700, 3):
+            for start in range(0, len(texts), size):
+                tokens, borders = known.encode([split(t) for t in texts[start : start + size]])
+                got = [tokens[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                assert got == truth[start : start + size]
+    tokens, _ = known.encode([["\ud800", "\ud800" * 65]])
+    assert tokens.tolist() == [*bpe.PieceTokens(MERGES)["\ud800"], *bpe.PieceTokens(MERGES)["\ud800" * 65]]
+    assert [len(part) for part in known.encode([])] == [0, 1]
+
+
+def test_rows_of_one_row_group_are_dealt_to_several_tasks(spark, scratch):
+    docs = spark.createDataFrame([(i, f"word{i} and words") for i in range(6000)], "doc_id long, text string")
+    folder = scratch("folder")
+    docs.coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    rows = queries.all_queries()["op1_byte_bpe"](spark, folder)
+    tasks = {r["task"]: r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()}
+    assert len(tasks) >= 4 and max(tasks.values()) < 3000
+    found = {r["doc_id"]: (r["n_tokens"], r["decoded_sha256"]) for r in rows.collect()}
+    assert found == {i: (len(TRUTH.encode_ordinary(t)), hashlib.sha256(t.encode()).hexdigest()) for i, t in docs.toLocalIterator()}
+
+
+def test_tables_of_many_pieces_are_read_as_they_are(spark, scratch):
+    docs, path = spark.range(4000).selectExpr("id AS doc_id", "'a b' AS text"), scratch("many")
+    docs.repartition(16).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert spread_large(rows) is rows
+    assert spread_large(rows.limit(0)).count() == 0
