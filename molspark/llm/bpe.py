@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from molspark.llm.common import forget, slices, worker_memory
+from molspark.llm.common import SLICE_BYTES, forget, slices, worker_memory
 
 #: Pieces whose tokens, and token pairs whose validity, a worker remembers. A full memory loses
 #: its newer half: frequent pieces come early.
@@ -563,7 +563,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = _remembered(vocabulary.value), Splitter(pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, SLICE_BYTES // 2):
             tokens, borders = known.encode([split(text) if text else [] for text in batch.column(at).to_pylist()])
             ids = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(tokens, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
