@@ -150,6 +150,7 @@ def test_shares_of_all_words_and_one_unknown_add_up(spark, monkeypatch):
     texts = [" ".join(f"w{int(w)}" for w in r.zipf(1.2, 300) if w < 3000) for _ in range(60)]
     model, counts = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert len(model.words) < model.distinct - 300 and len(model.tree.held) == 1
+    assert model.tree.learned
     model.tree.weights[:] = r.normal(0, 1, model.tree.weights.shape)
     words = [w.decode() for w in {w for t in texts for w in lm.tokens_of(t.encode())} if w != lm.END]
     asked = [(i, f"w1 w2 {w}") for i, w in enumerate([*words, "unknown"])] + [(-1, "w1 w2")]
@@ -183,7 +184,7 @@ def test_tree_gradient_equals_finite_differences(model):
     rest = word_tree.Unnamed(leaves.reshape(1 << 16, -1).sum(1) * 3.0, np.packbits(leaves, bitorder="little"))
     tree = word_tree.WordTree.start(model.counts[lm.OUTPUTS :] + 1.0, rest, 4000)
     assert tree.leaf_bits == 22
-    tree.weights[:] = r.normal(0, 1, tree.weights.shape)
+    tree = tree.moved(r.normal(0, 1, tree.weights.shape).astype(np.float32))
     leaf = tree.leaves(np.where(np.arange(50) < 25, np.arange(50), -1), hashes)
     assert (leaf >= 0).all()
     contexts = r.integers(0, 1 << 32, (3, 50)).astype(np.uint32)
